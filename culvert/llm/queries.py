@@ -5,9 +5,13 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from culvert.llm import quality
 from culvert.llm.exact_dedup import exact_dedup
+from culvert.llm.ngram_join import ngram_jaccard_components
 from culvert.llm.packing import pack
+from culvert.llm.substring_dedup import substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,14 +31,33 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), word_bpe(), with_ids=False).drop("ids")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"), width=13, keep_text=False).drop("kept_text")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    kept_out = quality.held_out("doc_id", 5, 0)
+    weights = quality.fit(docs.filter(~kept_out), table(spark, sf_dir, "labels"))
+    found = quality.score(docs.select("doc_id", "text"), weights)
+    return found.select("doc_id", kept_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_components(table(spark, sf_dir, "documents"), width=5, percent=75)
+
+
 QUERIES = {
     "op1_pack": op1_pack,
+    "op2_substring_dedup": op2_substring_dedup,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_quality": op9_quality,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLE_SQL = {

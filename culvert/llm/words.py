@@ -23,6 +23,7 @@ def _table(is_word) -> np.ndarray:
 SPACED = _table(lambda b: not (b == 0x20 or 0x09 <= b <= 0x0D))
 #: Words `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`, for lower-cased text.
 ALNUM = _table(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
+_RUNS = np.array([0 if not SPACED[b] else 1 if ALNUM[b] or 0x41 <= b <= 0x5A else 2 for b in range(256)], dtype=np.uint8)
 _LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], dtype=np.uint8)
 
 _draw = np.random.default_rng(20240607)
@@ -81,6 +82,22 @@ def find_words(buf: np.ndarray, at: np.ndarray, kind: np.ndarray) -> tuple[np.nd
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, at)
 
 
+def find_runs(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As find_words, of runs of letters and digits and runs of other marks; blanks separate."""
+    if not len(buf):
+        none = np.empty(0, np.int64)
+        return none, none, np.zeros(len(at), np.int64)
+    kind = _RUNS[buf]
+    change = np.empty(len(buf) + 1, bool)
+    change[0] = change[-1] = True
+    np.not_equal(kind[1:], kind[:-1], out=change[1:-1])
+    change[at] = True
+    cuts = np.flatnonzero(change)
+    own = kind[cuts[:-1]] > 0
+    starts = cuts[:-1][own]
+    return starts, cuts[1:][own], np.searchsorted(starts, at)
+
+
 def word_codes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit code for each word; equal words have equal codes."""
     n, lo = len(starts), 0
