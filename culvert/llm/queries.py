@@ -7,11 +7,15 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from culvert.llm import quality
+from culvert.llm import language, quality
+from culvert.llm.decontaminate import decontaminate
 from culvert.llm.exact_dedup import exact_dedup
+from culvert.llm.license_scan import license_scan
+from culvert.llm.line_dedup import HTML_LINES, host_of, line_dedup
 from culvert.llm.ngram_join import ngram_jaccard_components
 from culvert.llm.packing import pack
 from culvert.llm.substring_dedup import substring_dedup
+from culvert.llm.suffix_dedup import suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +39,31 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), width=13, keep_text=False).drop("kept_text")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10).drop("items")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = line_dedup(pages, host_of("url"), "html", HTML_LINES, ratio=0.3, min_pages=3)
+    return found.select("page_id", "host", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    kept_out = quality.held_out("doc_id", 4, 2)
+    found = language.predict(docs, language.fit(docs.filter(~kept_out)))
+    return found.select("doc_id", kept_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"), width=50, keep_text=False).drop("kept_text")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -55,12 +84,76 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_license_scan": op3_license_scan,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_language": op6_language,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality": op9_quality,
     "op10_ngram_join": op10_ngram_join,
 }
 
+
+
+def _without_windows(width: int) -> str:
+    return rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        g AS (SELECT doc_id, i, array_to_string(w[i:i + {width - 1}], ' ') AS s
+              FROM (SELECT doc_id, w, unnest(range(1, len(w) - {width - 2})) AS i FROM d)),
+        f AS (SELECT s, min(doc_id) AS least FROM g GROUP BY s),
+        cut AS (SELECT DISTINCT doc_id, unnest(range(i, i + {width})) AS p FROM g JOIN f USING (s) WHERE least < doc_id),
+        each AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+        kept AS (SELECT each.doc_id, count(cut.p) AS n_removed,
+                        string_agg(word, ' ' ORDER BY each.p) FILTER (cut.p IS NULL) AS text
+                 FROM each LEFT JOIN cut USING (doc_id, p) GROUP BY each.doc_id)
+        SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)
+    """
+
+
+_ASCII_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{}')"
+
 ORACLE_SQL = {
+    "op2_substring_dedup": _without_windows(13),
+    "op4_decontaminate": rf"""
+        WITH d AS (SELECT doc_id, {_ASCII_WORDS.format(r'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')} AS w FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ASCII_WORDS.format(r'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')} AS w FROM benchmark),
+        t AS (SELECT DISTINCT item, w[i:i + 9] AS words, least(len(w), 10) AS n
+              FROM (SELECT item, w, unnest(range(1, greatest(2, len(w) - 8))) AS i FROM b WHERE len(w) > 0)),
+        g AS (SELECT doc_id, i, n, w[i:i + n - 1] AS words
+              FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM t))),
+        m AS (SELECT doc_id, i, g.n, item FROM g JOIN t ON g.words = t.words),
+        h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id),
+        x AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN x USING (doc_id)
+    """,
+    "op5_line_dedup": r"""
+        WITH p AS (
+          SELECT page_id, coalesce(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '') AS host,
+                 list_filter(list_transform(regexp_split_to_array(coalesce(html, ''), '<[^>]*>|[\n\r]'),
+                                            lambda x: trim(x, E' \t\n\x0b\x0c\r')), lambda x: x <> '') AS lines
+          FROM pages),
+        total AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
+        seen AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p) GROUP BY host, line),
+        cut AS (SELECT host, list(line) AS lines FROM seen JOIN total USING (host) WHERE n >= 3 AND n > 0.3 * pages GROUP BY host)
+        SELECT page_id, host, len(p.lines) AS n_lines, len(p.lines) - len(kept) AS n_dropped, sha256(array_to_string(kept, E'\n')) AS kept_sha256
+        FROM (SELECT p.*, list_filter(p.lines, lambda x: NOT coalesce(list_contains(cut.lines, x), false)) AS kept
+              FROM p LEFT JOIN cut USING (host)) AS p
+    """,
+    "op7_suffix_dedup": _without_windows(50),
+    "op10_ngram_join": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_ASCII_WORDS.format(r'[^\x20\x09-\x0D]+')} AS w FROM documents),
+        g AS (SELECT DISTINCT doc_id, w[i:i + 4] AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+        reach(doc_id, other) AS (SELECT a, b FROM links UNION SELECT doc_id, b FROM reach JOIN links ON other = a)
+        SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, least(d.doc_id, coalesce(min(other), d.doc_id)) AS component_id
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN reach USING (doc_id) GROUP BY d.doc_id
+    """,
     "op8_exact_dedup": r"""
         WITH d AS (
           SELECT doc_id, length(coalesce(text, '')) AS points,

@@ -38,7 +38,7 @@ def cover_for(width: int) -> tuple[int, tuple[int, ...]]:
     return next((v, d) for v, d in COVERS if 2 * (width - v + 1) >= width)
 
 
-class _Texts:
+class Texts:
     """Words and codes of a batch of documents."""
 
     def __init__(self, ids: pa.Array, text: pa.Array) -> None:
@@ -71,7 +71,7 @@ class _Texts:
         return places, wd.window_codes(self.codes, width)[places], wd.window_codes(self.codes, width, 2)[places], wd.owner(self.bounds)[places]
 
 
-def _smallest(codes: np.ndarray, more: np.ndarray, ids: np.ndarray):
+def smallest(codes: np.ndarray, more: np.ndarray, ids: np.ndarray):
     """Each distinct (code, more) with its smallest id, in order of code."""
     order = np.lexsort((ids, more, codes))
     codes, more, ids = codes[order], more[order], ids[order]
@@ -80,7 +80,7 @@ def _smallest(codes: np.ndarray, more: np.ndarray, ids: np.ndarray):
     return codes[first], more[first], ids[first]
 
 
-def _batch(key: str, kind: pa.DataType, rows: list[tuple]) -> pa.RecordBatch:
+def as_rows(key: str, kind: pa.DataType, rows: list[tuple]) -> pa.RecordBatch:
     kinds = (kind, pa.binary(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[key, "codes", "more", "ids"])
 
@@ -88,7 +88,7 @@ def _batch(key: str, kind: pa.DataType, rows: list[tuple]) -> pa.RecordBatch:
 def _anchors(width: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _Texts(batch.column("doc_id"), batch.column("text"))
+            texts = Texts(batch.column("doc_id"), batch.column("text"))
             _, codes, row = texts.anchors(width)
             ids = texts.ids[row]
             order = np.lexsort((ids, codes))
@@ -96,7 +96,7 @@ def _anchors(width: int, buckets: int):
             new = np.ones(len(codes), bool)
             new[1:] = (codes[1:] != codes[:-1]) | (ids[1:] != ids[:-1])
             codes, ids = codes[new], ids[new]
-            yield _batch("bucket", pa.int32(), [(b, packed(codes[i:j]), None, packed(ids[i:j])) for b, i, j in slices(bucket_of(codes, buckets))])
+            yield as_rows("bucket", pa.int32(), [(b, packed(codes[i:j]), None, packed(ids[i:j])) for b, i, j in slices(bucket_of(codes, buckets))])
 
     return run
 
@@ -117,7 +117,7 @@ def _shared(chunks: int):
         new = np.ones(len(codes), bool)
         new[1:] = (codes[1:] != codes[:-1]) | (chunk[1:] != chunk[:-1])
         codes, chunk = codes[new], chunk[new]
-        return pa.Table.from_batches([_batch("chunk", pa.int64(), [(c, packed(codes[i:j]), None, None) for c, i, j in slices(chunk)])])
+        return pa.Table.from_batches([as_rows("chunk", pa.int64(), [(c, packed(codes[i:j]), None, None) for c, i, j in slices(chunk)])])
 
     return run
 
@@ -129,21 +129,21 @@ def _candidates(width: int, buckets: int):
         shared = np.sort(unpacked_all(back.column("codes"), np.uint64))
         found: list[tuple] = []
         for batch in docs.to_batches(max_chunksize=500) if len(shared) else []:
-            texts = _Texts(batch.column("doc_id"), batch.column("text"))
+            texts = Texts(batch.column("doc_id"), batch.column("text"))
             places, codes, _ = texts.anchors(width)
             at = np.minimum(np.searchsorted(shared, codes), len(shared) - 1)
             _, a, b, row = texts.windows(width, places[shared[at] == codes])
-            found.append(_smallest(a, b, texts.ids[row]))
+            found.append(smallest(a, b, texts.ids[row]))
         rows = []
         if found:
-            a, b, ids = _smallest(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            a, b, ids = smallest(*(np.concatenate(x) for x in zip(*found, strict=True)))
             rows = [(k, packed(a[i:j]), packed(b[i:j]), packed(ids[i:j])) for k, i, j in slices(bucket_of(a, buckets))]
-        return pa.Table.from_batches([_batch("bucket", pa.int32(), rows)])
+        return pa.Table.from_batches([as_rows("bucket", pa.int32(), rows)])
 
     return run
 
 
-def _owners(chunks: int):
+def owners(chunks: int):
     """The smallest document of a bucket's windows, sent to chunks whose own smallest is larger."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -157,23 +157,23 @@ def _owners(chunks: int):
         a, b, least, chunk = a[late], b[late], least[late], ids[late] % chunks
         order = np.argsort(chunk, kind="stable")
         a, b, least, chunk = a[order], b[order], least[order], chunk[order]
-        return pa.Table.from_batches([_batch("chunk", pa.int64(), [(c, packed(a[i:j]), packed(b[i:j]), packed(least[i:j])) for c, i, j in slices(chunk)])])
+        return pa.Table.from_batches([as_rows("chunk", pa.int64(), [(c, packed(a[i:j]), packed(b[i:j]), packed(least[i:j])) for c, i, j in slices(chunk)])])
 
     return run
 
 
-def _cleaned(width: int, keep_text: bool):
+def cleaned(width: int, keep_text: bool):
     """A chunk's documents without the words of windows that a smaller document has."""
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(docs: pa.Table, back: pa.Table) -> pa.Table:
         a, b, ids = (unpacked_all(back.column(c), t) for c, t in (("codes", np.uint64), ("more", np.uint64), ("ids", np.int64)))
-        parts = [_Texts(x.column("doc_id"), x.column("text")) for x in docs.to_batches(max_chunksize=500)]
+        parts = [Texts(x.column("doc_id"), x.column("text")) for x in docs.to_batches(max_chunksize=500)]
         found = [(a, b, ids)]
         for texts in parts:
             _, x, y, row = texts.windows(width)
-            found.append(_smallest(x, y, texts.ids[row]))
-        a, b, ids = _smallest(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            found.append(smallest(x, y, texts.ids[row]))
+        a, b, ids = smallest(*(np.concatenate(x) for x in zip(*found, strict=True)))
         keys = a ^ wd.mix(b)
         order = np.argsort(keys)
         keys, ids = keys[order], ids[order]
@@ -218,6 +218,6 @@ def substring_dedup(docs: DataFrame, width: int = 13, keep_text: bool = True) ->
     anchors = docs.mapInArrow(_anchors(width, buckets), _ROWS)
     shared = anchors.groupBy("bucket").applyInArrow(_shared(chunks), _BACK)
     windows = by_chunk.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_candidates(width, buckets), _ROWS)
-    owners = windows.groupBy("bucket").applyInArrow(_owners(chunks), _BACK)
+    kept_by = windows.groupBy("bucket").applyInArrow(owners(chunks), _BACK)
     result = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
-    return by_chunk.groupBy("chunk").cogroup(owners.groupBy("chunk")).applyInArrow(_cleaned(width, keep_text), result)
+    return by_chunk.groupBy("chunk").cogroup(kept_by.groupBy("chunk")).applyInArrow(cleaned(width, keep_text), result)
