@@ -72,9 +72,8 @@ class WordTokenizer:
         for text in texts:
             words = text.split()
             known = self.known
-            for word in words:
-                if word not in known:
-                    known[word] = self.old.get(word) or self._word(word)
+            for word in set(words).difference(known):
+                known[word] = self.old.get(word) or self._word(word)
             yield b"".join(map(known.__getitem__, words)) + last
             if len(known) > MEMORY_WORDS:
                 self.known, self.old = {}, known
@@ -85,8 +84,8 @@ class WordTokenizer:
         word = raw.decode()
         if word.isascii():
             low = word.lower()
-        elif max(word) < "\u0250":
-            low = "".join(c.lower() for c in unicodedata.normalize("NFC", word))
+        elif max(word) < "\u0250":  # none of them has a lower case that depends on its neighbours
+            low = unicodedata.normalize("NFC", word).lower()
         else:
             low = ""
         core = low.rstrip(self._MARKS)
@@ -96,7 +95,7 @@ class WordTokenizer:
 
     def _part(self, text: str) -> bytes:
         if (ids := self.parts.get(text)) is None:
-            spelt = text if text.isascii() else "".join(map(self.letters.__getitem__, text.encode()))
+            spelt = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
             ids = struct.pack(f"<{len(made := self.tokenizer.model.tokenize(spelt))}I", *[t.id for t in made]) if text else b""
             self.parts[text] = ids
         return ids
