@@ -1 +1 @@
-"""Storm-drainage analysis on Spark DataFrames."""
+"""Storm-drainage network analysis on Spark DataFrames."""
