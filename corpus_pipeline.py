@@ -1,13 +1,77 @@
-"""Corpus preparation: quality, exact and near duplicates, decontamination, packing."""
+"""Corpus preparation: quality, exact and near duplicates, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; run() writes what
+each returns as Parquet in the shared folder and reads it again for the next. All stages but the
+last return the columns of documents; a document is a row, and its doc_id names it.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from culvert.llm import quality
+from culvert.llm.decontaminate import decontaminate
+from culvert.llm.exact_dedup import exact_dedup
+from culvert.llm.exchange import written
+from culvert.llm.ngram_join import ngram_jaccard_components
+from culvert.llm.packing import pack
+from culvert.llm.queries import table, word_bpe
+
+#: Scores below this are of documents to reject.
+LEAST_QUALITY = 0.3
+#: A document goes when more than this share of its words lies in benchmark passages, or when at
+#: least so many words do: a passage of two windows is no chance.
+MOST_HIT_SHARE, MOST_HIT_WORDS = 0.2, 11
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier (9) does not reject. Labels of rows whose crc32 of the
+    id is 0 modulo 5 are not learned from."""
+    learned = docs.filter(~quality.held_out("doc_id", 5, 0))
+    weights = quality.fit(learned, table(spark, sf_dir, "labels"))
+    return quality.score(docs, weights).filter(F.col("score") >= LEAST_QUALITY).select(docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts (8)."""
+    return exact_dedup(docs).filter("kept").select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each component of near-equal texts (10); empty texts stay."""
+    found = ngram_jaccard_components(docs.select("doc_id", "text"), width=5, percent=75)
+    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(-1)).alias("stays")).distinct()
+    return docs.join(stays, F.coalesce(docs.doc_id, F.lit(-1)) == stays.stays, "left_semi").select(docs.columns)
+
+
+def drop_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages (4)."""
+    found = decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"), width=10)
+    bad = (F.col("n_hit") >= MOST_HIT_WORDS) | (F.col("n_hit") > MOST_HIT_SHARE * F.col("n_words"))
+    gone = found.filter(bad & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def pack_all(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 4096 ids (1), with their ids."""
+    return pack(docs, word_bpe(), with_ids=True)
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_benchmarks),
+    ("packing", pack_all),
+]
+#: The classifier and the tokenizer can't be written in SQL; tests/llm holds the stages against
+#: plain Python versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
