@@ -11,7 +11,7 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
     A file is small and is read whole; files are spread over tasks by Spark's reader.
     """
-    found = spark.read.option("wholetext", True).text(path).withColumn("file", F.input_file_name())
+    found = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     return found.select(F.xxhash64("file").alias("network_id"), "file", F.col("value").alias("text"))
 
 
