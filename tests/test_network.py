@@ -89,7 +89,7 @@ def test_errors_stay_in_their_network(spark):
     assert {r.network_id: r["count"] for r in a.pipes.groupBy("network_id").count().collect()} == {1: 3, 4: 1}
     assert a.nodes.filter("id = 'LONELY'").first().hgl == 5.0
     with pytest.raises(CyclicNetwork):
-        check(analyze(nodes.filter("network_id = 2"), pipes, idf))
+        check(analyze(nodes.filter("network_id = 2"), pipes.filter("network_id = 2"), idf))
     with pytest.raises(UnknownNode):
         check(analyze(nodes.filter("network_id = 3"), pipes.filter("network_id = 3"), idf))
 
