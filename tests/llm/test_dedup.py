@@ -77,3 +77,19 @@ def test_jaccard_edges(spark):
     rows = [(None, "A b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (9, None), (10, " "), (11, "a b"), (12, "A B")]
     found = ngram_jaccard_components(frame(spark, rows), count_bits=10).collect()
     assert sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in found) == [(0, 2, 4), (4, 2, 4), (4, 2, 4), (9, 0, 9), (10, 0, 10), (11, 1, 11), (12, 1, 11)]
+
+
+def test_jaccard_families(spark):
+    """Families of copies with few to many edits: more pairs nearly link than do."""
+    rng = random.Random(9)
+    rows = []
+    for family in range(3):
+        base = [f"f{family}w{k}" for k in range(rng.randrange(40, 160))]
+        for _ in range(60):
+            own = base[rng.randrange(20) :] if rng.random() < 0.3 else list(base)
+            for _ in range(rng.randrange(0, 9)):
+                own[rng.randrange(len(own))] = f"e{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(own)))
+    for crowd in (4, 24, 1000):
+        found = ngram_jaccard_components(frame(spark, rows), crowd=crowd, count_bits=12).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute.jaccard_components(rows)
