@@ -20,9 +20,6 @@ from culvert.llm.queries import table, word_bpe
 
 #: Scores below this are of documents to reject.
 LEAST_QUALITY = 0.3
-#: A document goes when more than this share of its words lies in benchmark passages, or when at
-#: least so many words do: a passage of two windows is no chance.
-MOST_HIT_SHARE, MOST_HIT_WORDS = 0.2, 11
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +43,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark passages (4)."""
+    """Documents in which no window of a benchmark item occurs (4); rows without doc_id stay."""
     found = decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"), width=10)
-    bad = (F.col("n_hit") >= MOST_HIT_WORDS) | (F.col("n_hit") > MOST_HIT_SHARE * F.col("n_words"))
-    gone = found.filter(bad & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    gone = found.filter("contaminated and doc_id is not null").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
