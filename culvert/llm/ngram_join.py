@@ -3,14 +3,17 @@
 Documents with equal sets form one class; classes are joined. All n-grams have one global order:
 by a hashed count of their documents, then by code, so common ones come last. The order's codes
 are cut into fragments. A class sends the first part of its set, in that order, to the fragments;
-each fragment counts the overlaps of the pairs it sees, and the counts are summed per pair. Sets
-with overlap o share their first l common n-grams within the first |x| - o + l of either set, so a
-pair with a smaller sum than l can't link. Pairs that remain are verified on whole sets.
-
-In an n-gram that many classes share (`crowd` and more), a fragment does not make all pairs:
-each class pairs with the first one and with its neighbour by size. After these are verified,
-classes of such a group that are still in different components are paired each with each, so no
-link is lost, while a large group of near copies costs a few pairs a member.
+each fragment counts the overlaps of the pairs it sees, and the counts are summed per pair. Of the
+set whose part ends first in the order, all n-grams that the pair shares outside the counted ones lie
+after its part: a pair whose sum and the longer rest don't reach the overlap that its sizes ask for
+can't link. Pairs that remain are verified on whole sets.
+
+An n-gram that many classes share (`crowd` and more) makes no pairs in its fragment. Its hub is the
+class that stands in the most such n-grams: among near copies, the one nearest to all others, as
+own words of a copy take the first places of its set. Each class is verified with the hub that it
+shares most with. Then classes under one hub that are still in different components meet those
+outside their own component, once a hub and not once an n-gram, if both stand in enough such n-grams
+to link. So no link is lost, while a large group of near copies costs about one pair a member.
 """
 
 from __future__ import annotations
@@ -101,10 +104,18 @@ def _least(percent: int, n):
 
 
 def _spare(n):
-    """l of the module's text: how many shared n-grams of its first part a pair must have."""
+    """N-grams of a first part beyond the fewest that find all links: they sharpen the counts."""
     return np.maximum(1, n // 20)
 
 
+def needed(a: str, b: str, percent: int):
+    """How many n-grams of their first parts sets of two sizes share at least if they link."""
+    a, b = F.col(a), F.col(b)
+    overlap = F.ceil(percent * (a + b) / F.lit(100 + percent))
+    rest = lambda n: F.ceil(percent * n / F.lit(100)) - F.greatest(F.lit(1), F.floor(n / F.lit(20)))
+    return F.greatest(F.lit(1), overlap - F.greatest(rest(a), rest(b)))
+
+
 def _first_parts(width: int, percent: int, fragments: int, counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
@@ -139,8 +150,6 @@ def _found(a, b, na, nb, shared, members=(), sizes=()) -> pa.Table:
 
 def _overlaps(percent: int, crowd: int):
     """A fragment's overlap of each pair of classes, and its n-grams that a crowd shares."""
-    crowded = 1 << 40
-
     def run(table: pa.Table) -> pa.Table:
         codes = unpacked_all(table.column("codes"), np.uint64)
         sets = unpacked_all(table.column("sets"), np.int64)
@@ -168,17 +177,11 @@ def _overlaps(percent: int, crowd: int):
             pairs.append(np.stack([i, i + k])[:, alike(i, i + k)])
         i, j = np.concatenate(pairs, axis=1)
         a, b, na, nb, shared = _counted(sets[i], sets[j], sizes[i], sizes[j])
-        members, lists, hubs = [], [], [np.empty((2, 0), np.int64)]
+        members, lists = [], []
         for start, k in zip(at[length >= crowd], length[length >= crowd], strict=True):
-            own = np.arange(start, start + k)
-            members.append(packed(sets[own]))
-            lists.append(packed(sizes[own]))
-            hubs += [np.stack([np.full(k - 1, start), own[1:]]), np.stack([own[:-1], own[1:]])]
-        i, j = np.concatenate(hubs, axis=1)
-        ok = alike(i, j)
-        c, d, nc, nd, _ = _counted(sets[i[ok]], sets[j[ok]], sizes[i[ok]], sizes[j[ok]])
-        both = [np.concatenate(x) for x in ((a, c), (b, d), (na, nc), (nb, nd), (shared, np.full(len(c), crowded)))]
-        return _found(*both, members, lists)
+            members.append(packed(sets[start : start + k]))
+            lists.append(packed(sizes[start : start + k]))
+        return _found(a, b, na, nb, shared, members, lists)
 
     return run
 
@@ -218,26 +221,6 @@ def _verified(percent: int):
     return run
 
 
-def _across(percent: int):
-    """Pairs of a crowd's classes that are in different components and similar in size."""
-
-    def run(table: pa.Table) -> pa.Table:
-        sets, sizes, parts = (table.column(c).to_numpy() for c in ("set_id", "n", "component"))
-        _, part, count = np.unique(parts, return_inverse=True, return_counts=True)
-        order = np.lexsort((part, -count[part]))
-        sets, sizes, part = sets[order], sizes[order].astype(np.int64), part[order]
-        found = [np.empty((2, 0), np.int64)]
-        # The largest component comes first: only members of the others look at all before them.
-        for k in np.flatnonzero(part != part[:1]).tolist():
-            i = np.flatnonzero(part[:k] != part[k])
-            i = i[100 * np.minimum(sizes[i], sizes[k]) >= percent * np.maximum(sizes[i], sizes[k])]
-            found.append(np.stack([i, np.full(len(i), k)]))
-        i, j = np.concatenate(found, axis=1)
-        return _found(sets[i], sets[j], sizes[i].astype(np.int32), sizes[j].astype(np.int32), np.ones(len(i), np.int64)).select(["a", "b"])
-
-    return run
-
-
 def _unlist(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for g, members, sizes in zip(batch.column("crowd"), batch.column("members"), batch.column("sizes"), strict=True):
@@ -245,6 +228,30 @@ def _unlist(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([g.as_py()] * len(sets), pa.int64()), pa.array(sets), pa.array(n)], names=["crowd", "set_id", "n"])
 
 
+def _under_hubs(crowds: DataFrame, degrees: DataFrame) -> DataFrame:
+    """(hub, hub_n, set_id, n, degree, shared): each class under the hubs of its crowds, with its
+    number of crowds, of this hub and of all."""
+    best = crowds.join(degrees, "set_id").groupBy("crowd").agg(F.max(F.struct("degree", "n", "set_id")).alias("h"))
+    hubs = best.select("crowd", F.col("h.set_id").alias("hub"), F.col("h.n").alias("hub_n"))
+    found = crowds.join(hubs, "crowd").groupBy("hub", "hub_n", "set_id", "n").agg(F.count("*").alias("shared"))
+    return found.join(degrees, "set_id")
+
+
+def _across(under: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes under one hub that are in different components and that may link by their
+    sizes and their numbers of crowds. The largest component under a hub meets the others only: a
+    hub whose classes are all in one has no pairs."""
+    placed = under.join(parts.withColumnRenamed("node", "set_id"), "set_id", "left").select("hub", "set_id", "n", "degree", F.coalesce("component", "set_id").alias("component"))
+    placed = placed.filter(F.col("degree") >= F.greatest(F.lit(1), F.floor(F.col("n") / F.lit(20))))  # fewer can't link by crowds alone
+    main = placed.groupBy("hub", "component").agg(F.count("*").alias("k")).groupBy("hub").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
+    placed = written(placed.join(main, "hub"))
+    few = placed.filter("component <> main").select("hub", F.col("set_id").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"), F.col("degree").alias("xd"))
+    other = (F.col("component") != F.col("xc")) & ((F.col("component") == F.col("main")) | (F.col("x") < F.col("set_id")))
+    alike = 100 * F.least("xn", "n") >= percent * F.greatest("xn", "n")
+    met = few.join(placed, "hub").filter(other & alike & (F.least("xd", "degree") >= needed("xn", "n", percent)))
+    return met.select(F.least("x", "set_id").alias("a"), F.greatest("x", "set_id").alias("b")).distinct()
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("set_id").alias("a"), F.col("codes").alias("x"))
     right = sets.select(F.col("set_id").alias("b"), F.col("codes").alias("y"))
@@ -277,12 +284,17 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75,
 
     lists = docs.mapInArrow(_first_parts(width, percent, fragments, shared_counts), _LISTS)
     found = written(lists.groupBy("fragment").applyInArrow(_overlaps(percent, crowd), _FOUND))
-    summed = found.filter("a is not null").groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
-    enough = F.col("shared") >= F.greatest(F.lit(1), F.floor(F.least("na", "nb") / F.lit(20)))
-    pairs = written(summed.filter(enough).select("a", "b", "shared"))
     crowds = written(
         found.filter("members is not null").select(F.monotonically_increasing_id().alias("crowd"), "members", "sizes").mapInArrow(_unlist, "crowd bigint, set_id bigint, n int")
     )
+    degrees = crowds.groupBy("set_id").agg(F.count("*").alias("degree"))
+    under = written(_under_hubs(crowds, degrees))
+    summed = found.filter("a is not null").groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
+    # What a pair shares in crowds is not counted; it is at most what either has in them.
+    for end in "ab":
+        summed = summed.join(degrees.select(F.col("set_id").alias(end), F.col("degree").alias(f"{end}_degree")), end, "left")
+    most = F.col("shared") + F.least(F.coalesce("a_degree", F.lit(0)), F.coalesce("b_degree", F.lit(0)))
+    pairs = written(summed.filter(most >= needed("na", "nb", percent)).select("a", "b", "shared"))
 
     # Whole sets of the classes in pairs: from one document of each class.
     ends = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).unionByName(crowds.select("set_id")).distinct()
@@ -290,20 +302,19 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75,
     sets = docs.join(chosen, "id", "left_semi").select("text").mapInArrow(_whole_sets(width), "set_id bigint, codes binary")
     sets = written(sets.groupBy("set_id").agg(F.first("codes").alias("codes")))
 
-    # First each class with its nearest partners; then what is not yet in one component.
-    top = lambda end: pairs.groupBy(end).agg(F.max_by(F.struct("a", "b"), "shared").alias("p")).select("p.a", "p.b")
-    hubs = pairs.filter(F.col("shared") >= F.lit(1 << 40)).select("a", "b")
-    first = written(top("a").unionByName(top("b")).unionByName(hubs).distinct())
+    # First each class with the partner and the hub that it shares most with.
+    top = lambda df, end: df.groupBy(end).agg(F.max_by(F.struct("a", "b"), "shared").alias("p")).select("p.a", "p.b")
+    alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    spokes = under.filter((F.col("set_id") != F.col("hub")) & alike(F.col("n"), F.col("hub_n"))).groupBy("set_id").agg(F.max_by("hub", "shared").alias("hub"))
+    spokes = spokes.select(F.least("set_id", "hub").alias("a"), F.greatest("set_id", "hub").alias("b"))
+    first = written(top(pairs, "a").unionByName(top(pairs, "b")).unionByName(spokes).distinct())
     links = written(_verify(first, sets, percent))
     parts = written(components(links))
     part = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"{end}_part"))
     apart = lambda df: (
         df.join(part("a"), "a", "left").join(part("b"), "b", "left").filter(F.coalesce("a_part", "a") != F.coalesce("b_part", "b")).select("a", "b")
     )
-    placed = crowds.join(parts.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    split = placed.groupBy("crowd").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("crowd")
-    across = placed.join(split, "crowd", "left_semi").groupBy("crowd").applyInArrow(_across(percent), "a bigint, b bigint")
-    rest = written(apart(pairs).unionByName(across).distinct().join(first, ["a", "b"], "left_anti"))
+    rest = written(apart(pairs).unionByName(_across(under, parts, percent)).distinct().join(first, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         links = links.unionByName(_verify(rest, sets, percent))
         parts = written(components(links))
