@@ -447,3 +447,159 @@ def metric_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT network_id, ord, round(3.0::DOUBLE * round(length / 3.0::DOUBLE), 6) AS snapped, CASE WHEN p <= 1 THEN b WHEN p <= 2 THEN 2 * b WHEN p <= 5 THEN 5 * b ELSE 10 * b END AS step FROM (SELECT *, length / 8.0::DOUBLE / pow(10.0::DOUBLE, floor(log10(length / 8.0::DOUBLE))) AS p, pow(10.0::DOUBLE, floor(log10(length / 8.0::DOUBLE))) AS b FROM ({views.REACH}))")
 def snapping_and_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.reach(spark, sf_dir).select(*_K, r6(ge.snap("length", F.lit(3.0)), "snapped"), ge.tick_step("length").alias("step"))
+
+
+# --- More of networks -------------------------------------------------------------------------
+
+
+def _periods_sql() -> str:
+    """chain_flows for several periods: factors of C and of the intensity's scale."""
+    flow = "60.0::DOUBLE * f / pow(tc + 10.0::DOUBLE, 0.8::DOUBLE) * ca"
+    yn = f"(CASE WHEN q > {_QMAX} THEN diameter ELSE {_YN} END)"
+    speed = lambda source: f"SELECT *, q / {_area_at('yn')} AS v, q > {_QMAX} AS surcharged FROM (SELECT *, {yn} AS yn FROM (SELECT *, {flow} AS q FROM ({source})))"
+    first = "SELECT r.*, rp, f, cf, least(c * cf, 1.0::DOUBLE) * area_ac AS ca, greatest(tc_inlet, 10.0::DOUBLE) AS tc FROM r, p WHERE ord = 1"
+    following = "SELECT r.*, rp, f, cf, s.total_ca + least(c * cf, 1.0::DOUBLE) * area_ac AS ca, greatest(r.tc_inlet, 10.0::DOUBLE, s.tc + s.travel) AS tc FROM r JOIN step s ON r.network_id = s.network_id AND r.ord = s.ord + 1"
+    row = lambda source: f"SELECT network_id, ord, rp, f, cf, ca, tc, q, surcharged, CASE WHEN v > 0 THEN length / (v * 60.0::DOUBLE) ELSE 0.0::DOUBLE END FROM ({speed(source)})"
+    return f"""WITH RECURSIVE r AS MATERIALIZED ({views.REACH}),
+        p(rp, f, cf) AS (VALUES (2, 0.75::DOUBLE, 1.0::DOUBLE), (10, 1.0::DOUBLE, 1.0::DOUBLE), (25, 1.15::DOUBLE, 1.1::DOUBLE), (50, 1.28::DOUBLE, 1.2::DOUBLE), (100, 1.40::DOUBLE, 1.25::DOUBLE)),
+        step(network_id, ord, rp, f, cf, total_ca, tc, q, surcharged, travel) AS ({row(first)} UNION ALL {row(following)})
+        SELECT network_id, rp AS rp_years, 'P' || ord AS id, round(q, 4) AS design_q, surcharged FROM step"""
+
+
+SQL["chain_all_periods"] = _periods_sql()
+
+
+@query(f"""SELECT network_id, id, kind, round(x, 6) AS x, round(invert, 6) AS invert, round(rim, 6) AS rim FROM (
+         SELECT network_id, ord, CAST(ord AS VARCHAR) AS id, 'inlet' AS kind, coalesce(sum(length) OVER (PARTITION BY network_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS x,
+                100.0::DOUBLE + sum(slope * length) OVER (PARTITION BY network_id ORDER BY ord DESC ROWS UNBOUNDED PRECEDING) AS invert,
+                108.0::DOUBLE + sum(slope * length) OVER (PARTITION BY network_id ORDER BY ord DESC ROWS UNBOUNDED PRECEDING) AS rim FROM ({views.REACH})
+         UNION ALL SELECT network_id, 0, 'OUT', 'outfall', sum(length), 100.0, 108.0 FROM ({views.REACH}) GROUP BY network_id)""")
+def drawings_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DXF texts of all chains, written and read again."""
+    from culvert.sinks.drawing import dxf_texts
+    from culvert.sources.dxf import parse_dxf
+
+    texts = dxf_texts(*views.chain(spark, sf_dir)).withColumn("file", F.lit("chain.dxf"))
+    return parse_dxf(texts).nodes.select("network_id", "id", "kind", r6("x", "x"), r6("invert", "invert"), r6("rim", "rim"))
+
+
+@query(f"""SELECT network_id, 'P' || ord AS id, 'N' || ord AS "from", 'N' || (ord + 1) AS "to", round(length, 3) AS length, round(diameter * 12.0::DOUBLE, 1) AS diameter_in FROM ({views.REACH})""")
+def landxml_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LandXML texts of all chains, written and read again."""
+    from culvert.sinks.drawing import landxml_texts
+    from culvert.sources.landxml import parse_landxml
+
+    nodes, pipes = views.chain(spark, sf_dir)
+    names = nodes.filter("kind = 'outfall'").select("network_id", F.lit("chain").alias("name"))
+    p = parse_landxml(landxml_texts(names, nodes, pipes).withColumn("file", F.lit("chain.xml"))).pipes
+    return p.select("network_id", "id", "from", "to", r6("length", "length", 3), F.round(F.col("diameter") * 12.0, 1).alias("diameter_in"))
+
+
+@query(f"""SELECT network_id, 'P' || ord AS pipe_id, printf('%.1f', length) AS length, printf('%.0f', d) AS diameter_in, printf('%.0f', length * CASE WHEN d <= 12 THEN 85.0::DOUBLE ELSE lo + (d - a) / (b - a) * (hi - lo) END) AS line_cost
+       FROM (SELECT *, diameter * 12.0::DOUBLE AS d FROM ({views.REACH})) r
+       LEFT JOIN (SELECT a, lead(a) OVER (ORDER BY a) AS b, lo, lead(lo) OVER (ORDER BY a) AS hi FROM (SELECT unnest({_COSTS[0]})::DOUBLE AS a, unnest({_COSTS[1]})::DOUBLE AS lo)) t ON d > a AND d <= b""")
+def cost_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cost template, cell by cell; pipes without results have none in it."""
+    from culvert.sinks import report
+
+    nodes, pipes = views.chain(spark, sf_dir)
+    columns = report.TEMPLATES["cost"][1]
+    bare = pipes.select("network_id", "id", F.lit(None).cast("int").alias("rp_years"))
+    return report.cells(report.report_rows(nodes, pipes, bare, columns), columns).select("network_id", *columns)
+
+
+@query()
+def municipal_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV texts of the municipal template: one a network."""
+    from culvert.sinks import report
+
+    nodes, pipes, a = _analyzed(spark, sf_dir)
+    name, columns = report.TEMPLATES["municipal"]
+    return report.csv_reports(report.report_rows(nodes, pipes, a.pipes, columns), name, columns)
+
+
+def _stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as inlets of their nation's network."""
+    s = views.table(spark, sf_dir, "supplier")
+    zero = F.lit(0.0)
+    return s.select(
+        F.col("s_nationkey").cast("bigint").alias("network_id"), F.col("s_suppkey").cast("int").alias("ord"), F.col("s_suppkey").cast("string").alias("id"), F.lit("inlet").alias("kind"), zero.alias("invert"), F.lit(8.0).alias("rim"),
+        (1.0 + F.col("s_suppkey") % 3).alias("area_ac"), F.lit(0.6).alias("c"), F.lit(10.0).alias("tc_inlet"), (F.col("s_acctbal").cast("double") / 100.0).alias("x"), (F.col("s_suppkey") % 97).cast("double").alias("y"),
+    )
+
+
+def _catchments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' kites, a hundred times as large, as catchments of the nearest supplier."""
+    from culvert.operators.editing import link_catchments
+
+    big = F.transform("vertices", lambda v: F.struct((v["x"] * 100.0).alias("x"), (v["y"] * 100.0).alias("y")))
+    given = _plots(spark, sf_dir).select(
+        F.col("c_nationkey").cast("bigint").alias("network_id"), F.col("c_custkey").cast("int").alias("ord"), F.col("c_custkey").cast("string").alias("id"), "vertices", (0.3 + 0.1 * (F.col("c_custkey") % 5)).alias("c"), F.lit(0.01).alias("slope"), F.lit(100.0).alias("flow_length_ft"), F.lit(None).cast("string").alias("inlet"),
+    )
+    return link_catchments(given, _stations(spark, sf_dir), within=1e9).withColumn("vertices", big)
+
+
+_LINKED = f"""SELECT c_custkey, arg_min(s_suppkey, (d, s_suppkey)) AS s_suppkey FROM (
+    SELECT c_custkey, s_suppkey, sqrt(pow({_PX} + (1.0::DOUBLE + c_custkey % 7) / 3.0::DOUBLE - CAST(s_acctbal AS DOUBLE) / 100.0::DOUBLE, 2) + pow({_PY} - CAST(s_suppkey % 97 AS DOUBLE), 2)) AS d
+    FROM customer JOIN supplier ON s_nationkey = c_nationkey) GROUP BY c_custkey"""
+
+
+@query(f"""WITH k AS ({_LINKED}), m AS (SELECT s_suppkey, sum(a) AS a, sum(a * c) AS ca FROM (SELECT s_suppkey, 30000.0::DOUBLE * (1.0::DOUBLE + customer.c_custkey % 7) * (2.0::DOUBLE + c_nationkey % 5) / 43560.0::DOUBLE AS a, 0.3::DOUBLE + 0.1::DOUBLE * (customer.c_custkey % 5) AS c
+              FROM customer JOIN k USING (c_custkey)) GROUP BY s_suppkey)
+       SELECT CAST(s_suppkey AS VARCHAR) AS id, round(own + coalesce(a, 0), 6) AS area_ac, round((own * 0.6::DOUBLE + coalesce(ca, 0)) / (own + coalesce(a, 0)), 6) AS c, CASE WHEN a IS NULL THEN 10.0::DOUBLE ELSE greatest(10.0::DOUBLE, 0.0) END AS tc_inlet
+       FROM (SELECT s_suppkey, 1.0::DOUBLE + s_suppkey % 3 AS own FROM supplier) LEFT JOIN m USING (s_suppkey)""")
+def merged_catchments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from culvert.operators.editing import merge_catchments
+
+    return merge_catchments(_stations(spark, sf_dir), _catchments(spark, sf_dir)).select("id", r6("area_ac", "area_ac"), r6("c", "c"), r6("tc_inlet", "tc_inlet"))
+
+
+@query(f"""SELECT s.s_suppkey AS point, CAST(max(c_custkey) AS VARCHAR) AS id FROM supplier s JOIN customer ON s_nationkey = c_nationkey,
+         LATERAL (SELECT CAST(s_acctbal AS DOUBLE) / 100.0::DOUBLE - {_PX} AS dx, abs(CAST(s_suppkey % 97 AS DOUBLE) - {_PY}) AS dy, 1.0::DOUBLE + c_custkey % 7 AS w, 2.0::DOUBLE + c_nationkey % 5 AS h)
+       WHERE dy / h + CASE WHEN dx < 0 THEN -dx / w ELSE dx / (2.0::DOUBLE * w) END < 1 GROUP BY s.s_suppkey""")
+def containing_catchments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from culvert.operators.editing import containing_catchment
+
+    plots = _plots(spark, sf_dir).select(F.col("c_nationkey").cast("bigint").alias("network_id"), F.col("c_custkey").alias("ord"), F.col("c_custkey").cast("string").alias("id"), "vertices")
+    points = _stations(spark, sf_dir).select("network_id", F.col("ord").alias("point"), "x", "y")
+    return containing_catchment(points, plots).select(F.col("point").cast("bigint").alias("point"), "id")
+
+
+@query(f"""SELECT s_suppkey AS id, round(CASE WHEN p > 1e-12 THEN greatest(-1.0::DOUBLE, least(1.0::DOUBLE, d / p)) ELSE 1.0::DOUBLE END, 6) AS cos, round((1.0::DOUBLE - CASE WHEN p > 1e-12 THEN greatest(-1.0::DOUBLE, least(1.0::DOUBLE, d / p)) ELSE 1.0::DOUBLE END) / 2.0::DOUBLE, 6) AS bend
+       FROM (SELECT *, ux * vx + uy * vy AS d, sqrt(ux * ux + uy * uy) * sqrt(vx * vx + vy * vy) AS p FROM (
+         SELECT s_suppkey, CAST(s_acctbal AS DOUBLE) / 100.0::DOUBLE AS ux, CAST(s_suppkey % 97 AS DOUBLE) AS uy, 7.0::DOUBLE - CAST(s_acctbal AS DOUBLE) / 100.0::DOUBLE AS vx, 9.0::DOUBLE - CAST(s_suppkey % 97 AS DOUBLE) AS vy FROM supplier))""")
+def deflections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zero = F.lit(0.0)
+    cos = ah.deflection_cos(zero, zero, "x", "y", F.lit(7.0), F.lit(9.0))
+    return _stations(spark, sf_dir).select(F.col("ord").cast("bigint").alias("id"), r6(cos, "cos"), r6(ah.bend_coefficient(F.lit(1.0), cos), "bend"))
+
+
+@query("""SELECT n_nationkey AS network_id, rp AS rp_years, round(a * f, 6) AS a, round(a * f / pow(25.0::DOUBLE, 0.8::DOUBLE), 6) AS intensity FROM (SELECT n_nationkey, 50.0::DOUBLE + n_nationkey AS a FROM nation),
+          (VALUES (2, 0.75::DOUBLE), (5, 0.88::DOUBLE), (10, 1.0::DOUBLE), (25, 1.15::DOUBLE), (50, 1.28::DOUBLE), (100, 1.40::DOUBLE)) t(rp, f)""")
+def synthetic_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets = hd.synthetic_set(_nation_curves(spark, sf_dir))
+    at = hd.intensities_at(sets, 15.0)
+    return sets.join(at, ["network_id", "rp_years"]).select("network_id", "rp_years", r6("a", "a"), r6("intensity", "intensity"))
+
+
+def _nation_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = views.table(spark, sf_dir, "nation")
+    return n.select(F.col("n_nationkey").cast("bigint").alias("network_id"), F.lit(10).alias("rp_years"), (50.0 + F.col("n_nationkey")).alias("a"), F.lit(10.0).alias("b"), F.lit(0.8).alias("c"))
+
+
+@query("""SELECT n_nationkey AS network_id, 25 AS design, 25 AS nearest, 2 AS fallback FROM nation""")
+def chosen_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The design curve, the one nearest to 30 years, and the fallback of an unknown period."""
+    sets = hd.synthetic_set(_nation_curves(spark, sf_dir))
+    pick = lambda df, name: df.select("network_id", F.col("rp_years").alias(name))
+    return pick(hd.design_curve(sets, 25), "design").join(pick(hd.nearest_period(sets, 30.0), "nearest"), "network_id").join(pick(hd.design_curve(sets, 7), "fallback"), "network_id")
+
+
+@query()
+def fitted_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IDF curves fitted to points of known curves, one for each nation and period."""
+    sets = hd.synthetic_set(_nation_curves(spark, sf_dir))
+    points = sets.withColumn("duration_min", F.explode(F.array(*[F.lit(float(t)) for t in (5, 10, 15, 30, 60, 120, 180)])))
+    depth = hd.idf_intensity("duration_min", "a", "b", "c") * F.col("duration_min") / 60.0
+    fitted = hd.atlas_to_idf(points.withColumn("depth_in", depth).select("network_id", "rp_years", "duration_min", "depth_in"))
+    return fitted.select("network_id", "rp_years", r6("a", "a", 2), r6("b", "b", 2), r6("c", "c", 3))
