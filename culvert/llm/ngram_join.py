@@ -258,7 +258,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(_verified(percent), "a bigint, b bigint")
 
 
-def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, crowd: int = 24, count_bits: int = COUNT_BITS) -> DataFrame:
+def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, crowd: int = 10, count_bits: int = COUNT_BITS) -> DataFrame:
     """Components of documents (doc_id, text) whose n-gram sets have a Jaccard similarity of at
     least percent / 100. One row for each row of docs: doc_id, n_shingles, component_id (smallest
     doc_id reachable by links, itself included).
