@@ -5,11 +5,12 @@ from __future__ import annotations
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from culvert.operators.design import review, size_network
 from culvert.operators.network import analyze
 from culvert.sinks import report
-from culvert.sources.ssn import Networks, read_ssn
+from culvert.sources.ssn import Networks, parse_ssn, read_ssn
 
 
 def reports(networks: Networks, size: bool = False, check: bool = False) -> list[DataFrame]:
@@ -25,6 +26,15 @@ def reports(networks: Networks, size: bool = False, check: bool = False) -> list
     return made
 
 
+def analyze_ssn(found: DataFrame) -> DataFrame:
+    """(network_id, rp_years, text): the plain report of each `.ssn` text (network_id, file, text), or
+    its first error."""
+    networks = parse_ssn(found)
+    first = networks.errors.groupBy("network_id").agg(F.min_by("error", "line_no").alias("error"))
+    failed = first.select("network_id", F.lit(None).cast("int").alias("rp_years"), F.concat(F.lit("error: "), "error").alias("text"))
+    return reports(networks)[0].unionByName(failed)
+
+
 def main(argv: list[str]) -> int:
     paths = [a for a in argv if not a.startswith("--")]
     flags = {a for a in argv if a.startswith("--")}

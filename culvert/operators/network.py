@@ -88,7 +88,9 @@ def analyze(nodes: DataFrame, pipes: DataFrame, idf: DataFrame | None = None, op
         .unionByName(_tagged(2, nodes, "kind", None, ["invert", "rim", "area_ac", "c", "tc_inlet", "x", "y"]))
         .unionByName(_tagged(3, pipes, "from", "to", ["length", "n", "rise", "span", shape]))
     )
-    dealt = rows.repartition("network_id").sortWithinPartitions("network_id", "tag", "ord")
+    # By a code of the id: Spark drops a repartition by the id itself where it holds all parts of the
+    # union to be dealt by it, which adaptive coalescing of their shuffles can make untrue.
+    dealt = rows.repartition(F.xxhash64("network_id")).sortWithinPartitions("network_id", "tag", "ord")
     solved = dealt.mapInArrow(_solve_all, _SOLVED)
     pipe_cols = ["network_id", "rp_years", "ord", "id", "from", "to", *_PIPE_OUT, "surcharged"]
     return Analysis(
