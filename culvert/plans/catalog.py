@@ -603,3 +603,59 @@ def fitted_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     depth = hd.idf_intensity("duration_min", "a", "b", "c") * F.col("duration_min") / 60.0
     fitted = hd.atlas_to_idf(points.withColumn("depth_in", depth).select("network_id", "rp_years", "duration_min", "depth_in"))
     return fitted.select("network_id", "rp_years", r6("a", "a", 2), r6("b", "b", 2), r6("c", "c", 3))
+
+
+@query(f"""WITH RECURSIVE r AS MATERIALIZED (SELECT *, 60.0::DOUBLE * sum(least(c, 1.0::DOUBLE) * area_ac) OVER (PARTITION BY network_id ORDER BY ord) AS q, max(ord) OVER (PARTITION BY network_id) AS last,
+         100.0::DOUBLE + sum(slope * length) OVER (PARTITION BY network_id ORDER BY ord DESC) - slope * length AS inv_dn, pi() / 64.0::DOUBLE AS a, 1.49::DOUBLE / n * (pi() / 64.0::DOUBLE) * pow(0.0625::DOUBLE, 2.0::DOUBLE / 3.0::DOUBLE) AS conv FROM ({views.REACH})),
+       up(network_id, ord, hgl_dn, hgl_up) AS (
+         SELECT network_id, ord, 101.0::DOUBLE, greatest(101.0::DOUBLE, inv_dn + 0.25::DOUBLE) + pow(q / conv, 2) * length + 0.5::DOUBLE * pow(q / a, 2) / 64.4::DOUBLE FROM r WHERE ord = last
+         UNION ALL
+         SELECT r.network_id, r.ord, u.hgl_up, greatest(u.hgl_up, inv_dn + 0.25::DOUBLE) + pow(q / conv, 2) * length + 0.5::DOUBLE * pow(q / a, 2) / 64.4::DOUBLE FROM r JOIN up u ON r.network_id = u.network_id AND r.ord = u.ord - 1)
+       SELECT network_id, 'P' || ord AS id, round(hgl_dn, 2) AS hgl_dn, round(hgl_up, 2) AS hgl_up, true AS surcharged FROM up""")
+def pressurized_grade_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of 3-inch pipes under 60 in/hr: all reaches run full."""
+    nodes, pipes = views.chain(spark, sf_dir)
+    a = network.analyze_rational(nodes, pipes.withColumn("diameter", F.lit(0.25)), 60.0, Options(tailwater=101.0))
+    return a.pipes.select("network_id", "id", r6("hgl_dn", "hgl_dn", 2), r6("hgl_up", "hgl_up", 2), "surcharged")
+
+
+def _raw_chain() -> str:
+    """CTEs that end in step: chain flows as they are, not rounded."""
+    return _chain_sql().rsplit("SELECT network_id, ord, round(total_ca", 1)[0].rstrip()
+
+
+def _state(source: str) -> str:
+    """Adds over, velocity, share and fits to rows of q, n, slope, diameter."""
+    y = f"(CASE WHEN q > {_QMAX} THEN diameter ELSE {_YN} END)"
+    filled = f"SELECT *, q > {_QMAX} AS over, {y} AS y, q / {_FULL} AS share FROM ({source})"
+    moving = f"SELECT *, CASE WHEN over THEN q / (pi() * diameter * diameter / 4.0::DOUBLE) WHEN {_area_at('y')} > 0 THEN q / {_area_at('y')} ELSE 0.0::DOUBLE END AS velocity FROM ({filled})"
+    return f"SELECT *, NOT over AND velocity <= 10.0::DOUBLE + 1e-9 AND share <= 0.85::DOUBLE + 1e-9 AS fits FROM ({moving})"
+
+
+SQL["chain_sizes"] = f"""{_raw_chain()},
+    own AS MATERIALIZED ({_state("SELECT r.network_id, r.ord, s.q, n, slope, diameter FROM r JOIN step s ON r.network_id = s.network_id AND r.ord = s.ord")}),
+    trial AS ({_state(f"SELECT network_id, ord, q, n, slope, unnest({_TRIALS}) / 12.0::DOUBLE AS diameter FROM own WHERE NOT fits")}),
+    best AS (SELECT network_id, ord, coalesce(arg_min({{'d': diameter, 'v': velocity, 's': share, 'o': over}}, diameter) FILTER (fits), arg_max({{'d': diameter, 'v': velocity, 's': share, 'o': over}}, diameter)) AS b, bool_or(fits) AS found FROM trial GROUP BY network_id, ord)
+    SELECT o.network_id, 'P' || o.ord AS id, CASE WHEN o.fits THEN 'adequate' WHEN found THEN 'sized' ELSE 'no_solution' END AS outcome, round(CASE WHEN o.fits THEN diameter ELSE b.d END, 6) AS recommended_diameter,
+           round(CASE WHEN o.fits THEN velocity ELSE b.v END, 4) AS velocity, round(CASE WHEN o.fits THEN share ELSE b.s END, 6) AS pct_full, CASE WHEN o.fits THEN over ELSE b.o END AS surcharged
+    FROM own o LEFT JOIN best ON o.network_id = best.network_id AND o.ord = best.ord"""
+
+
+@query(f"""{_raw_chain()},
+    p AS (SELECT r.*, q, 'P' || r.ord AS id, q > {_QMAX} AS over, q / {_FULL} AS share, CASE WHEN q > {_QMAX} THEN q / (pi() * diameter * diameter / 4.0::DOUBLE) ELSE q / {_area_at('y')} END AS velocity
+          FROM (SELECT r.*, s.q, {_YN.replace(' q', ' s.q')} AS y FROM r JOIN step s ON r.network_id = s.network_id AND r.ord = s.ord) r)
+    SELECT network_id, 'surcharged' AS rule, id FROM p WHERE over
+    UNION ALL SELECT network_id, 'pct_full', id FROM p WHERE NOT over AND share > 0.85::DOUBLE
+    UNION ALL SELECT network_id, 'low_velocity', id FROM p WHERE velocity < 2.0::DOUBLE AND q > 0
+    UNION ALL SELECT network_id, 'high_velocity', id FROM p WHERE velocity > 10.0::DOUBLE AND q > 0
+    UNION ALL SELECT network_id, 'cover', id FROM p WHERE 8.0::DOUBLE - diameter < 6.1::DOUBLE
+    UNION ALL SELECT network_id, 'cover', id FROM p WHERE 8.0::DOUBLE - diameter < 6.1::DOUBLE
+    UNION ALL SELECT network_id, 'flat_slope', id FROM p WHERE slope < 0.004::DOUBLE
+    UNION ALL SELECT a.network_id, 'size_progression', b.id FROM p a JOIN p b ON a.network_id = b.network_id AND b.ord = a.ord + 1 WHERE b.diameter + 1e-9 < a.diameter""")
+def pipe_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review rules of pipes, with a cover of 6.1 ft and slopes of 0.004 asked for."""
+    from culvert.schema import ReviewCriteria
+
+    nodes, pipes, a = _analyzed(spark, sf_dir)
+    found = design.review(nodes, pipes, a.pipes, a.nodes, ReviewCriteria(min_cover_ft=6.1, min_slope=0.004))
+    return found.filter("rule not in ('flooding', 'freeboard')").select("network_id", "rule", "id")
