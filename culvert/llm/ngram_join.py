@@ -320,8 +320,9 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75,
         parts = written(components(links))
 
     joined = members.join(parts.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("part", F.coalesce("component", "set_id"))
-    joined = joined.filter("n > 0")
-    least = joined.groupBy("part").agg(F.min("id").alias("component_id"))
+    # Written, so that Spark can split the rows of a large component in the join.
+    joined = written(joined.filter("n > 0").select("id", "n", "part"))
+    least = written(joined.groupBy("part").agg(F.min("id").alias("component_id")))
     linked = joined.join(least, "part").select("id", "n", "component_id")
     alone = members.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
