@@ -13,7 +13,7 @@ GRID, CIRCLE_PEAK = 2000, 1876
 CIRCULAR, RECTANGULAR, ELLIPTICAL, ARCH = range(4)
 SHAPES = {"circular": CIRCULAR, "rectangular": RECTANGULAR, "elliptical": ELLIPTICAL, "arch": ARCH}
 _TOLERANCE, _SIMPSON = 1e-7, 256
-_REACH_STEPS, _REACH_HALVINGS = 12, 80
+_REACH_STEPS, _ROOT_STEPS = 12, 60
 _peaks: dict[tuple[int, float], int] = {}
 
 
@@ -158,6 +158,28 @@ def critical_depth(q, sections: Sections, g: float = G_US):
     return np.where(q <= 0, 0.0, y)
 
 
+def _root(f, lo, hi, f_lo, f_hi, open_):
+    """Roots between lo and hi by false position; an end that stays twice has its value halved
+    (the Illinois rule), so that brackets close quickly from both ends."""
+    lo, hi, f_lo, f_hi = lo.copy(), hi.copy(), f_lo.copy(), f_hi.copy()
+    root, side = np.where(open_, hi, lo), np.zeros(lo.shape, np.int8)
+    for _ in range(_ROOT_STEPS):
+        gap = f_hi - f_lo
+        mid = np.where(open_ & (gap != 0), hi - f_hi * np.divide(hi - lo, gap, out=np.zeros_like(gap), where=gap != 0), root)
+        value = f(mid)
+        upper = np.signbit(value) == np.signbit(f_hi)
+        root = np.where(open_, mid, root)
+        up, down = open_ & upper, open_ & ~upper
+        f_lo = np.where(up & (side == 1), 0.5 * f_lo, np.where(down, value, f_lo))
+        f_hi = np.where(down & (side == -1), 0.5 * f_hi, np.where(up, value, f_hi))
+        hi, lo = np.where(up, mid, hi), np.where(down, mid, lo)
+        side = np.where(up, 1, np.where(down, -1, side)).astype(np.int8)
+        open_ = open_ & (np.abs(value) > 1e-10) & (hi - lo > 1e-9)
+        if not open_.any():
+            break
+    return root
+
+
 def backwater(sections: Sections, n, q, inv_dn, inv_up, length, ws_dn, y_crit, y_normal):
     """Water surface at the upper end of subcritical reaches, by standard steps from the lower end."""
     plain = (length <= 1e-9) | (q <= 0)
@@ -181,18 +203,11 @@ def backwater(sections: Sections, n, q, inv_dn, inv_up, length, ws_dn, y_crit, y
             return z_up + m + h - (known + 0.5 * (sf + friction) * dx)
 
         lo, hi = floor.copy(), np.maximum(y + 2.0, 2.0 * sections.rise)
-        at_lo = excess(lo)
-        sign = np.signbit(at_lo)
-        none = sign == np.signbit(excess(hi))
-        open_ = ~none & (at_lo != 0)
-        for _ in range(_REACH_HALVINGS):
-            mid = 0.5 * (lo + hi)
-            same = np.signbit(excess(mid)) == sign
-            lo, hi = np.where(open_ & same, mid, lo), np.where(open_ & ~same, mid, hi)
-            open_ &= hi - lo >= _TOLERANCE
-            if not open_.any():
-                break
-        y = np.where(at_lo == 0, floor, np.where(none, np.maximum(y_normal, floor), 0.5 * (lo + hi)))
+        at_lo = f_lo = excess(lo)
+        f_hi = excess(hi)
+        none = np.signbit(f_lo) == np.signbit(f_hi)
+        root = _root(excess, lo, hi, f_lo, f_hi, ~none & (at_lo != 0))
+        y = np.where(at_lo == 0, floor, np.where(none, np.maximum(y_normal, floor), root))
         y = np.maximum(y, floor)
     return np.where(plain, ws_dn + (inv_up - inv_dn), inv_up + y)
 
