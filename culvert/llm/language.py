@@ -28,6 +28,8 @@ CELLS = 4096
 MAX_SAMPLE, CENTROIDS = 2000, 4
 UNKNOWN = "und"
 _ROUNDS, _OUTLIERS, _SLACK = 12, 0.005, 0.1
+#: A cosine under this is rejected whatever the members of the centroid reach.
+_LEAST_COSINE = 0.08
 _BATCH = 250
 # Letters: a-z and all bytes of longer characters; the rest is 0, a blank.
 _LETTER = np.array([b if 0x61 <= b <= 0x7A or b >= 0x80 else 0 for b in range(256)], dtype=np.uint32)
@@ -136,7 +138,7 @@ def _predict(shared):
                 if len(langs) and len(batch):
                     cosines = vectors(text, model.idf) @ model.centres.T
                     near, best = cosines.argmax(axis=1), cosines.max(axis=1)
-                    lang, rejected = np.where(lettered, langs[near], UNKNOWN), ~lettered | (best < model.least[near])
+                    lang, rejected = np.where(lettered, langs[near], UNKNOWN), ~lettered | (best < np.maximum(model.least[near], _LEAST_COSINE))
                 else:
                     best = np.zeros(len(batch))
                     lang, rejected = np.full(len(batch), UNKNOWN, dtype=object), np.ones(len(batch), bool)
