@@ -6,15 +6,14 @@ anchors of a words at cover places: only anchors at places in D are hashed and s
 that stands in one document alone rules out every window that could contain it; the windows around
 shared anchors are hashed whole, and the smallest document of each window's words decides.
 
-Rows go round twice: anchors and then windows are dealt to buckets by code; what a bucket finds
-goes back to the documents, which are dealt to chunks by doc_id. Tasks send a code once for each
-chunk, so a passage that very many documents share costs one row for each chunk.
+Documents are dealt to chunks by doc_id. Anchors and then windows go from chunks to buckets by code,
+and what a bucket finds goes back. A chunk sends and gets a code once, however many of its documents
+hold it, so a passage that very many documents share costs one entry for each chunk.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
@@ -29,6 +28,9 @@ from culvert.llm.exchange import NO_ID, bounded_batches, bucket_of, groups_for,
 COVERS = ((7, (0, 1, 3)), (3, (0, 1)), (1, (0,)))
 #: Bytes of text for each chunk of documents and each bucket of codes.
 CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
+#: The bits of an anchor's code that are sent. Anchors only choose windows to compare, so that two
+#: anchors with one code cost some windows and change no result.
+_ANCHOR_BITS = np.uint64((1 << 64) - (1 << 16))
 _ROWS = "bucket int, codes binary, more binary, ids binary"
 _BACK = "chunk bigint, codes binary, more binary, ids binary"
 
@@ -56,7 +58,7 @@ class Texts:
         fits = wd.within_rows(self.bounds, size)
         inside = (np.arange(len(fits)) - self.bounds[row[: len(fits)]]) % period
         places = np.flatnonzero(fits & np.isin(inside, cover))
-        return places, wd.window_codes(self.codes, size)[places], row[places]
+        return places, wd.window_codes(self.codes, size)[places] & _ANCHOR_BITS, row[places]
 
     def windows(self, width: int, near: np.ndarray | None = None):
         """Places, two codes and rows of windows; with `near`, only those that hold such an anchor."""
@@ -85,38 +87,55 @@ def as_rows(key: str, kind: pa.DataType, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[key, "codes", "more", "ids"])
 
 
+def in_chunk(codes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A chunk's distinct codes, in order, and whether more than one of its documents has each."""
+    order = np.argsort(codes, kind="stable")
+    codes, ids = codes[order], ids[order]
+    at = run_starts(codes)
+    several = np.minimum.reduceat(ids, at) != np.maximum.reduceat(ids, at) if len(at) else np.zeros(0, bool)
+    return codes[at], several
+
+
 def _anchors(width: int, buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    """A chunk's distinct anchors: one entry each, however many of its documents hold it."""
+
+    def run(key: tuple, docs: pa.Table) -> pa.Table:
+        found = []
+        for batch in docs.to_batches(max_chunksize=500):
             texts = Texts(batch.column("doc_id"), batch.column("text"))
             _, codes, row = texts.anchors(width)
-            ids = texts.ids[row]
-            order = np.lexsort((ids, codes))
-            codes, ids = codes[order], ids[order]
-            new = np.ones(len(codes), bool)
-            new[1:] = (codes[1:] != codes[:-1]) | (ids[1:] != ids[:-1])
-            codes, ids = codes[new], ids[new]
-            yield as_rows("bucket", pa.int32(), [(b, packed(codes[i:j]), None, packed(ids[i:j])) for b, i, j in slices(bucket_of(codes, buckets))])
+            found.append((codes, texts.ids[row]))
+        codes, several = in_chunk(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        chunk = packed(np.array([key[0].as_py()]))
+        rows = [(b, packed(codes[i:j]), packed(several[i:j].view(np.uint8)), chunk) for b, i, j in slices(bucket_of(codes, buckets))]
+        return pa.Table.from_batches([as_rows("bucket", pa.int32(), rows)])
 
     return run
 
 
-def _shared(chunks: int):
+def chunk_of_entries(table: pa.Table, dtype) -> np.ndarray:
+    """The chunk of each entry of a bucket's rows: a row has the entries of one chunk."""
+    chunks = unpacked_all(table.column("ids"), np.int64)
+    sizes = [len(x.as_buffer()) // np.dtype(dtype).itemsize for x in table.column("codes")]
+    return np.repeat(chunks, sizes)
+
+
+def _shared():
     """Of a bucket's anchors those in at least two documents, sent back to the chunks that hold them."""
 
     def run(table: pa.Table) -> pa.Table:
-        codes, ids = unpacked_all(table.column("codes"), np.uint64), unpacked_all(table.column("ids"), np.int64)
+        codes, several = unpacked_all(table.column("codes"), np.uint64), unpacked_all(table.column("more"), np.uint8)
+        chunk = chunk_of_entries(table, np.uint64)
         order = np.argsort(codes)
-        codes, ids = codes[order], ids[order]
+        codes, several, chunk = codes[order], several[order], chunk[order]
         at = run_starts(codes)
-        run_of = np.repeat(np.arange(len(at)), np.diff([*at, len(codes)]))
-        kept = (np.minimum.reduceat(ids, at) != np.maximum.reduceat(ids, at))[run_of] if len(at) else np.zeros(0, bool)
-        codes, chunk = codes[kept], ids[kept] % chunks
-        order = np.lexsort((codes, chunk))
+        size = np.diff([*at, len(codes)])
+        kept = several > 0
+        if len(at):
+            kept |= np.repeat(size > 1, size)  # two chunks have no document in common
+        codes, chunk = codes[kept], chunk[kept]
+        order = np.argsort(chunk, kind="stable")
         codes, chunk = codes[order], chunk[order]
-        new = np.ones(len(codes), bool)
-        new[1:] = (codes[1:] != codes[:-1]) | (chunk[1:] != chunk[:-1])
-        codes, chunk = codes[new], chunk[new]
         return pa.Table.from_batches([as_rows("chunk", pa.int64(), [(c, packed(codes[i:j]), None, None) for c, i, j in slices(chunk)])])
 
     return run
@@ -215,8 +234,8 @@ def substring_dedup(docs: DataFrame, width: int = 13, keep_text: bool = True) ->
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     chunks, buckets = groups_for(docs, "text", CHUNK_BYTES), groups_for(docs, "text", BUCKET_BYTES)
     by_chunk = docs.withColumn("chunk", F.pmod(F.coalesce("doc_id", F.lit(NO_ID)), F.lit(chunks)))
-    anchors = docs.mapInArrow(_anchors(width, buckets), _ROWS)
-    shared = anchors.groupBy("bucket").applyInArrow(_shared(chunks), _BACK)
+    anchors = by_chunk.groupBy("chunk").applyInArrow(_anchors(width, buckets), _ROWS)
+    shared = anchors.groupBy("bucket").applyInArrow(_shared(), _BACK)
     windows = by_chunk.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_candidates(width, buckets), _ROWS)
     kept_by = windows.groupBy("bucket").applyInArrow(owners(chunks), _BACK)
     result = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
