@@ -12,15 +12,13 @@ smallest document that has it keeps it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from culvert.llm import words as wd
-from culvert.llm.exchange import NO_ID, bounded_batches, bucket_of, groups_for, packed, slices, unpacked_all
+from culvert.llm.exchange import NO_ID, bounded_batches, bucket_of, groups_for, packed, slices, unpacked, unpacked_all
 from culvert.llm.substring_dedup import BUCKET_BYTES, CHUNK_BYTES, _BACK, _ROWS, Texts, as_rows, cleaned, owners, smallest
 
 
@@ -58,18 +56,27 @@ def _smaller(a, i, b, j):
 
 
 def _suffixes(width: int, buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    """A chunk's distinct (first words, following words): one entry each. A flag tells whether more
+    than one of its documents has the entry (1), or its first words (2)."""
+
+    def run(key: tuple, docs: pa.Table) -> pa.Table:
+        found = []
+        for batch in docs.to_batches(max_chunksize=500):
             texts = Texts(batch.column("doc_id"), batch.column("text"))
             places, codes, row = kept_suffixes(texts, width)
-            more = _following(texts, places, row, width)
-            ids = texts.ids[row]
-            order = np.lexsort((ids, more, codes))
-            codes, more, ids = codes[order], more[order], ids[order]
-            new = np.ones(len(codes), bool)
-            new[1:] = (codes[1:] != codes[:-1]) | (more[1:] != more[:-1]) | (ids[1:] != ids[:-1])
-            codes, more, ids = codes[new], more[new], ids[new]
-            yield as_rows("bucket", pa.int32(), [(b, packed(codes[i:j]), packed(more[i:j]), packed(ids[i:j])) for b, i, j in slices(bucket_of(codes, buckets))])
+            found.append((codes, _following(texts, places, row, width), texts.ids[row]))
+        codes, more, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((more, codes))
+        codes, more, ids = codes[order], more[order], ids[order]
+        agree = codes[1:] == codes[:-1]
+        first = _several(agree, ids)
+        whole = _several(agree & (more[1:] == more[:-1]), ids)
+        new = np.ones(len(codes), bool)
+        new[1:] = ~agree | (more[1:] != more[:-1])
+        codes, more, flags = codes[new], more[new], (whole[new] + 2 * first[new]).astype(np.uint8)
+        chunk = np.array([key[0].as_py()])
+        rows = [(b, packed(codes[i:j]), packed(more[i:j]), packed(np.concatenate([chunk.view(np.uint8), flags[i:j]]))) for b, i, j in slices(bucket_of(codes, buckets))]
+        return pa.Table.from_batches([as_rows("bucket", pa.int32(), rows)])
 
     return run
 
@@ -83,21 +90,23 @@ def _following(texts: Texts, places: np.ndarray, row: np.ndarray, width: int) ->
     return codes
 
 
-def _neighbours(chunks: int):
+def _neighbours():
     """Of a bucket's sorted suffixes those that agree with a neighbour of another document, sent to
     the chunks that hold them: more is 1 if `width` words agree with some other document's."""
 
     def run(table: pa.Table) -> pa.Table:
-        codes, more, ids = (unpacked_all(table.column(c), t) for c, t in (("codes", np.uint64), ("more", np.uint64), ("ids", np.int64)))
-        order = np.lexsort((ids, more, codes))
-        codes, more, ids = codes[order], more[order], ids[order]
+        codes, more = unpacked_all(table.column("codes"), np.uint64), unpacked_all(table.column("more"), np.uint64)
+        marks = [unpacked(x.as_buffer(), np.uint8) for x in table.column("ids")]
+        flags = np.concatenate([x[8:] for x in marks]) if marks else np.zeros(0, np.uint8)
+        chunk = np.repeat(np.array([x[:8].view(np.int64)[0] for x in marks], np.int64), [len(x) - 8 for x in marks])
+        order = np.lexsort((more, codes))
+        codes, more, flags, chunk = codes[order], more[order], flags[order], chunk[order]
         agree = codes[1:] == codes[:-1]
-        longer = agree & (more[1:] == more[:-1]) & (more[1:] > 0)
-        kept, long = _touching(agree, ids), _touching(longer, ids)
-        chunk = ids % chunks
-        codes, chunk, long = codes[kept], chunk[kept], long[kept].astype(np.uint64)
-        order = np.lexsort((~long.astype(bool), codes, chunk))
-        codes, chunk, long = codes[order], chunk[order], long[order]
+        kept = _several(agree, chunk) | (flags & 2 > 0)
+        long = (_several(agree & (more[1:] == more[:-1]), chunk) | (flags & 1 > 0)) & (more > 0)
+        codes, chunk, long = codes[kept], chunk[kept], long[kept]
+        order = np.lexsort((~long, codes, chunk))
+        codes, chunk, long = codes[order], chunk[order], long[order].astype(np.uint64)
         new = np.ones(len(codes), bool)
         new[1:] = (codes[1:] != codes[:-1]) | (chunk[1:] != chunk[:-1])
         codes, chunk, long = codes[new], chunk[new], long[new]
@@ -106,13 +115,13 @@ def _neighbours(chunks: int):
     return run
 
 
-def _touching(agree: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Members of runs of agreeing neighbours that hold more than one document."""
-    if not len(ids):
+def _several(agree: np.ndarray, owners_: np.ndarray) -> np.ndarray:
+    """Members of runs of agreeing neighbours that have more than one owner (documents or chunks)."""
+    if not len(owners_):
         return np.zeros(0, bool)
     at = np.concatenate([[0], np.flatnonzero(~agree) + 1])
-    run = np.repeat(np.arange(len(at)), np.diff([*at, len(ids)]))
-    return (np.minimum.reduceat(ids, at) != np.maximum.reduceat(ids, at))[run]
+    run = np.repeat(np.arange(len(at)), np.diff([*at, len(owners_)]))
+    return (np.minimum.reduceat(owners_, at) != np.maximum.reduceat(owners_, at))[run]
 
 
 def _extended(width: int, buckets: int):
@@ -164,8 +173,8 @@ def suffix_dedup(docs: DataFrame, width: int = 50, keep_text: bool = True) -> Da
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     chunks, buckets = groups_for(docs, "text", CHUNK_BYTES), groups_for(docs, "text", BUCKET_BYTES)
     by_chunk = docs.withColumn("chunk", F.pmod(F.coalesce("doc_id", F.lit(NO_ID)), F.lit(chunks)))
-    suffixes = docs.mapInArrow(_suffixes(width, buckets), _ROWS)
-    matched = suffixes.groupBy("bucket").applyInArrow(_neighbours(chunks), _BACK)
+    suffixes = by_chunk.groupBy("chunk").applyInArrow(_suffixes(width, buckets), _ROWS)
+    matched = suffixes.groupBy("bucket").applyInArrow(_neighbours(), _BACK)
     runs = by_chunk.groupBy("chunk").cogroup(matched.groupBy("chunk")).applyInArrow(_extended(width, buckets), _ROWS)
     kept_by = runs.groupBy("bucket").applyInArrow(owners(chunks), _BACK)
     result = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
