@@ -26,6 +26,8 @@ from culvert.llm.exchange import bounded_batches, written
 
 #: Words whose ids a worker remembers, in each of two generations.
 MEMORY_WORDS = 300_000
+#: Partitions of the input whose offsets (16 bytes each) are broadcast at most; more are joined by a shuffle.
+BROADCAST_PARTS = 500_000
 _TOKENS = "doc_id bigint, doc_tokens bigint, ids binary, part int, part_start bigint"
 _PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 
@@ -167,8 +169,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end: int = 2, with
     totals = tokens.groupBy("part").agg(F.sum("doc_tokens").alias("tokens"))
     # One row for each partition of the input, not for each document.
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    bases = totals.select("part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
-    return tokens.join(bases, "part").mapInArrow(_cut(window, with_ids), _PIECES)
+    bases = written(totals.select("part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base")))
+    few = bases.limit(BROADCAST_PARTS + 1).count() <= BROADCAST_PARTS
+    return tokens.join(F.broadcast(bases) if few else bases, "part").mapInArrow(_cut(window, with_ids), _PIECES)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
