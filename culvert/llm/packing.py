@@ -56,10 +56,12 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
@@ -80,7 +82,7 @@ class WordTokenizer:
             if len(known) > MEMORY_WORDS:
                 self.known, self.old = {}, known
             if len(self.parts) > MEMORY_WORDS:
-                self.parts = {}
+                self.parts, self.old_parts = {}, self.parts
 
     def _word(self, raw: bytes) -> bytes:
         word = raw.decode()
@@ -93,13 +95,18 @@ class WordTokenizer:
         core = low.rstrip(self._MARKS)
         if not core.isalpha():
             return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return self._part(core) + self._part(low[len(core) :])
+        ids = self.parts.get(core) or self._part(core)
+        if len(core) == len(low):
+            return ids
+        marks = low[len(core) :]
+        return ids + (self.parts.get(marks) or self._part(marks))
 
     def _part(self, text: str) -> bytes:
-        if (ids := self.parts.get(text)) is None:
+        if (ids := self.old_parts.get(text)) is None:
             spelt = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
-            ids = struct.pack(f"<{len(made := self.tokenizer.model.tokenize(spelt))}I", *[t.id for t in made]) if text else b""
-            self.parts[text] = ids
+            made = [t.id for t in self.model.tokenize(spelt)]
+            ids = struct.pack(f"<{len(made)}I", *made)
+        self.parts[text] = ids
         return ids
 
 
