@@ -44,7 +44,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs (4); rows without doc_id stay."""
-    found = decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"), width=10)
+    found = decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"), width=10, near=False)
     gone = found.filter("contaminated and doc_id is not null").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 

@@ -8,6 +8,11 @@ no training text has rule their windows out at once.
 
 A posting is tried once for each (offset, length) that its term has, however many windows those
 are: candidates meet windows by a code of all their words, and the words are compared after that.
+
+Proximity is asked of the same postings: a window is near where all its words, in any order, stand
+in its length and `SLACK` words more. Such a span has the window's rarest term, so it lies around a
+posting. A posting meets, for each word around it, the windows that have this word as their second
+rarest, and not all windows of its term; all words are compared after that.
 """
 
 from __future__ import annotations
@@ -20,6 +25,8 @@ from culvert.llm.exchange import NO_ID, written
 
 #: Rows of test terms and of test windows that are broadcast at most; more are joined by a shuffle.
 BROADCAST_TERMS, BROADCAST_WINDOWS = 200_000, 50_000
+#: Words that may stand between the words of a window that is near.
+SLACK = 1
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # What parts words `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` of a text before its A-Z become a-z.
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -69,13 +76,28 @@ def term_counts(docs: DataFrame, windows: DataFrame) -> DataFrame:
     return found.join(_sized(terms, BROADCAST_TERMS), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
 
 
-def rarest_terms(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """(term, slots): the rarest term of each window, with the distinct (offset, length) it has there."""
+def rarest_of(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """(code, n_words, offset, term, second): the rarest term of each window, the offset it has
+    there, and the rarest of the other terms, or the same where there is none. Windows with a term
+    that no text has are left out."""
     at = windows.select("code", F.size("words").alias("n_words"), F.posexplode("words").alias("offset", "word"))
     at = at.select("code", "n_words", "offset", _code(F.col("word")).alias("term"))
     counted = at.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rarest = counted.groupBy("code", "n_words").agg(F.min(F.struct("n", "offset", "term")).alias("r")).filter("r.n > 0")
-    return rarest.groupBy("r.term").agg(F.collect_set(F.struct(F.col("r.offset").alias("offset"), "n_words")).alias("slots"))
+    ranked = counted.groupBy("code", "n_words").agg(F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("terms"))
+    ranked = ranked.select("code", "n_words", F.col("terms")[0].alias("r"), "terms").filter("r.n > 0")
+    others = F.filter("terms", lambda x: x["term"] != F.col("r.term"))
+    second = F.when(F.size(others) > 0, F.get(others, F.lit(0))["term"]).otherwise(F.col("r.term"))
+    return ranked.select("code", "n_words", F.col("r.offset").alias("offset"), F.col("r.term").alias("term"), second.alias("second"))
+
+
+def slots_of(rarest: DataFrame) -> DataFrame:
+    """(term, slots): each term of rarest_of() with the distinct (offset, length) it has in windows."""
+    return rarest.groupBy("term").agg(F.collect_set(F.struct("offset", "n_words")).alias("slots"))
+
+
+def rarest_terms(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """(term, slots): the rarest term of each window, with the distinct (offset, length) it has there."""
+    return slots_of(rarest_of(windows, counts))
 
 
 def postings(docs: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
@@ -102,22 +124,49 @@ def phrase_matches(index: DataFrame, windows: DataFrame) -> DataFrame:
     return tried.join(_sized(known, BROADCAST_WINDOWS), "code").filter("found = words").select("id", "mark", "start", "n_words", "code")
 
 
-def proximity_matches(index: DataFrame, windows: DataFrame, terms_of: DataFrame) -> DataFrame:
-    """Places where all words of a window stand, in any order, in the words around its rarest term:
-    id, mark, place, code. terms_of is (code, term): the rarest term of each window."""
-    near = index.select("id", "mark", "term", "place", _lowered("around").alias("around"))
-    asked = windows.join(terms_of, "code").select("code", "term", "words")
-    met = near.join(asked, "term").filter(F.size(F.array_except("words", "around")) == 0)
-    return met.select("id", "mark", "place", "code").distinct()
+def _holds(span: Column, words: Column) -> Column:
+    """Whether a span has each of the words at least as often as they have it."""
+    times = lambda among, w: F.size(F.filter(among, lambda x: x == w))
+    return F.forall(words, lambda w: times(span, w) >= times(words, w))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
+def proximity_matches(index: DataFrame, windows: DataFrame, terms_of: DataFrame, slack: int = SLACK) -> DataFrame:
+    """Places where all words of a window, each as often as there, stand in any order in a span of
+    the window's length and `slack` words more: id, mark, place (of its rarest term), code. terms_of
+    is rarest_of(), or (code, term) alone. The index reaches that span less one word to each side;
+    what a shorter reach leaves out is not seen."""
+    if "second" not in terms_of.columns:
+        terms_of = terms_of.withColumn("second", F.col("term"))
+    near = index.select("id", "mark", "term", "place", "before", _lowered("around").alias("around"))
+    near = near.select("*", F.explode(F.transform("around", _code)).alias("second"))
+    asked = windows.select("code", "words").join(terms_of.select("code", "term", "second"), "code")
+    met = near.join(_sized(asked, BROADCAST_WINDOWS), ["term", "second"]).filter(F.size(F.array_except("words", "around")) == 0)
+    met = met.select("id", "mark", "place", "code", "before", "around", "words").distinct()
+    most = F.size("words") + slack
+    starts = F.sequence(F.greatest(F.lit(0), F.col("before") - most + 1), F.col("before"))
+    return met.filter(F.exists(starts, lambda s: _holds(F.slice("around", s + 1, most), F.col("words")))).select("id", "mark", "place", "code").distinct()
+
+
+def _named(matches: DataFrame, windows: DataFrame, name: str) -> DataFrame:
+    """(id, mark, `name`): the items of the windows in matches (id, mark, code), sorted."""
+    met = matches.select("id", "mark", "code").distinct().join(_sized(windows.select("code", "items"), BROADCAST_WINDOWS), "code")
+    return met.select("id", "mark", F.explode("items").alias("item")).groupBy("id", "mark").agg(F.array_sort(F.collect_set("item")).alias(name))
+
+
+def _or_none(items: str) -> Column:
+    return F.coalesce(items, F.array().cast("array<string>"))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, near: bool = True) -> DataFrame:
     """Benchmark passages in documents (doc_id, text); benchmark items are (item_id, text).
 
     Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z become a-z. A window is `width` words in a
     row of an item, or a shorter item whole. One row for each row of docs: doc_id, n_words, n_hit
     (words inside any occurrence of a window), n_items (items with occurring windows), items (their
-    ids as sorted strings), items_sha256 (of items, comma-joined), contaminated (n_hit > 0).
+    ids as sorted strings), items_sha256 (of items, comma-joined), contaminated (n_hit > 0), and
+    n_near_items and near_items (the same of items with windows that are near: all words, in any
+    order, in the window's length and SLACK words more; windows that occur are near too). Without
+    `near` these two are left out, and their pass over the texts.
 
     Null texts have no words; items without words have no windows; a null item_id stands as the
     empty string. A null doc_id stays null. Repeated rows get equal rows. Empty tables give an empty
@@ -127,7 +176,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFra
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
     keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("mark"), "text")
     windows = written(windows_of(items, width))
-    terms = written(rarest_terms(windows, term_counts(docs, windows)))
+    rarest = written(rarest_of(windows, term_counts(docs, windows)))
+    terms = written(slots_of(rarest))
     # A posting's context: any window that its term stands in.
     index = postings(keyed, _sized(terms, BROADCAST_TERMS), width - 1)
     matches = written(phrase_matches(index, windows).distinct())
@@ -136,13 +186,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFra
     end = F.col("start") + F.col("n_words")
     fresh = F.greatest(F.lit(0), end - F.greatest("start", F.coalesce(F.max(end).over(earlier), F.lit(0))))
     hits = matches.select("id", "mark", fresh.alias("fresh")).groupBy("id", "mark").agg(F.sum("fresh").alias("n_hit"))
-    met = matches.select("id", "mark", "code").distinct().join(_sized(windows.select("code", "items"), BROADCAST_WINDOWS), "code")
-    named = met.select("id", "mark", F.explode("items").alias("item")).groupBy("id", "mark").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    found = hits.join(named, ["id", "mark"])
+    found = hits.join(_named(matches, windows, "items"), ["id", "mark"])
 
     words = keyed.select("id", "mark", _raw(F.col("text")).alias("words")).select("id", "mark", _n_words("words").alias("n_words"))
     joined = words.join(found, ["id", "mark"], "left")
-    own = F.coalesce("items", F.array().cast("array<string>"))
+    own, more = _or_none("items"), []
+    if near:
+        wider = postings(keyed, _sized(terms, BROADCAST_TERMS), width - 1 + SLACK)
+        close = written(proximity_matches(wider, windows, rarest).select("id", "mark", "code").distinct())
+        joined = joined.join(_named(close, windows, "near_items"), ["id", "mark"], "left")
+        more = [F.size(_or_none("near_items")).cast("bigint").alias("n_near_items"), _or_none("near_items").alias("near_items")]
     return joined.select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"),
         "n_words",
@@ -151,4 +204,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFra
         own.alias("items"),
         F.sha2(F.array_join(own, ","), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        *more,
     )

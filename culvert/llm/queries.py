@@ -44,7 +44,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10).drop("items")
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10).drop("items", "n_near_items", "near_items")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,6 +51,36 @@ def test_proximity(spark):
     assert sorted(r.id for r in proximity_matches(index, windows, of).collect()) == [1, 2]
 
 
+def test_decontaminate_near(spark):
+    """Words of a window that are reordered, or have one word put in between, are found near."""
+    def counted(words):
+        return {w: words.count(w) for w in words}
+
+    def near(t, item):  # from the definition, without an index
+        w, own = brute.ALNUM.findall(brute.lower(t)), brute.ALNUM.findall(brute.lower(item))
+        for k in range(max(1, len(own) - 3) if own else 0):
+            window = own[k : k + 4]
+            for s in range(len(w)):
+                span = w[s : s + len(window) + 1]
+                if all(span.count(x) >= n for x, n in counted(window).items()):
+                    return True
+        return False
+
+    rng = random.Random(9)
+    word = lambda: rng.choice("abcdefghijkl")
+    rows = [(k, " ".join(word() for _ in range(rng.randrange(25)))) for k in range(150)]
+    rows += [(900, "one four THREE, two"), (901, "one two x three four"), (902, "one two x y three four"), (903, "one two three four"), (904, "x one x"), (905, "p q p r"), (906, None), (None, "four three two one")]
+    items = [(k, " ".join(word() for _ in range(rng.randrange(1, 9)))) for k in range(20)] + [(90, "One two three four"), (91, "p p q"), (92, None)]
+    found = decontaminate(frame(spark, rows), spark.createDataFrame(items, "item_id bigint, text string"), width=4)
+    got = {r.doc_id: r for r in found.collect()}
+    want = {i: sorted(str(k) for k, t in items if near(text or "", t or "")) for i, text in rows}
+    assert {i: r.near_items for i, r in got.items()} == want and all(r.n_near_items == len(r.near_items) for r in got.values())
+    assert all(set(r.items) <= set(r.near_items) for r in got.values())
+    assert [i for i in (900, 901, 902, 903, None) if "90" in got[i].near_items] == [900, 901, 903, None] and got[900].n_hit == 0
+    assert "91" in got[905].near_items and not got[905].contaminated
+    assert sum(r.n_near_items > r.n_items for r in got.values()) > 5
+
+
 def test_line_dedup(spark):
     rng = random.Random(5)
     lines = [f"line {k}" for k in range(30)]
