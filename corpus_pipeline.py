@@ -2,12 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; run() writes what
 each returns as Parquet in the shared folder and reads it again for the next. All stages but the
-last return the columns of documents; a document is a row, and its doc_id names it.
+last return the columns of documents; a document is a row, and its doc_id may be null or repeated.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from culvert.llm import quality
@@ -30,23 +30,52 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score(docs, weights).filter(F.col("score") >= LEAST_QUALITY).select(docs.columns)
 
 
+def _one_each(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """One row of rows for each key, the longest text first: columns."""
+    length = F.length(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    best = rows.groupBy(key).agg(F.max_by(F.struct(*columns), length).alias("row"))
+    return best.select(*(F.col("row")[c].alias(c) for c in columns))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts (8)."""
-    return exact_dedup(docs).filter("kept").select(docs.columns)
+    """One row of each group of equal texts (8). The operator keeps all rows of a group that have
+    the id to keep, or no id where that is null; of those the one with the most code points stays."""
+    found = written(exact_dedup(docs).filter("kept").select(*docs.columns, "text_sha256", "group_size"))
+    alone = found.filter("group_size = 1").select(docs.columns)
+    return alone.unionByName(_one_each(found.filter("group_size > 1"), "text_sha256", docs.columns))
+
+
+def _text_code() -> Column:
+    """Names a text, where doc_id may be null or repeated: 64 bits, as the operators' own codes."""
+    return F.xxhash64(F.lit("text"), F.col("text").cast("string"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each component of near-equal texts (10); empty texts stay."""
-    found = ngram_jaccard_components(docs.select("doc_id", "text"), width=5, percent=75)
-    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(-1)).alias("stays")).distinct()
-    return docs.join(stays, F.coalesce(docs.doc_id, F.lit(-1)) == stays.stays, "left_semi").select(docs.columns)
+    """One row of each component of near-equal texts (10): of the smallest doc_id, null last; of the
+    texts with that id, any. Empty texts stay. The component is of the text, whatever the row's id."""
+    keyed = docs.withColumn("text_code", _text_code())
+    parts = ngram_jaccard_components(keyed.select(F.col("text_code").alias("doc_id"), "text"), width=5, percent=75)
+    parts = parts.select(F.col("doc_id").alias("text_code"), "n_shingles", "component_id").distinct()
+    rows = keyed.groupBy("text_code", "doc_id").agg(F.count("*").alias("n")).join(parts, "text_code")
+    rows = written(rows.select(F.col("doc_id").alias("own_id"), "text_code", "n", "n_shingles", "component_id"))
+    first = F.min(F.struct(F.col("own_id").isNull().alias("last"), "own_id", "text_code", "n")).alias("f")
+    first = rows.filter("n_shingles > 0").groupBy("component_id").agg(first).select("f.own_id", "f.text_code", "f.n")
+    blank = rows.filter("n_shingles = 0").select("own_id", "text_code", F.lit(1).alias("n"))
+    stays = written(first.unionByName(blank).withColumnRenamed("text_code", "own_code"))
+    same = lambda own: (keyed.text_code == own.own_code) & keyed.doc_id.eqNullSafe(own.own_id)
+    once, repeated = stays.filter("n = 1"), stays.filter("n > 1")
+    kept = keyed.join(once, same(once), "left_semi").select(docs.columns)
+    if repeated.isEmpty():
+        return kept
+    return kept.unionByName(_one_each(keyed.join(repeated, same(repeated), "left_semi"), "text_code", docs.columns))
 
 
 def drop_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs (4); rows without doc_id stay."""
-    found = decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"), width=10, near=False)
-    gone = found.filter("contaminated and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Documents in which no window of a benchmark item occurs (4), by their texts, whatever their ids."""
+    keyed = docs.withColumn("text_code", _text_code())
+    found = decontaminate(keyed.select(F.col("text_code").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"), width=10, near=False)
+    gone = found.filter("contaminated").select(F.col("doc_id").alias("text_code")).distinct()
+    return keyed.join(gone, "text_code", "left_anti").select(docs.columns)
 
 
 def pack_all(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

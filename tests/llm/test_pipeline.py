@@ -75,3 +75,33 @@ def test_run(spark, tables):
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
     pieces = corpus_pipeline.run(spark, folder).collect()
     assert pieces and max(p.offset + p.length for p in pieces) <= 4096
+
+
+def test_rows_without_own_id(spark, tmp_path):
+    """Null and repeated ids: each row is decided by its own text, and one row of a group stays."""
+    rng = random.Random(4)
+    text = lambda n=40: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    near = lambda t: t + " more"
+    a, b, c, d, e, f, item = (text() for _ in range(7))
+    stage = {name: f for name, f in corpus_pipeline.STAGES}
+    frame = lambda rows: spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, place int").repartition(3)
+    shown = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    ordered = lambda rows: sorted(rows, key=repr)
+
+    rows = [(None, a), (None, a), (None, a + " "), (1, b), (1, b), (2, b), (1, c), (None, c), (None, None), (None, ""), (3, d)]
+    got = stage["exact dedup"](spark, frame(rows), "")
+    assert got.columns == ["doc_id", "text", "place"]
+    got = shown(got)
+    assert [x for x in got if x[1]] == ordered([(None, a + " "), (1, b), (1, c), (3, d)]) and len(got) == 5
+
+    rows = [(None, a), (None, near(a)), (4, b), (None, near(b)), (5, c), (6, d), (6, near(c)), (None, e), (-1, near(f)), (-2, f), (7, d), (7, d), (None, ""), (None, None), (8, text(3))]
+    rows += [(9, item), (9, item), (10, near(item))]
+    got = shown(stage["n-gram Jaccard join"](spark, frame(rows), ""))
+    one = [x for x in got if x in [(None, a), (None, near(a))]]
+    assert len(one) == 1
+    assert got == ordered([*one, (4, b), (5, c), (6, d), (None, e), (-2, f), (None, ""), (None, None), rows[14], (9, item)])
+
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, a), (None, a + " " + item), (1, b), (1, item + " " + b), (2, item), (2, item), (None, None), (3, c)]
+    got = shown(stage["benchmark decontamination"](spark, frame(rows), str(tmp_path)))
+    assert got == ordered([(None, a), (1, b), (None, None), (3, c)])
