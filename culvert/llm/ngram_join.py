@@ -1,4 +1,4 @@
-"""Exact Jaccard self-join of word n-gram sets by vertical partitioning.
+"""Components of an exact Jaccard self-join of word n-gram sets by vertical partitioning.
 
 Documents with equal sets form one class; classes are joined. All n-grams have one global order:
 by a hashed count of their documents, then by code, so common ones come last. The order's codes
@@ -13,7 +13,8 @@ class that stands in the most such n-grams: among near copies, the one nearest t
 own words of a copy take the first places of its set. Each class is verified with the hub that it
 shares most with. Then classes under one hub that are still in different components meet those
 outside their own component, once a hub and not once an n-gram, if both stand in enough such n-grams
-to link. So no link is lost, while a large group of near copies costs about one pair a member.
+to link. So no component is lost, while a large group of near copies costs about one pair a member.
+Pairs that already share a component are not verified: links inside a component are not returned.
 """
 
 from __future__ import annotations
