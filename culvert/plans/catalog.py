@@ -185,6 +185,13 @@ def tr55_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PERIODS = {2: 0.75, 10: 1.0, 25: 1.15, 50: 1.28, 100: 1.40}
 
 
+def flows_of_curves(reaches: DataFrame, curves: DataFrame) -> DataFrame:
+    """Design flows of reaches (network_id, id, tc_inlet, ca) in six periods, by the curve of their
+    own network (network_id, rp_years, a, b, c; one row a network)."""
+    each = reaches.join(hd.synthetic_set(curves), "network_id")
+    return each.withColumn("design_q", hd.idf_intensity(F.greatest("tc_inlet", F.lit(10.0)), "a", "b", "c") * F.col("ca"))
+
+
 @query(
     "SELECT network_id, id, "
     + ", ".join(f'round(max(CASE WHEN rp = {rp} THEN q END), 6) AS "{rp}"' for rp in (2, 5, 10, 25, 50, 100))
@@ -194,10 +201,8 @@ _PERIODS = {2: 0.75, 10: 1.0, 25: 1.15, 50: 1.28, 100: 1.40}
 def peak_flows_by_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     curves = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("network_id"), F.lit(10).alias("rp_years"), F.lit(60.0).alias("a"), F.lit(10.0).alias("b"), F.lit(0.8).alias("c")).distinct()
     r = views.reach(spark, sf_dir).select("network_id", F.concat(F.lit("P"), F.col("ord").cast("string")).alias("id"), "tc_inlet", hd.effective_ca("c", "area_ac").alias("ca"))
-    # One set of periods for all networks: the fan-out is an array of constants, not a join.
-    each = hd.synthetic_set(curves.limit(1).withColumn("network_id", F.lit(0).cast("bigint"))).drop("network_id")
-    flows = r.crossJoin(F.broadcast(each)).withColumn("design_q", hd.idf_intensity(F.greatest("tc_inlet", F.lit(10.0)), "a", "b", "c") * F.col("ca"))
     periods = [2, 5, 10, 25, 50, 100]
+    flows = flows_of_curves(r, curves)
     return network.peak_flow_pivot(flows, periods).select("network_id", "id", *[F.round(f"`{p}`", 6).alias(str(p)) for p in periods])
 
 

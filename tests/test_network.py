@@ -188,3 +188,15 @@ def test_catchments(spark):
     assert editing.relink_catchment(c, nodes, 1, 2, "N2").filter("id = 'C2'").first().inlet == "N2" and editing.delete_catchment(c, 1, 1).count() == 1
     with pytest.raises(ValueError):
         editing.relink_catchment(c, nodes, 1, 2, "nope")
+
+
+def test_flows_of_own_curves(spark):
+    """Each network's flows are by its own curve."""
+    from culvert.plans import catalog
+
+    reaches = spark.createDataFrame([(1, "P1", 12.0, 2.0), (2, "P1", 12.0, 2.0)], "network_id bigint, id string, tc_inlet double, ca double")
+    curves = spark.createDataFrame([(1, 10, 60.0, 10.0, 0.8), (2, 10, 90.0, 10.0, 0.8)], "network_id bigint, rp_years int, a double, b double, c double")
+    got = {(r.network_id, r.rp_years): r.design_q for r in catalog.flows_of_curves(reaches, curves).collect()}
+    assert len(got) == 12
+    assert all(abs(got[2, p] - 1.5 * got[1, p]) < 1e-9 for p in (2, 5, 10, 25, 50, 100))
+    assert abs(got[1, 10] - 2 * 60 / 22**0.8) < 1e-6
