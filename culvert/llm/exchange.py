@@ -1,12 +1,21 @@
-"""Helpers to size, split and pack what operators shuffle."""
+"""Helpers to size, split, pack and deal what operators shuffle.
+
+Python operators send packed entries: a row holds many entries of one group, a column of numbers in
+one binary cell. A sender has about as many entries whatever the table's size, while the groups grow
+with the table, so a row for each sender and group would shrink to an entry. `entry_rows` therefore
+makes at most FANOUT rows, one for each band of groups, and `dealt` deals bands to groups in a second
+step where there are more groups than that: rows stay large, at one more shuffle of the entries.
+"""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
+from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,22 +23,28 @@ from pyspark.sql import functions as F
 NO_ID = np.iinfo(np.int64).max
 #: Rows in an Arrow batch. Spark's 10,000 whole texts at a time need much memory in small workers.
 BATCH_ROWS = 1000
+#: Rows that one sender makes at most: bands of groups.
+FANOUT = 4096
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower the rows of an Arrow batch, unless the session has its own number."""
+    """Lower the rows of an Arrow batch, unless the session or its context has a number of its own,
+    10,000 included. Spark reads it when a frame runs, so it stays set for the session."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
+    if key not in spark.conf.getAll:
         spark.conf.set(key, BATCH_ROWS)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share.
 
-    That is spark.checkpoint.dir; where it is unset (tests on one machine) a local folder is set.
+    That is spark.checkpoint.dir. Where it is unset a local folder is set if all tasks run on this
+    machine (a local master); on a cluster that is an error, as executors could not read it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = os.path.join(tempfile.gettempdir(), "culvert-shared")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -44,11 +59,12 @@ def written(df: DataFrame, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def groups_for(df: DataFrame, column: str, group_bytes: int) -> int:
-    """How many groups hold about group_bytes of a text column each; odd, so that it shares no
-    factor with ids that step by an even number."""
+def groups_for(df: DataFrame, column: str, *group_bytes: int):
+    """How many groups hold about group_bytes of a text column each, for each size given; odd, so
+    that it shares no factor with ids that step by an even number."""
     total = df.agg(F.sum(F.octet_length(column))).first()[0] or 0
-    return int(total // group_bytes + 1) | 1
+    counts = tuple(int(total // size + 1) | 1 for size in group_bytes)
+    return counts if len(counts) > 1 else counts[0]
 
 
 def bucket_of(codes: np.ndarray, n: int) -> np.ndarray:
@@ -85,3 +101,55 @@ def unpacked(blob: bytes, dtype) -> np.ndarray:
 def unpacked_all(column, dtype) -> np.ndarray:
     parts = [unpacked(x.as_buffer(), dtype) for x in column]
     return np.concatenate(parts) if parts else np.empty(0, dtype)
+
+
+class Groups(NamedTuple):
+    """How many groups entries are dealt to, and how many of them make a band."""
+
+    n: int
+    width: int
+
+
+def groups(n: int) -> Groups:
+    return Groups(n, -(-n // FANOUT))
+
+
+def entry_rows(group: np.ndarray, to: Groups, *columns: np.ndarray) -> pa.Table:
+    """Entries (parallel columns of numbers) and their groups as packed rows, one for each band."""
+    group = group.astype(np.int64)
+    return _packed_rows(group // to.width, group, columns)
+
+
+def _packed_rows(key: np.ndarray, group: np.ndarray, columns) -> pa.Table:
+    order = np.argsort(key, kind="stable")
+    key, columns = key[order], [np.ascontiguousarray(c)[order] for c in (group, *columns)]
+    cuts = list(slices(key))
+    blobs = [pa.array([packed(c[i:j]) for _, i, j in cuts], pa.binary()) for c in columns]
+    names = ["band", "groups", *(f"c{k}" for k in range(len(columns) - 1))]
+    return pa.Table.from_arrays([pa.array([k for k, _, _ in cuts], pa.int64()), *blobs], names=names)
+
+
+def entry_schema(columns: int) -> str:
+    return "band bigint, groups binary" + "".join(f", c{k} binary" for k in range(columns))
+
+
+def entries_of(table: pa.Table, *kinds) -> list[np.ndarray]:
+    """The columns of entry_rows() of some rows, one after the other."""
+    return [unpacked_all(table.column(f"c{k}"), kind) for k, kind in enumerate(kinds)]
+
+
+def dealt(rows: DataFrame, to: Groups, *kinds) -> DataFrame:
+    """Rows of entry_rows() with columns of these kinds, so that `band` is the group.
+
+    Up to FANOUT groups they are that already. Beyond, the rows of a band are shared out to as many
+    tasks as the band has groups, and each task deals its entries to the groups.
+    """
+    if to.width == 1:
+        return rows
+
+    def run(table: pa.Table) -> pa.Table:
+        group = unpacked_all(table.column("groups"), np.int64)
+        return _packed_rows(group, group, entries_of(table, *kinds))
+
+    part = F.pmod(F.xxhash64("groups", "c0"), F.lit(to.width)).alias("part")
+    return rows.groupBy("band", part).applyInArrow(run, entry_schema(len(kinds)))

@@ -2,12 +2,16 @@
 
 A suffix is kept where the code of its first words is the smallest of `width - prefix + 1`
 neighbours. Two equal runs of `width` words choose the same place, so each has a kept suffix with
-the same first `prefix` words. Kept suffixes are dealt by the code of those words and sorted, by
-it and by the code of the words that follow; neighbours in this order are compared. A suffix whose
-neighbours agree on the first words alone can lie in a match only if it grows to the left; one
-whose neighbours agree on `width` words also as it stands. The documents then extend their matched
-suffixes to the left and right: every run of `width` words around one is compared whole, and the
-smallest document that has it keeps it.
+the same first `prefix` words. Suffixes are ordered by their words, each word by a 16-bit code, and
+compared with their neighbours in that order: one that shares its first `prefix` words with no other
+document lies in no match and is done with. They are dealt by those words, as an order across tasks
+would tell nothing more.
+
+The matched suffixes are sent again, with all words that a match may reach to their left and right.
+Sorted by the words to the right, neighbours tell how far each two suffixes agree to the right;
+sorted by the words to the left, how far they agree to the left. Suffixes that agree on k words to
+the left and on `width - k` to the right hold the same run of words there, and the smallest document
+that holds it keeps it.
 """
 
 from __future__ import annotations
@@ -18,8 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from culvert.llm import words as wd
-from culvert.llm.exchange import NO_ID, bounded_batches, bucket_of, groups_for, packed, slices, unpacked, unpacked_all
-from culvert.llm.substring_dedup import BUCKET_BYTES, CHUNK_BYTES, _BACK, _ROWS, Texts, as_rows, cleaned, owners, smallest
+from culvert.llm.exchange import Groups, bounded_batches, bucket_of, dealt, entries_of, entry_rows, entry_schema, groups, groups_for, run_starts
+from culvert.llm.passages import BATCH, CLEANED, Known, Texts, batches_of, cleaned_rows, cleaned_table, in_chunks
+
+#: Bytes of text for each chunk of documents and each bucket of suffixes.
+CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
+_MANY = np.random.default_rng(20240912).integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def prefix_for(width: int) -> int:
@@ -27,18 +35,15 @@ def prefix_for(width: int) -> int:
     return max(1, 2 * width // 5)
 
 
-def kept_suffixes(texts: Texts, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places, codes of the first words, and rows of the kept suffixes of a batch.
-
-    The place with the smallest (code, place) of each window is kept: equal windows keep equal places.
-    """
+def kept_suffixes(texts: Texts, width: int) -> np.ndarray:
+    """Places (words of the batch) of the kept suffixes: of each window of neighbours the place with
+    the smallest (code, place), so that equal runs keep equal places."""
     prefix = prefix_for(width)
     span = width - prefix + 1
     codes, fits = wd.window_codes(texts.codes, prefix), wd.within_rows(texts.bounds, width)
     n = len(fits)
     if not n:
-        none = np.empty(0, np.int64)
-        return none, np.empty(0, np.uint64), none
+        return np.empty(0, np.int64)
     # The smallest of `span` neighbours: of two runs whose lengths are powers of two.
     best, at, reach = codes.copy(), np.arange(len(codes)), 1
     while 2 * reach <= span:
@@ -46,8 +51,7 @@ def kept_suffixes(texts: Texts, width: int) -> tuple[np.ndarray, np.ndarray, np.
         reach *= 2
     rest = span - reach
     _, place = _smaller(best[:n], at[:n], best[rest : rest + n], at[rest : rest + n])
-    places = np.unique(place[fits])
-    return places, codes[places], wd.owner(texts.bounds)[places]
+    return np.unique(place[fits])
 
 
 def _smaller(a, i, b, j):
@@ -55,104 +59,190 @@ def _smaller(a, i, b, j):
     return np.where(take, b, a), np.where(take, j, i)
 
 
-def _suffixes(width: int, buckets: int):
-    """A chunk's distinct (first words, following words): one entry each. A flag tells whether more
-    than one of its documents has the entry (1), or its first words (2)."""
+def _letters(texts: Texts) -> np.ndarray:
+    """A 16-bit code for each word, never 0: the alphabet of the suffix order."""
+    return np.maximum(texts.codes >> np.uint64(48), np.uint64(1)).astype(np.uint16)
+
+
+def _around(letters: np.ndarray, bounds: np.ndarray, places: np.ndarray, left: int, right: int) -> np.ndarray:
+    """The codes of `left` words before and `right` words from each place; 0 beyond its document."""
+    row = np.searchsorted(bounds, places, side="right") - 1
+    at = places[:, None] + np.arange(-left, right)
+    inside = (at >= bounds[row][:, None]) & (at < bounds[row + 1][:, None])
+    return np.where(inside, letters[np.clip(at, 0, max(0, len(letters) - 1))], np.uint16(0))
+
+
+def _code(words: np.ndarray) -> np.ndarray:
+    """A 64-bit code for each row of word codes."""
+    total = np.zeros(len(words), np.uint64)
+    for k in range(words.shape[1]):
+        total += words[:, k].astype(np.uint64) * _MANY[k % len(_MANY)]
+        total = wd.mix(total) if k % 8 == 7 else total
+    return wd.mix(total)
+
+
+def _as_cells(words: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(words).view(f"V{2 * words.shape[1]}").ravel()
+
+
+def _as_words(cells: np.ndarray) -> np.ndarray:
+    return cells.view(np.uint16).reshape(len(cells), cells.dtype.itemsize // 2)
+
+
+def suffix_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows of words, and how many first words each row shares with the one before it
+    in that order (0 for the first)."""
+    order = np.argsort(words.astype(">u2").view(f"S{2 * words.shape[1]}").ravel(), kind="stable")
+    shared = np.zeros(len(words), np.int64)
+    if len(words) > 1:
+        same = words[order[1:]] == words[order[:-1]]
+        shared[1:] = np.where(same.all(axis=1), words.shape[1], same.argmin(axis=1))
+    return order, shared
+
+
+def _several(agree: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """Members of runs of agreeing neighbours that have more than one owner."""
+    if not len(owners):
+        return np.zeros(0, bool)
+    at = np.flatnonzero(~agree)
+    run = np.repeat(np.arange(len(at)), np.diff([*at, len(owners)]))
+    return (np.minimum.reduceat(owners, at) != np.maximum.reduceat(owners, at))[run]
+
+
+def _distinct(codes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each distinct code a place, the smallest id, and whether there are several ids."""
+    order = np.lexsort((ids, codes))
+    at = run_starts(codes[order])
+    last = np.append(at[1:], len(codes)) - 1 if len(at) else at
+    return order[at], ids[order][at], ids[order][last] != ids[order][at]
+
+
+def _suffixes(width: int, buckets: Groups):
+    """The distinct first words of a chunk's kept suffixes, and whether several of its documents have them."""
+    prefix = prefix_for(width)
 
     def run(key: tuple, docs: pa.Table) -> pa.Table:
         found = []
-        for batch in docs.to_batches(max_chunksize=500):
-            texts = Texts(batch.column("doc_id"), batch.column("text"))
-            places, codes, row = kept_suffixes(texts, width)
-            found.append((codes, _following(texts, places, row, width), texts.ids[row]))
-        codes, more, ids = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((more, codes))
-        codes, more, ids = codes[order], more[order], ids[order]
-        agree = codes[1:] == codes[:-1]
-        first = _several(agree, ids)
-        whole = _several(agree & (more[1:] == more[:-1]), ids)
-        new = np.ones(len(codes), bool)
-        new[1:] = ~agree | (more[1:] != more[:-1])
-        codes, more, flags = codes[new], more[new], (whole[new] + 2 * first[new]).astype(np.uint8)
-        chunk = np.array([key[0].as_py()])
-        rows = [(b, packed(codes[i:j]), packed(more[i:j]), packed(np.concatenate([chunk.view(np.uint8), flags[i:j]]))) for b, i, j in slices(bucket_of(codes, buckets))]
-        return pa.Table.from_batches([as_rows("bucket", pa.int32(), rows)])
+        for texts in batches_of(docs):
+            places = kept_suffixes(texts, width)
+            words = _around(_letters(texts), texts.bounds, places, 0, prefix)
+            found.append((words, texts.ids[wd.owner(texts.bounds)[places]]))
+        words, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        codes = _code(words)
+        at, _, several = _distinct(codes, ids)
+        return entry_rows(bucket_of(codes[at], buckets.n), buckets, _as_cells(words[at]), several.view(np.uint8), np.full(len(at), key[0].as_py(), np.int64))
 
     return run
 
 
-def _following(texts: Texts, places: np.ndarray, row: np.ndarray, width: int) -> np.ndarray:
-    """Codes of the first `width` words of suffixes; of a shorter suffix, a code of its own end."""
-    whole = wd.window_codes(texts.codes, width)
-    fits = places + width <= texts.bounds[row + 1]
-    codes = np.zeros(len(places), np.uint64)
-    codes[fits] = whole[places[fits]]
-    return codes
+def _neighbours(prefix: int, chunks: Groups):
+    """Sorts a bucket's suffixes and tells the chunks which of them agree on all first words with a
+    neighbour of another document."""
 
+    def run(table: pa.Table) -> pa.Table:
+        cells, several, chunk = entries_of(table, f"V{2 * prefix}", np.uint8, np.int64)
+        words = _as_words(cells)
+        order, shared = suffix_order(words)
+        kept = _several(shared == prefix, chunk[order]) | (several[order] > 0)
+        return entry_rows(chunk[order][kept], chunks, _code(words[order][kept]))
 
-def _neighbours():
-    """Of a bucket's sorted suffixes those that agree with a neighbour of another document, sent to
-    the chunks that hold them: more is 1 if `width` words agree with some other document's."""
+    return run
 
-    def run(table: pa.Table) -> pa.Table:
-        codes, more = unpacked_all(table.column("codes"), np.uint64), unpacked_all(table.column("more"), np.uint64)
-        marks = [unpacked(x.as_buffer(), np.uint8) for x in table.column("ids")]
-        flags = np.concatenate([x[8:] for x in marks]) if marks else np.zeros(0, np.uint8)
-        chunk = np.repeat(np.array([x[:8].view(np.int64)[0] for x in marks], np.int64), [len(x) - 8 for x in marks])
-        order = np.lexsort((more, codes))
-        codes, more, flags, chunk = codes[order], more[order], flags[order], chunk[order]
-        agree = codes[1:] == codes[:-1]
-        kept = _several(agree, chunk) | (flags & 2 > 0)
-        long = (_several(agree & (more[1:] == more[:-1]), chunk) | (flags & 1 > 0)) & (more > 0)
-        codes, chunk, long = codes[kept], chunk[kept], long[kept]
-        order = np.lexsort((~long, codes, chunk))
-        codes, chunk, long = codes[order], chunk[order], long[order].astype(np.uint64)
-        new = np.ones(len(codes), bool)
-        new[1:] = (codes[1:] != codes[:-1]) | (chunk[1:] != chunk[:-1])
-        codes, chunk, long = codes[new], chunk[new], long[new]
-        return pa.Table.from_batches([as_rows("chunk", pa.int64(), [(c, packed(codes[i:j]), packed(long[i:j]), None) for c, i, j in slices(chunk)])])
+
+def _contexts(width: int, buckets: Groups):
+    """A chunk's matched suffixes with the words that a match may reach: each distinct one with its
+    smallest document and whether there are others."""
+    prefix = prefix_for(width)
+    left = width - prefix
+
+    def run(key: tuple, docs: pa.Table, back: pa.Table) -> pa.Table:
+        matched = Known(entries_of(back, np.uint64)[0])
+        found = [(np.empty((0, left + width), np.uint16), np.empty(0, np.int64))]
+        for texts in batches_of(docs) if len(matched.codes) else ():
+            places, letters = kept_suffixes(texts, width), _letters(texts)
+            places = places[matched.where(_code(_around(letters, texts.bounds, places, 0, prefix)))]
+            found.append((_around(letters, texts.bounds, places, left, width), texts.ids[wd.owner(texts.bounds)[places]]))
+        words, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        at, least, several = _distinct(_code(words), ids)
+        words = words[at]
+        group = bucket_of(_code(words[:, left : left + prefix]), buckets.n)
+        return entry_rows(group, buckets, _as_cells(words), least, several.view(np.uint8), np.full(len(at), key[0].as_py(), np.int64))
 
     return run
 
 
-def _several(agree: np.ndarray, owners_: np.ndarray) -> np.ndarray:
-    """Members of runs of agreeing neighbours that have more than one owner (documents or chunks)."""
-    if not len(owners_):
-        return np.zeros(0, bool)
-    at = np.concatenate([[0], np.flatnonzero(~agree) + 1])
-    run = np.repeat(np.arange(len(at)), np.diff([*at, len(owners_)]))
-    return (np.minimum.reduceat(owners_, at) != np.maximum.reduceat(owners_, at))[run]
+def late_runs(words: np.ndarray, ids: np.ndarray, width: int) -> np.ndarray:
+    """For each suffix (words to its left and right, smallest document) and each k, whether a smaller
+    document has the run of `width` words that begins k words to the left of it."""
+    left = words.shape[1] - width
+    out = np.zeros((len(words), left + 1), bool)
+    if len(words) < 2:
+        return out
+    n_right, n_left = (words[:, left:] > 0).sum(axis=1), (words[:, :left] > 0).sum(axis=1)
+    right_order, right_shared = suffix_order(words[:, left:])
+    left_order, left_shared = suffix_order(words[:, :left][:, ::-1]) if left else (np.arange(len(words)), np.zeros(len(words), np.int64))
+    classes = np.empty((2, len(words)), np.int64)
+    for k in range(left + 1):
+        whole = np.flatnonzero((n_left >= k) & (n_right >= width - k))
+        if len(whole) < 2:
+            continue
+        classes[0, right_order] = np.cumsum(right_shared < width - k)
+        classes[1, left_order] = np.cumsum(left_shared < k)
+        same = classes[0, whole] * (len(words) + 1) + classes[1, whole]
+        order = np.lexsort((ids[whole], same))
+        at = run_starts(same[order])
+        least = np.repeat(ids[whole][order][at], np.diff([*at, len(order)]))
+        out[whole[order], k] = least < ids[whole][order]
+    return out
 
 
-def _extended(width: int, buckets: int):
-    """Runs of `width` words around a chunk's matched suffixes, each with the chunk's smallest document."""
-    reach = width - prefix_for(width)
+def _extended(width: int, chunks: Groups):
+    """Extends a bucket's matched suffixes, prefix by prefix, and tells the chunks the runs of
+    `width` words around each that a smaller document has."""
+    left = width - prefix_for(width)
+
+    def run(table: pa.Table) -> pa.Table:
+        cells, ids, several, chunk = entries_of(table, f"V{2 * (left + width)}", np.int64, np.uint8, np.int64)
+        words = _as_words(cells)
+        late = late_runs(words, ids, width)
+        told = late.any(axis=1) | (several > 0)
+        masks = np.packbits(late[told], axis=1)
+        return entry_rows(chunk[told], chunks, _code(words[told]), masks.view(f"V{masks.shape[1]}").ravel())
+
+    return run
+
+
+def _cleaned(width: int, keep_text: bool):
+    """A chunk's documents without the runs that a smaller document has."""
+    left = width - prefix_for(width)
 
     def run(docs: pa.Table, back: pa.Table) -> pa.Table:
-        codes, long = unpacked_all(back.column("codes"), np.uint64), unpacked_all(back.column("more"), np.uint64)
+        codes, cells = entries_of(back, np.uint64, f"V{-(-(left + 1) // 8)}")
         order = np.argsort(codes)
-        codes, long = codes[order], long[order] > 0
-        found: list[tuple] = []
-        for batch in docs.to_batches(max_chunksize=500) if len(codes) else []:
-            texts = Texts(batch.column("doc_id"), batch.column("text"))
-            places, own, row = kept_suffixes(texts, width)
-            at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
-            hit = codes[at] == own
-            places, longer = places[hit], long[at[hit]]
-            # A run begins at most `reach` words to the left of its suffix; at the suffix itself
-            # only if its words that follow are matched, too.
-            mark = np.zeros(len(texts.codes) + 2, np.int64)
-            np.add.at(mark, np.maximum(places - reach, 0), 1)
-            np.add.at(mark, places + longer, -1)
-            fits = wd.within_rows(texts.bounds, width)
-            starts = np.flatnonzero(fits & (np.cumsum(mark)[: len(fits)] > 0))
-            one, two = wd.window_codes(texts.codes, width)[starts], wd.window_codes(texts.codes, width, 2)[starts]
-            found.append(smallest(one, two, texts.ids[wd.owner(texts.bounds)[starts]]))
-        rows = []
-        if found:
-            a, b, ids = smallest(*(np.concatenate(x) for x in zip(*found, strict=True)))
-            rows = [(k, packed(a[i:j]), packed(b[i:j]), packed(ids[i:j])) for k, i, j in slices(bucket_of(a, buckets))]
-        return pa.Table.from_batches([as_rows("bucket", pa.int32(), rows)])
+        codes = codes[order]
+        late = np.unpackbits(cells[order].view(np.uint8).reshape(len(codes), cells.dtype.itemsize), axis=1)[:, : left + 1] > 0
+        known, parts, hits = Known(codes), list(batches_of(docs)), []
+        for texts in parts:
+            places = kept_suffixes(texts, width) if len(codes) else np.empty(0, np.int64)
+            words = _around(_letters(texts), texts.bounds, places, left, width)
+            own = _code(words)
+            at = known.where(own)
+            lengths = np.stack([(words[at, :left] > 0).sum(axis=1), (words[at, left:] > 0).sum(axis=1)], axis=1)
+            hits.append((places[at], np.searchsorted(codes, own[at]), texts.ids[wd.owner(texts.bounds)[places[at]]], lengths))
+        # A document that is not the chunk's smallest with this suffix loses all whole runs around it.
+        least = np.full(len(codes), np.iinfo(np.int64).max)
+        for _, entry, ids, _ in hits:
+            np.minimum.at(least, entry, ids)
+        steps, rows = np.arange(left + 1), []
+        for texts, batch, (places, entry, ids, n) in zip(parts, docs.to_batches(max_chunksize=BATCH), hits, strict=True):
+            whole = (n[:, :1] >= steps) & (n[:, 1:] >= width - steps)
+            gone = whole & (late[entry] | (ids > least[entry])[:, None])
+            suffix, k = np.nonzero(gone)
+            change = np.zeros(len(texts.codes) + 1, np.int64)
+            np.add.at(change, places[suffix] - k, 1)
+            np.add.at(change, places[suffix] - k + width, -1)
+            rows += cleaned_rows(texts, batch, np.cumsum(change[:-1]) == 0, keep_text)
+        return cleaned_table(rows)
 
     return run
 
@@ -166,16 +256,20 @@ def suffix_dedup(docs: DataFrame, width: int = 50, keep_text: bool = True) -> Da
     keep_text).
 
     Null and empty texts have no words. A null doc_id ranks after every number. Rows with the same
-    doc_id, repeated ones too, take nothing from each other. An empty table gives an empty table;
-    other columns of docs are ignored. Runs are compared by two 64-bit codes.
+    doc_id, repeated ones too, take nothing from each other. A text of any length is one row of its
+    chunk; one beyond CHUNK_BYTES makes the chunk as large. An empty table gives an empty table;
+    other columns of docs are ignored. Runs are compared by `width` 16-bit codes of their words.
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    chunks, buckets = groups_for(docs, "text", CHUNK_BYTES), groups_for(docs, "text", BUCKET_BYTES)
-    by_chunk = docs.withColumn("chunk", F.pmod(F.coalesce("doc_id", F.lit(NO_ID)), F.lit(chunks)))
-    suffixes = by_chunk.groupBy("chunk").applyInArrow(_suffixes(width, buckets), _ROWS)
-    matched = suffixes.groupBy("bucket").applyInArrow(_neighbours(), _BACK)
-    runs = by_chunk.groupBy("chunk").cogroup(matched.groupBy("chunk")).applyInArrow(_extended(width, buckets), _ROWS)
-    kept_by = runs.groupBy("bucket").applyInArrow(owners(chunks), _BACK)
-    result = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
-    return by_chunk.groupBy("chunk").cogroup(kept_by.groupBy("chunk")).applyInArrow(cleaned(width, keep_text), result)
+    chunks, buckets = map(groups, groups_for(docs, "text", CHUNK_BYTES, BUCKET_BYTES))
+    by_chunk = in_chunks(docs, chunks.n)
+    prefix = prefix_for(width)
+    suffixes = by_chunk.groupBy("chunk").applyInArrow(_suffixes(width, buckets), entry_schema(3))
+    suffixes = dealt(suffixes, buckets, f"V{2 * prefix}", np.uint8, np.int64)
+    matched = dealt(suffixes.groupBy("band").applyInArrow(_neighbours(prefix, chunks), entry_schema(1)), chunks, np.uint64)
+    contexts = by_chunk.groupBy("chunk").cogroup(matched.groupBy("band")).applyInArrow(_contexts(width, buckets), entry_schema(4))
+    contexts = dealt(contexts, buckets, f"V{2 * (2 * width - prefix)}", np.int64, np.uint8, np.int64)
+    late = contexts.groupBy("band").applyInArrow(_extended(width, chunks), entry_schema(2))
+    late = dealt(late, chunks, np.uint64, f"V{-(-(width - prefix + 1) // 8)}")
+    return by_chunk.groupBy("chunk").cogroup(late.groupBy("band")).applyInArrow(_cleaned(width, keep_text), CLEANED)

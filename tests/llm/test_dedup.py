@@ -2,9 +2,13 @@ import random
 
 import brute
 
+import culvert.llm.substring_dedup as substring_dedup_module
+import culvert.llm.suffix_dedup as suffix_dedup_module
+from culvert.llm import exchange
 from culvert.llm.exact_dedup import exact_dedup
 from culvert.llm.ngram_join import ngram_jaccard_components
 from culvert.llm.substring_dedup import substring_dedup
+from culvert.llm.suffix_dedup import suffix_dedup
 
 SCHEMA = "doc_id bigint, text string, set_id int, codes string, kept boolean"
 
@@ -55,6 +59,25 @@ def test_substring_dedup_edges(spark):
     assert substring_dedup(frame(spark, [])).count() == 0
 
 
+def test_substring_dedup_dealt_twice(spark, monkeypatch):
+    """Small chunks and buckets, more of them than bands: entries are dealt in two steps, and a sender makes no more rows than bands."""
+    for module in (substring_dedup_module, suffix_dedup_module):
+        monkeypatch.setattr(module, "CHUNK_BYTES", 600)
+        monkeypatch.setattr(module, "BUCKET_BYTES", 500)
+    monkeypatch.setattr(exchange, "FANOUT", 6)
+    rows = corpus(150, 7)
+    rows += [(10_000 + k, rows[k][1]) for k in range(10)]
+    size = sum(len((t or "").encode()) for _, t in rows)
+    sent = []
+    monkeypatch.setattr(substring_dedup_module, "dealt", lambda df, to, *kinds: sent.append((df, to)) or exchange.dealt(df, to, *kinds))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(frame(spark, rows)).collect()}
+    assert got == brute.substring_dedup(rows, 13)
+    chunks = size // 600 + 1 | 1
+    assert min(to.width for _, to in sent) > 5 and sent[0][0].count() <= 6 * chunks
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in suffix_dedup(frame(spark, rows), 20).collect()}
+    assert got == brute.substring_dedup(rows, 20)
+
+
 def test_exact_dedup(spark):
     rows = corpus(200, 4)
     for table_bytes in (1 << 20, 2_000):  # the second one spills, more than once

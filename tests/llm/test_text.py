@@ -12,7 +12,7 @@ from culvert.llm.decontaminate import decontaminate, phrase_matches, postings, p
 from culvert.llm.license_scan import BASE, TEMPLATES, license_scan
 from culvert.llm.line_dedup import HTML_LINES, line_dedup
 from culvert.llm.packing import pack, sequences
-from culvert.llm.suffix_dedup import suffix_dedup
+from culvert.llm.suffix_dedup import suffix_dedup, suffix_order
 from test_dedup import corpus, frame
 from pyspark.sql import functions as F
 
@@ -25,6 +25,28 @@ def test_suffix_dedup(spark):
     assert suffix_dedup(frame(spark, [])).count() == 0
 
 
+def test_suffix_dedup_long(spark):
+    """Matches longer than the width, at the ends of texts, inside one document, and a very long text."""
+    rng = random.Random(2)
+    run = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    own, edge, far = run(300), run(50), run(49)
+    rows = [(1, own + run(10)), (2, run(7) + own[20:280]), (3, own[100:149] + run(5)), (4, edge), (5, run(3) + edge), (6, edge + run(3)), (7, far), (8, far + run(2)), (9, own[:60] + own[:60]), (10, run(200_000) + own)]
+    rows = [(k, " ".join(w)) for k, w in rows] + [(None, " ".join(own)), (2, " ".join(own)), (11, None), (12, "")]
+    got = suffix_dedup(frame(spark, rows)).collect()
+    removed = sorted((r.doc_id if r.doc_id is not None else 99, r.n_removed) for r in got)
+    assert removed == [(1, 0), (2, 260), (2, 300), (3, 0), (4, 0), (5, 50), (6, 50), (7, 0), (8, 0), (9, 120), (10, 300), (11, 0), (12, 0), (99, 300)]
+
+
+def test_suffix_order():
+    rng = np.random.default_rng(1)
+    words = rng.integers(1, 4, (80, 6)).astype(np.uint16)
+    words[:20, 4:] = 0
+    order, shared = suffix_order(words)
+    rows = [tuple(x) for x in words.tolist()]
+    assert [rows[k] for k in order] == sorted(rows)
+    assert all((shared[i] == 6) == (rows[order[i]] == rows[order[i - 1]]) for i in range(1, 80)) and rows[order[5]][: shared[5]] == rows[order[4]][: shared[5]]
+
+
 def test_decontaminate(spark):
     rows = corpus(120, 21, vocabulary=9)
     rng = random.Random(3)
