@@ -153,3 +153,25 @@ def dealt(rows: DataFrame, to: Groups, *kinds) -> DataFrame:
 
     part = F.pmod(F.xxhash64("groups", "c0"), F.lit(to.width)).alias("part")
     return rows.groupBy("band", part).applyInArrow(run, entry_schema(len(kinds)))
+
+
+#: A key with fewer rows than this is never hot; a key with more than a ten-thousandth of all rows
+#: is, so that there are at most 10,000 hot keys.
+_WARM, _HOT_SHARE = 1000, 10_000
+
+
+def hot_limit(total: int) -> int:
+    return max(_WARM, total // _HOT_SHARE)
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, rows: str) -> DataFrame:
+    """left joined with right, which has one row a key and in `rows` how many rows of left have it.
+
+    Rows of hot keys, at most 10,000, are broadcast and meet left where it stands, so that no key
+    gathers more than its share in one task; the others are joined by a shuffle.
+    """
+    limit = hot_limit(left.count())
+    hot = F.broadcast(right.filter(F.col(rows) > limit).drop(rows))
+    cold = right.filter(F.col(rows) <= limit).drop(rows)
+    others = left.join(hot.select(key), key, "left_anti")
+    return left.join(hot, key).unionByName(others.join(cold, key))

@@ -11,10 +11,15 @@ can't link. Pairs that remain are verified on whole sets.
 An n-gram that many classes share (`crowd` and more) makes no pairs in its fragment. Its hub is the
 class that stands in the most such n-grams: among near copies, the one nearest to all others, as
 own words of a copy take the first places of its set. Each class is verified with the hub that it
-shares most with. Then classes under one hub that are still in different components meet those
-outside their own component, once a hub and not once an n-gram, if both stand in enough such n-grams
-to link. So no component is lost, while a large group of near copies costs about one pair a member.
-Pairs that already share a component are not verified: links inside a component are not returned.
+shares most with. That leaves few classes under a hub outside its largest component. They are held
+against the hub's classes in blocks: a task has a block of the few and a slice of the hub's classes
+that stand in enough such n-grams to link, counts whole overlaps, and gives one link for each
+component met. So no component is lost, no pair is written that doesn't link, and a large group of
+near copies costs about one pair a member. Pairs that already share a component are not verified:
+links inside a component are not returned.
+
+The hashed counts also tell which n-grams very many documents hold. The entries of such an n-gram
+are spread over several lists by their class, so that no fragment gathers them all.
 """
 
 from __future__ import annotations
@@ -28,16 +33,22 @@ from pyspark.sql import functions as F
 
 from culvert.llm import words as wd
 from culvert.llm.components import components
-from culvert.llm.exchange import NO_ID, bounded_batches, bucket_of, groups_for, packed, run_starts, slices, unpacked, unpacked_all, written
+from culvert.llm.exchange import NO_ID, Groups, bounded_batches, bucket_of, dealt, entries_of, entry_rows, entry_schema, groups, groups_for, hot_limit, join_hot, packed, run_starts, unpacked, written
 
 #: Bits of the table of hashed counts: 4 bytes a cell, 16 MB in all, whatever the input.
 COUNT_BITS = 22
 #: Bytes of text for each fragment.
 FRAGMENT_BYTES = 16 << 20
+#: Entries that a task gathers before it sends them to the fragments.
+FLUSH_ENTRIES = 1 << 21
+#: Documents of an n-gram for each list that its entries are spread over.
+LIST_DOCUMENTS = 4096
+#: Few classes and classes of a hub that one task holds against each other.
+FEW_BLOCK, HUB_SLICE = 512, 4096
 _SLICE = 1 << 16
 _SET = "id bigint, n int, set_id bigint"
-_LISTS = "fragment int, codes binary, sets binary, sizes binary"
-_FOUND = "a bigint, b bigint, na int, nb int, shared bigint, members binary, sizes binary"
+_ENTRY = (np.uint64, np.int64, np.int32, np.int32, np.int32)  # code, class, its size, list, lists of the n-gram
+_FOUND = "a bigint, b bigint, na int, nb int, shared bigint, crowd bigint, list int, lists int, members binary, sizes binary"
 
 
 class _Sets:
@@ -117,72 +128,84 @@ def needed(a: str, b: str, percent: int):
     return F.greatest(F.lit(1), overlap - F.greatest(rest(a), rest(b)))
 
 
-def _first_parts(width: int, percent: int, fragments: int, counts):
+def _first_parts(width: int, percent: int, fragments: Groups, counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
         shift = np.uint64(64 - int(len(table)).bit_length() + 1)
+        held: list[tuple] = []
         for batch in batches:
             sets = _Sets(batch.column("text"), width)
             once = np.zeros(len(batch), bool)
             once[np.unique(sets.set_id, return_index=True)[1]] = True
-            order = np.lexsort((sets.codes, table[(sets.codes >> shift).astype(np.int64)], sets.row))
-            codes, row = sets.codes[order], sets.row[order]
+            seen = table[(sets.codes >> shift).astype(np.int64)]
+            order = np.lexsort((sets.codes, seen, sets.row))
+            codes, row, seen = sets.codes[order], sets.row[order], seen[order]
             place = np.arange(len(codes)) - sets.bounds[row]
             n = sets.n[row].astype(np.int64)
             keep = once[row] & (place < n - _least(percent, n) + _spare(n))
-            codes, row = codes[keep], row[keep]
-            order = np.argsort(codes)
-            codes, row = codes[order], row[order]
-            rows = [(f, packed(codes[i:j]), packed(sets.set_id[row[i:j]]), packed(sets.n[row[i:j]])) for f, i, j in slices(bucket_of(codes, fragments))]
-            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["fragment", "codes", "sets", "sizes"])
+            held.append((codes[keep], sets.set_id[row[keep]], sets.n[row[keep]], (1 + seen[keep] // LIST_DOCUMENTS).astype(np.int32)))
+            if sum(len(x[0]) for x in held) >= FLUSH_ENTRIES:
+                yield from _sent(held, fragments)
+                held = []
+        if held:
+            yield from _sent(held, fragments)
 
     return run
 
 
-def _found(a, b, na, nb, shared, members=(), sizes=()) -> pa.Table:
-    k = len(members)
+def _sent(held: list[tuple], fragments: Groups) -> list[pa.RecordBatch]:
+    codes, sets, sizes, lists = (np.concatenate(x) for x in zip(*held, strict=True))
+    part = (wd.mix(sets.view(np.uint64)) % lists.astype(np.uint64)).astype(np.int32)
+    spread = np.where(part > 0, wd.mix(codes + part.astype(np.uint64)), codes)
+    return entry_rows(bucket_of(spread, fragments.n), fragments, codes, sets, sizes, part, lists).to_batches()
+
+
+def _found(a, b, na, nb, shared, crowds: list[tuple]) -> pa.Table:
+    """Rows of pairs, then rows of crowds (code, list, lists, members, sizes)."""
+    k = len(crowds)
     swap = a > b
     a, b, na, nb = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, nb, na), np.where(swap, na, nb)
-    cols = [pa.concat_arrays([pa.array(x, t), pa.nulls(k, t)]) for x, t in ((a, pa.int64()), (b, pa.int64()), (na, pa.int32()), (nb, pa.int32()), (shared, pa.int64()))]
-    blobs = [pa.concat_arrays([pa.nulls(len(a), pa.binary()), pa.array(list(x), pa.binary())]) for x in (members, sizes)]
-    return pa.Table.from_arrays([*cols, *blobs], names=["a", "b", "na", "nb", "shared", "members", "sizes"])
+    pairs = ((a, pa.int64()), (b, pa.int64()), (na, pa.int32()), (nb, pa.int32()), (shared, pa.int64()))
+    cols = [pa.concat_arrays([pa.array(x, t), pa.nulls(k, t)]) for x, t in pairs]
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    cols += [pa.concat_arrays([pa.nulls(len(a), t), pa.array([c[i] for c in crowds], t)]) for i, t in enumerate(kinds)]
+    return pa.Table.from_arrays(cols, names=["a", "b", "na", "nb", "shared", "crowd", "list", "lists", "members", "sizes"])
 
 
 def _overlaps(percent: int, crowd: int):
     """A fragment's overlap of each pair of classes, and its n-grams that a crowd shares."""
+
     def run(table: pa.Table) -> pa.Table:
-        codes = unpacked_all(table.column("codes"), np.uint64)
-        sets = unpacked_all(table.column("sets"), np.int64)
-        sizes = unpacked_all(table.column("sizes"), np.int32)
+        codes, sets, sizes, part, lists = entries_of(table, *_ENTRY)
         order = np.argsort(codes, kind="stable")
-        codes, sets, sizes = codes[order], sets[order], sizes[order]
         twice = np.zeros(len(codes), bool)
-        twice[1:] = codes[1:] == codes[:-1]
+        twice[1:] = codes[order[1:]] == codes[order[:-1]]
         twice[:-1] |= twice[1:]
-        codes, sets, sizes = codes[twice], sets[twice], sizes[twice]
-        order = np.lexsort((sets, sizes, codes))
-        codes, sets, sizes = codes[order], sets[order], sizes[order]
-        new = np.ones(len(codes), bool)
-        new[1:] = (codes[1:] != codes[:-1]) | (sets[1:] != sets[:-1])
-        codes, sets, sizes = codes[new], sets[new], sizes[new]
-        at = run_starts(codes)
+        order = order[twice | (lists[order] > 1)]
+        codes, sets, sizes, part, lists = (x[order] for x in (codes, sets, sizes, part, lists))
+        order = np.lexsort((sets, sizes, part, codes))
+        codes, sets, sizes, part, lists = (x[order] for x in (codes, sets, sizes, part, lists))
+        head = np.ones(len(codes), bool)  # of a list
+        head[1:] = (codes[1:] != codes[:-1]) | (part[1:] != part[:-1])
+        new = head.copy()
+        new[1:] |= sets[1:] != sets[:-1]
+        codes, sets, sizes, part, lists, head = (x[new] for x in (codes, sets, sizes, part, lists, head))
+        at = np.flatnonzero(head)
         length = np.diff([*at, len(codes)])
-        m = np.repeat(length, length)
+        crowded = (length >= crowd) | (lists[at] > 1)
+        own = np.repeat(np.where(crowded, -1, np.arange(len(at))), length)
         pairs = [np.empty((2, 0), np.int64)]
         alike = lambda i, j: 100 * sizes[i].astype(np.int64) >= percent * sizes[j].astype(np.int64)
         for k in range(1, crowd):
-            i = np.flatnonzero((codes[k:] == codes[:-k]) & (m[k:] < crowd))
+            i = np.flatnonzero((own[k:] == own[:-k]) & (own[k:] >= 0))
             if not len(i):
                 break
             pairs.append(np.stack([i, i + k])[:, alike(i, i + k)])
         i, j = np.concatenate(pairs, axis=1)
         a, b, na, nb, shared = _counted(sets[i], sets[j], sizes[i], sizes[j])
-        members, lists = [], []
-        for start, k in zip(at[length >= crowd], length[length >= crowd], strict=True):
-            members.append(packed(sets[start : start + k]))
-            lists.append(packed(sizes[start : start + k]))
-        return _found(a, b, na, nb, shared, members, lists)
+        ids = codes.view(np.int64)
+        crowds = [(int(ids[s]), int(part[s]), int(lists[s]), packed(sets[s : s + k]), packed(sizes[s : s + k])) for s, k in zip(at[crowded], length[crowded], strict=True)]
+        return _found(a, b, na, nb, shared, crowds)
 
     return run
 
@@ -224,39 +247,80 @@ def _verified(percent: int):
 
 def _unlist(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for g, members, sizes in zip(batch.column("crowd"), batch.column("members"), batch.column("sizes"), strict=True):
-            sets, n = unpacked(members.as_buffer(), np.int64), unpacked(sizes.as_buffer(), np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array([g.as_py()] * len(sets), pa.int64()), pa.array(sets), pa.array(n)], names=["crowd", "set_id", "n"])
+        for row in batch.to_pylist():
+            sets, n = unpacked(row["members"], np.int64), unpacked(row["sizes"], np.int32)
+            same = [pa.array(np.full(len(sets), row[c], t)) for c, t in (("crowd", np.int64), ("list", np.int32), ("lists", np.int32))]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(sets), pa.array(n)], names=["crowd", "list", "lists", "set_id", "n"])
 
 
 def _under_hubs(crowds: DataFrame, degrees: DataFrame) -> DataFrame:
     """(hub, hub_n, set_id, n, degree, shared): each class under the hubs of its crowds, with its
     number of crowds, of this hub and of all."""
-    best = crowds.join(degrees, "set_id").groupBy("crowd").agg(F.max(F.struct("degree", "n", "set_id")).alias("h"))
-    hubs = best.select("crowd", F.col("h.set_id").alias("hub"), F.col("h.n").alias("hub_n"))
-    found = crowds.join(hubs, "crowd").groupBy("hub", "hub_n", "set_id", "n").agg(F.count("*").alias("shared"))
+    best = crowds.join(degrees, "set_id").groupBy("crowd", "lists").agg(F.max(F.struct("degree", "n", "set_id")).alias("h"), F.count("*").alias("k"))
+    hubs = best.filter("k > 1").select("crowd", F.col("h.set_id").alias("hub"), F.col("h.n").alias("hub_n"), F.explode(F.sequence(F.lit(0), F.col("lists") - 1)).alias("list"))
+    # An n-gram's members meet its hub list by list, not all in one task.
+    found = crowds.join(hubs, ["crowd", "list"]).groupBy("hub", "hub_n", "set_id", "n").agg(F.count("*").alias("shared"))
     return found.join(degrees, "set_id")
 
 
-def _across(under: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes under one hub that are in different components and that may link by their
-    sizes and their numbers of crowds. The largest component under a hub meets the others only: a
-    hub whose classes are all in one has no pairs."""
+def _grid(percent: int):
+    """Links of a block of few classes with a slice of their hub's: one for each component met."""
+
+    def run(few: pa.Table, slice_: pa.Table) -> pa.Table:
+        x, xc, y, yc = (t.column(c).to_numpy() for t in (few, slice_) for c in ("set_id", "component"))
+        own, other = ([unpacked(c.as_buffer(), np.uint64) for c in t.column("codes")] for t in (few, slice_))
+        n, m = np.array([len(c) for c in own], np.int64), np.array([len(c) for c in other], np.int64)
+        grams, holder = np.concatenate([*own, np.empty(0, np.uint64)]), np.repeat(np.arange(len(own)), n)
+        order = np.argsort(grams, kind="stable")
+        grams, holder = grams[order], holder[order]
+        links: dict[tuple[int, int], tuple[int, int]] = {}
+        for k, codes in enumerate(other if len(own) else ()):
+            lo, hi = np.searchsorted(grams, codes), np.searchsorted(grams, codes, side="right")
+            held = hi > lo
+            lo, size = lo[held], (hi - lo)[held]
+            at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+            both = np.bincount(holder[at], minlength=len(own))
+            for i in np.flatnonzero((100 * both >= percent * (n + m[k] - both)) & (xc != yc[k])):
+                links.setdefault((int(x[i]), int(yc[k])), (int(x[i]), int(y[k])))
+        pairs = sorted(links.values())
+        return pa.table({"a": pa.array([min(p) for p in pairs], pa.int64()), "b": pa.array([max(p) for p in pairs], pa.int64())})
+
+    return run
+
+
+def _across(under: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links of classes under one hub that are in different components. A hub whose classes are all
+    in one component has none; None if no hub has any."""
     placed = under.join(parts.withColumnRenamed("node", "set_id"), "set_id", "left").select("hub", "set_id", "n", "degree", F.coalesce("component", "set_id").alias("component"))
-    placed = placed.filter(F.col("degree") >= F.greatest(F.lit(1), F.floor(F.col("n") / F.lit(20))))  # fewer can't link by crowds alone
-    main = placed.groupBy("hub", "component").agg(F.count("*").alias("k")).groupBy("hub").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
-    placed = written(placed.join(main, "hub"))
-    few = placed.filter("component <> main").select("hub", F.col("set_id").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"), F.col("degree").alias("xd"))
-    other = (F.col("component") != F.col("xc")) & ((F.col("component") == F.col("main")) | (F.col("x") < F.col("set_id")))
-    alike = 100 * F.least("xn", "n") >= percent * F.greatest("xn", "n")
-    met = few.join(placed, "hub").filter(other & alike & (F.least("xd", "degree") >= needed("xn", "n", percent)))
-    return met.select(F.least("x", "set_id").alias("a"), F.greatest("x", "set_id").alias("b")).distinct()
+    # Classes in fewer crowds can't link by crowds alone.
+    placed = written(placed.filter(F.col("degree") >= F.greatest(F.lit(1), F.floor(F.col("n") / F.lit(20)))).select("hub", "set_id", "component"))
+    sizes = placed.groupBy("hub", "component").agg(F.count("*").alias("k"))
+    hubs = sizes.groupBy("hub").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("most")).filter("most < all")
+    cut = lambda size, part: F.ceil(size / F.lit(part)).cast("int")
+    hubs = written(hubs.select("hub", "main", "all", cut(F.col("all") - F.col("most"), FEW_BLOCK).alias("blocks"), cut(F.col("all"), HUB_SLICE).alias("slices")))
+    if hubs.isEmpty():
+        return None
+    placed = written(join_hot(placed, hubs, "hub", "all").join(sets, "set_id"))
+    some = lambda of, seed: F.pmod(F.xxhash64("set_id", F.lit(seed)), of).cast("int")
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    few = placed.filter("component <> main").withColumn("block", some(F.col("blocks"), 1)).withColumn("slice", each("slices"))
+    rest = placed.withColumn("slice", some(F.col("slices"), 2)).withColumn("block", each("blocks"))
+    few, rest = (x.select("hub", "block", "slice", "set_id", "component", "codes") for x in (few, rest))
+    cell = ["hub", "block", "slice"]
+    return few.groupBy(cell).cogroup(rest.groupBy(cell)).applyInArrow(_grid(percent), "a bigint, b bigint").distinct()
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) those that link. Many pairs may have one b: its rows are split by a salt, and
+    its set is sent once for each."""
+    limit = hot_limit(pairs.count())
+    hot = pairs.groupBy("b").agg(F.count("*").alias("k")).filter(F.col("k") > limit)  # at most 10,000 rows
+    hot = F.broadcast(hot.select("b", F.ceil(F.col("k") / F.lit(limit)).alias("salts")))
+    salted = lambda df: df.join(hot, "b", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
     left = sets.select(F.col("set_id").alias("a"), F.col("codes").alias("x"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("codes").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(_verified(percent), "a bigint, b bigint")
+    right = salted(sets.select(F.col("set_id").alias("b"), F.col("codes").alias("y"))).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)))
+    own = salted(pairs.select("a", "b")).withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts"))).drop("salts")
+    return own.join(left, "a").join(right.drop("salts"), ["b", "salt"]).select("a", "b", "x", "y").mapInArrow(_verified(percent), "a bigint, b bigint")
 
 
 def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, crowd: int = 10, count_bits: int = COUNT_BITS) -> DataFrame:
@@ -273,7 +337,7 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75,
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string"))
-    fragments = groups_for(docs, "text", FRAGMENT_BYTES)
+    fragments = groups(groups_for(docs, "text", FRAGMENT_BYTES))
 
     described = written(docs.mapInArrow(_describe(width, count_bits), _SET + ", counts binary"))
     members = described.filter("set_id is not null").select("id", "n", "set_id")
@@ -282,11 +346,13 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75,
         part = unpacked(row.counts, np.uint32)
         counts[row.id : row.id + len(part)] = part
     shared_counts = spark.sparkContext.broadcast(counts)
+    classes = members.filter("n > 0").groupBy("set_id").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    classes = written(classes)
 
-    lists = docs.mapInArrow(_first_parts(width, percent, fragments, shared_counts), _LISTS)
-    found = written(lists.groupBy("fragment").applyInArrow(_overlaps(percent, crowd), _FOUND))
+    lists = docs.mapInArrow(_first_parts(width, percent, fragments, shared_counts), entry_schema(5))
+    found = written(dealt(lists, fragments, *_ENTRY).groupBy("band").applyInArrow(_overlaps(percent, crowd), _FOUND))
     crowds = written(
-        found.filter("members is not null").select(F.monotonically_increasing_id().alias("crowd"), "members", "sizes").mapInArrow(_unlist, "crowd bigint, set_id bigint, n int")
+        found.filter("members is not null").select("crowd", "list", "lists", "members", "sizes").mapInArrow(_unlist, "crowd bigint, list int, lists int, set_id bigint, n int")
     )
     degrees = crowds.groupBy("set_id").agg(F.count("*").alias("degree"))
     under = written(_under_hubs(crowds, degrees))
@@ -299,32 +365,34 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75,
 
     # Whole sets of the classes in pairs: from one document of each class.
     ends = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).unionByName(crowds.select("set_id")).distinct()
-    chosen = members.join(ends, "set_id", "left_semi").groupBy("set_id").agg(F.min("id").alias("id")).select("id").distinct()
+    chosen = classes.join(ends, "set_id", "left_semi").select(F.col("least").alias("id")).distinct()
     sets = docs.join(chosen, "id", "left_semi").select("text").mapInArrow(_whole_sets(width), "set_id bigint, codes binary")
     sets = written(sets.groupBy("set_id").agg(F.first("codes").alias("codes")))
 
-    # First each class with the partner and the hub that it shares most with.
-    top = lambda df, end: df.groupBy(end).agg(F.max_by(F.struct("a", "b"), "shared").alias("p")).select("p.a", "p.b")
-    alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    spokes = under.filter((F.col("set_id") != F.col("hub")) & alike(F.col("n"), F.col("hub_n"))).groupBy("set_id").agg(F.max_by("hub", "shared").alias("hub"))
-    spokes = spokes.select(F.least("set_id", "hub").alias("a"), F.greatest("set_id", "hub").alias("b"))
-    first = written(top(pairs, "a").unionByName(top(pairs, "b")).unionByName(spokes).distinct())
+    # First each class with the partner and the hub that it shares most with: (class, partner).
+    top = lambda end, other: pairs.groupBy(end).agg(F.max_by(other, "shared").alias("partner")).select(F.col(end).alias("a"), F.col("partner").alias("b"))
+    alike = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
+    spokes = under.filter((F.col("set_id") != F.col("hub")) & alike).groupBy(F.col("set_id").alias("a")).agg(F.max_by("hub", "shared").alias("b"))
+    first = written(top("a", "b").unionByName(top("b", "a")).unionByName(spokes).distinct())
     links = written(_verify(first, sets, percent))
     parts = written(components(links))
     part = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"{end}_part"))
-    apart = lambda df: (
-        df.join(part("a"), "a", "left").join(part("b"), "b", "left").filter(F.coalesce("a_part", "a") != F.coalesce("b_part", "b")).select("a", "b")
-    )
-    rest = written(apart(pairs).unionByName(_across(under, parts, percent)).distinct().join(first, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        links = links.unionByName(_verify(rest, sets, percent))
+    apart = pairs.join(part("a"), "a", "left").join(part("b"), "b", "left").filter(F.coalesce("a_part", "a") != F.coalesce("b_part", "b")).select("a", "b")
+    rest = written(apart)
+    more = [] if rest.isEmpty() else [_verify(rest, sets, percent)]
+    if (across := _across(under, parts, sets, percent)) is not None:
+        more.append(across)
+    if more:
+        for new in more:
+            links = links.unionByName(new)
         parts = written(components(links))
 
-    joined = members.join(parts.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("part", F.coalesce("component", "set_id"))
-    # Written, so that Spark can split the rows of a large component in the join.
-    joined = written(joined.filter("n > 0").select("id", "n", "part"))
-    least = written(joined.groupBy("part").agg(F.min("id").alias("component_id")))
-    linked = joined.join(least, "part").select("id", "n", "component_id")
+    # Class by class, and then their documents: rows of a hot component or class stay where they are.
+    placed = classes.join(parts.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("part", F.coalesce("component", "set_id"))
+    placed = written(placed.select("set_id", "least", "copies", "part"))
+    smallest = written(placed.groupBy("part").agg(F.min("least").alias("component_id"), F.count("*").alias("k")))
+    known = written(join_hot(placed, smallest, "part", "k").select("set_id", "component_id", "copies"))
+    linked = join_hot(members.filter("n > 0"), known, "set_id", "copies").select("id", "n", "component_id")
     alone = members.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return linked.unionByName(alone).select(real("id").alias("doc_id"), F.col("n").cast("bigint").alias("n_shingles"), real("component_id").alias("component_id"))

@@ -1,7 +1,9 @@
 import random
 
 import brute
+import numpy as np
 
+import culvert.llm.ngram_join as ngram_join_module
 import culvert.llm.substring_dedup as substring_dedup_module
 import culvert.llm.suffix_dedup as suffix_dedup_module
 from culvert.llm import exchange
@@ -116,3 +118,61 @@ def test_jaccard_families(spark):
     for crowd in (4, 24, 1000):
         found = ngram_jaccard_components(frame(spark, rows), crowd=crowd, count_bits=12).collect()
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute.jaccard_components(rows)
+
+
+def test_jaccard_large_family(spark, monkeypatch):
+    """2,000 texts of one template that share just too little to link, some that do, and copies: no
+    pair of them is written to be verified but for a few each."""
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(90)]
+    rows = []
+    for k in range(2000):
+        own = list(base)
+        for _ in range(3 if k % 10 else 1):
+            own[rng.randrange(90)] = f"e{rng.randrange(10**9)}"
+        rows.append((k, " ".join(own)))
+    rows += [(5000 + k, rows[7 * k][1]) for k in range(200)]
+    asked = []
+    verify = ngram_join_module._verify
+    monkeypatch.setattr(ngram_join_module, "_verify", lambda pairs, sets, percent: asked.append(pairs.count()) or verify(pairs, sets, percent))
+    found = ngram_jaccard_components(frame(spark, rows), count_bits=14).collect()
+    # Brute force on bits of the n-grams.
+    code, sets = {}, []
+    for _, t in rows[:2000]:
+        w = t.split()
+        sets.append(sorted({code.setdefault(tuple(w[k : k + 5]), len(code)) for k in range(86)}))
+    has = np.zeros((2000, len(code)), np.float32)
+    for k, s in enumerate(sets):
+        has[k, s] = 1
+    both, n = has @ has.T, has.sum(axis=1)
+    link = 100 * both >= 75 * (n[:, None] + n - both)
+    assert 20 < link.sum() < 0.2 * link.size
+    want = np.arange(2000)
+    while True:
+        new = np.where(link, want[None, :], 9999).min(axis=1)
+        if (new == want).all():
+            break
+        want = new
+    assert {r.doc_id: r.component_id for r in found if r.doc_id < 2000} == dict(enumerate(want.tolist()))
+    assert {r.doc_id: r.component_id for r in found if r.doc_id >= 5000} == {5000 + k: int(want[7 * k]) for k in range(200)}
+    assert sum(asked) < 10 * len(rows)
+
+
+def test_jaccard_spread(spark, monkeypatch):
+    """Small lists, fragments, blocks and salts: the same components."""
+    monkeypatch.setattr(ngram_join_module, "FRAGMENT_BYTES", 700)
+    monkeypatch.setattr(ngram_join_module, "FEW_BLOCK", 3)
+    monkeypatch.setattr(ngram_join_module, "HUB_SLICE", 7)
+    monkeypatch.setattr(exchange, "FANOUT", 5)
+    monkeypatch.setattr(exchange, "_WARM", 2)
+    rows = corpus(150, 8)
+    rng = random.Random(9)
+    base = [f"f{k}" for k in range(70)]
+    for k in range(60):
+        own = list(base)
+        for _ in range(rng.randrange(0, 7)):
+            own[rng.randrange(70)] = f"e{rng.randrange(10**6)}"
+        rows.append((20_000 + k, " ".join(own)))
+    for crowd in (2, 6):
+        found = ngram_jaccard_components(frame(spark, rows), crowd=crowd, count_bits=10).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute.jaccard_components(rows)
