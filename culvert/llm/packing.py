@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 
 from culvert.llm.exchange import bounded_batches, written
 
-#: Words whose ids a worker remembers, in each of two generations.
-MEMORY_WORDS = 300_000
+#: About how many bytes a worker's memory of words takes, in each of two generations of whole words
+#: and two of their parts, and the longest word (bytes) that it keeps.
+MEMORY_BYTES, MEMORY_WORD = 80 << 20, 64
+#: Bytes of a remembered word beside its own and its ids.
+_ENTRY = 160
 #: Partitions of the input whose offsets (16 bytes each) are broadcast at most; more are joined by a shuffle.
 BROADCAST_PARTS = 500_000
 _TOKENS = "doc_id bigint, doc_tokens bigint, ids binary, part int, part_start bigint"
@@ -45,7 +48,8 @@ class WordTokenizer:
 
     Such a tokenizer never joins text across blanks, so ids of blank-separated words are
     remembered. An unseen word of Latin letters with ASCII marks after it is two pre-tokens, which
-    go to the BPE model alone; any other unseen word goes through the whole tokenizer.
+    go to the BPE model alone; any other unseen word goes through the whole tokenizer. Words of more
+    than MEMORY_WORD bytes are remembered for their own text only.
     """
 
     _made: dict[str, WordTokenizer] = {}
@@ -62,6 +66,7 @@ class WordTokenizer:
         self.old: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.old_parts: dict[str, bytes] = {}
+        self.held = self.held_parts = 0
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
@@ -75,14 +80,20 @@ class WordTokenizer:
         last = int(end).to_bytes(4, "little")
         for text in texts:
             words = text.split()
-            known = self.known
+            known, long = self.known, {}
             for word in set(words).difference(known):
-                known[word] = self.old.get(word) or self._word(word)
-            yield b"".join(map(known.__getitem__, words)) + last
-            if len(known) > MEMORY_WORDS:
-                self.known, self.old = {}, known
-            if len(self.parts) > MEMORY_WORDS:
-                self.parts, self.old_parts = {}, self.parts
+                ids = self.old.get(word) or self._word(word)
+                if len(word) > MEMORY_WORD:
+                    long[word] = ids
+                else:
+                    known[word] = ids
+                    self.held += len(word) + len(ids) + _ENTRY
+            found = map(known.__getitem__, words) if not long else (long[w] if w in long else known[w] for w in words)
+            yield b"".join(found) + last
+            if self.held > MEMORY_BYTES:
+                self.known, self.old, self.held = {}, known, 0
+            if self.held_parts > MEMORY_BYTES:
+                self.parts, self.old_parts, self.held_parts = {}, self.parts, 0
 
     def _word(self, raw: bytes) -> bytes:
         word = raw.decode()
@@ -106,7 +117,9 @@ class WordTokenizer:
             spelt = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
             made = [t.id for t in self.model.tokenize(spelt)]
             ids = struct.pack(f"<{len(made)}I", *made)
-        self.parts[text] = ids
+        if len(text) <= MEMORY_WORD:
+            self.parts[text] = ids
+            self.held_parts += 2 * len(text) + len(ids) + _ENTRY
         return ids
 
 

@@ -106,3 +106,34 @@ def line_dedup(rows, split, ratio, min_pages):
         kept = [x for x in own if not (pages[host, x] >= min_pages and pages[host, x] > ratio * total[host])]
         out[p] = (len(own), len(own) - len(kept), kept)
     return out
+
+
+def license_scan(text, templates, base, min_run, max_gap, min_share):
+    """(labels, score): longest matches word by word, and the best chain of each template, from their definitions."""
+    w = ALNUM.findall(lower(text))
+    named = [(label, p.split()) for p, label in base.items()]
+    labels = {label for label, p in named if any(w[k : k + len(p)] == p for k in range(len(w)))}
+    sequences = [(label, ALNUM.findall(lower(t))) for label, texts in templates.items() for t in texts]
+    known = {tuple(s[i:j]) for _, s in [*sequences, *named] for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
+    most = max(map(len, known))
+    longest = [max((n for n in range(1, min(e + 1, most) + 1) if tuple(w[e + 1 - n : e + 1]) in known), default=0) for e in range(len(w))] + [0]
+    score = 1.0 if labels else 0.0
+    for label, s in sequences:
+        runs = []
+        for e in range(len(w)):
+            n = longest[e]
+            if n >= min_run and longest[e + 1] <= n:
+                runs += [(e - n + 1, e, q - n + 1, q) for q in range(n - 1, len(s)) if s[q - n + 1 : q + 1] == w[e - n + 1 : e + 1]]
+        covered = []
+        for a, b, p, q in runs:
+            best = q - p + 1
+            for k, (_, b2, _, q2) in enumerate(runs[: len(covered)]):
+                over = max(0, b2 + 1 - a, q2 + 1 - p)
+                if over < q - p + 1 and a - b2 <= max_gap and q > q2 and b > b2:
+                    best = max(best, covered[k] + q - p + 1 - over)
+            covered.append(best)
+        share = max(covered, default=0) / len(s)
+        score = max(score, min(1.0, share))
+        if max(covered, default=0) >= min_share * len(s):
+            labels.add(label)
+    return ",".join(sorted(labels)), score

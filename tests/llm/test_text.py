@@ -7,9 +7,10 @@ import numpy as np
 import pytest
 
 from culvert.llm import language, quality
+from culvert.llm import words as wd
 from culvert.llm import queries as q
 from culvert.llm.decontaminate import decontaminate, phrase_matches, postings, proximity_matches, rarest_terms, term_counts, windows_of
-from culvert.llm.license_scan import BASE, TEMPLATES, license_scan
+from culvert.llm.license_scan import BASE, MAX_GAP, MIN_RUN, MIN_SHARE, TEMPLATES, license_scan
 from culvert.llm.line_dedup import HTML_LINES, line_dedup
 from culvert.llm.packing import pack, sequences
 from culvert.llm.suffix_dedup import suffix_dedup, suffix_order
@@ -135,6 +136,46 @@ def test_license_scan(spark):
     assert license_scan(frame(spark, [])).count() == 0
 
 
+def test_license_templates(spark):
+    """Own labels and scores against the definition: template words with gaps, repeats, other words and turns."""
+    rng = random.Random(16)
+    templates = {"a": ["one two three four five six seven eight nine ten", "one two three one two three one two three end"], "b": ["five six seven eight one two three", "mit license text here"], "c": ["x y z x y z x y z x y z"]}
+    base = {"mit license": "mit"}
+    flat = [brute.ALNUM.findall(t) for texts in templates.values() for t in texts]
+    rows = []
+    for k in range(200):
+        own = []
+        for _ in range(rng.randrange(1, 9)):
+            s = rng.choice(flat)
+            i = rng.randrange(len(s))
+            own += s[i : i + rng.randrange(1, 9)] + ["q"] * rng.choice([0, 0, 1, 3, 11, 12, 14])
+        rows.append((k, " ".join(own)))
+    rows += [(900, " ".join(["one two three"] * 40)), (901, " ".join(["x y z"] * 60)), (902, None), (903, "q " * 5000 + "one two three four five six seven eight nine ten"), (None, "mit license"), (0, rows[0][1])]
+    got = [(r.doc_id, r.labels, round(r.score, 9)) for r in license_scan(frame(spark, rows).withColumn("spans", F.lit(1)), templates, base).collect()]
+    want = [(i, *brute.license_scan(t, templates, base, MIN_RUN, MAX_GAP, MIN_SHARE)) for i, t in rows]
+    assert sorted(got, key=repr) == sorted([(i, labels, round(x, 9)) for i, labels, x in want], key=repr)
+    assert len({labels for _, labels, _ in want}) > 4
+
+
+def test_packing_long_words(spark, monkeypatch):
+    """Long and many distinct words: a worker's memory of words is bounded by bytes, and the ids are the same."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from culvert.llm import packing
+
+    monkeypatch.setattr(packing, "MEMORY_BYTES", 20_000)
+    tokenizer = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(1)
+    texts = [" ".join("".join(rng.choices("abcdexyz_-é", k=rng.choice([3, 8, 60, 3000]))) for _ in range(60)) for _ in range(20)] + ["z" * 1_000_000, ""]
+    ids = list(tokenizer.encode([t.encode() for t in texts], 2))
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [[*tokenizer.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    remembered = [*tokenizer.known, *tokenizer.old]
+    assert remembered and max(map(len, remembered)) <= packing.MEMORY_WORD and sum(map(len, remembered)) < 60_000
+    rows = [(None, "a b"), (None, "a b"), (1, "A b"), (1, "A b")]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id bigint, text string, ids int, part int")
+    pieces = pack(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert len(pieces) == 4 and len({p.ids_crc32 for p in pieces}) == 1
+
+
 def test_packing(spark):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
@@ -192,6 +233,92 @@ def test_quality(spark):
     assert quality.score(docs.limit(0), bounded).count() == 0
 
 
+def test_quality_dense(spark):
+    """Weights and scores against plain loops over dense vectors."""
+    rng = random.Random(17)
+    word = lambda: rng.choice(["a", "b", "c", "de", "É1", "!!", "x."])
+    rows = [(k, " ".join(word() for _ in range(rng.randrange(30)))) for k in range(60)] + [(60, None), (61, ""), (62, "a " * 3000), (None, "a b"), (3, "a b"), (3, "a b")]
+    labels = [(k, k % 3 % 2, 0) for k in range(63)] + [(5, 1, 0), (None, 0, 0), (7, 2, 0)]
+    bits = 8
+
+    def features(text):
+        w = re.findall(r"[A-Za-z0-9\u0080-\U0010ffff]+|[^\sA-Za-z0-9\u0080-\U0010ffff]+", text or "")
+        raw = [x.encode() for x in w]
+        at = np.cumsum([0] + [len(x) for x in raw])
+        codes = wd.word_codes(np.frombuffer(b"".join(raw), np.uint8), at[:-1], at[1:])
+        out = [int(wd.window_codes(codes[k : k + n], n)[0] >> np.uint64(64 - bits)) for n in (1, 2) for k in range(len(w) - n + 1)]
+        out += [(1 << bits) + d - 1 for d in (1, 2) for k in range(d, len(w)) if w[k] == w[k - d] and re.match(r"[A-Za-z0-9\u0080-\U0010ffff]", w[k])]
+        x = np.zeros((1 << bits) + 3)
+        np.add.at(x, out, 8.0 / max(1, len(out)))
+        x[-1] = 1.0
+        return x
+
+    docs = frame(spark, rows).withColumn("score", F.lit("old"))
+    weights = quality.fit(docs, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"), bits=bits)
+    by_id = {}
+    for i, t in rows:
+        by_id.setdefault(i, []).append(t)
+    examples = sorted([(i, y, t) for i, y, _ in labels if i is not None and y in (0, 1) for t in by_id[i]], key=lambda e: e[:2])
+    shard = {r.i: r.s for r in spark.createDataFrame([(i,) for i in range(63)], "i bigint").select("i", F.pmod(F.xxhash64("i", F.lit(1)), F.lit(4)).alias("s")).collect()}
+    want = np.zeros((1 << bits) + 3)
+    for s in range(4):
+        own = [(features(t), y) for i, y, t in examples if shard[i] == s]
+        z, n = np.zeros(len(want)), np.zeros(len(want))
+        solved = lambda z, n: -np.sign(z) * np.maximum(np.abs(z) - 0.0005, 0) / ((1 + np.sqrt(n)) / 0.3 + 0.001)
+        for epoch in range(4):
+            for k in np.random.default_rng(epoch).permutation(len(own)):
+                x, y = own[k]
+                w = solved(z, n) * (x > 0)
+                g = (1 / (1 + np.exp(-(w @ x))) - y) * x
+                z += g - (np.sqrt(n + g * g) - np.sqrt(n)) / 0.3 * w
+                n += g * g
+        want += len(own) * solved(z, n) / len(examples)
+    assert np.allclose(weights, want, atol=1e-9)
+    for r in quality.score(docs, weights).collect():
+        assert abs(r.score - 1 / (1 + np.exp(-(features(r.text) @ weights)))) < 1e-9
+
+
+def test_language_dense(spark):
+    """Frequencies, centroids and cosines against plain loops."""
+    rng = random.Random(18)
+    words = {"en": "the and of with that", "fr": "le la les dans être où", "de": "der die und für über"}
+    rows = [(k if k % 9 else None, " ".join(rng.choice(words[lang].split()) for _ in range(rng.randrange(1, 20))), lang) for k in range(90) for lang in [rng.choice(list(words))]]
+    rows += [(5, "the and", "en"), (5, "the and", "en"), (900, None, "en"), (901, "1 2", "de"), (902, "le " * 4000, "fr"), (903, "the und le", None)]
+    docs = spark.createDataFrame([(*r, 1.0, True) for r in rows], "doc_id bigint, text string, lang string, score double, rejected boolean").repartition(3)
+    cells = 64
+    model = language.fit(docs, cells=cells, centroids=2)
+
+    def counted(text):
+        out, raw = [0] * cells, list((text or "").lower().encode())
+        letter = lambda k: raw[k] if 0 <= k < len(raw) and (97 <= raw[k] <= 122 or raw[k] >= 128) else 0
+        for k in range(len(raw)):
+            if letter(k):
+                code = (letter(k - 1) << 16) + (letter(k) << 8) + letter(k + 1)
+                out[(code * 0x9E3779B1 % 2**32) >> (32 - 6)] += 1
+        return np.array(out, float)
+
+    learned = [(t, lang) for _, t, lang in rows if t is not None and lang is not None]
+    df = sum((counted(t) > 0).astype(int) for t, _ in learned)
+    idf = np.log((1 + len(learned)) / (1 + df)) + 0.1
+    assert np.allclose(model.idf, idf)
+    unit = lambda x: x / max(np.linalg.norm(x), 1e-12)
+    vector = lambda t: unit(np.log1p(counted(t)) * idf)
+    assert sorted(set(model.langs)) == ["de", "en", "fr"] and len(model.langs) == 6
+    for lang in words:  # each centroid is the mean direction of the documents nearest to it
+        centres = [c for c, name in zip(model.centres, model.langs, strict=True) if name == lang]
+        own = [vector(t) for t, name in learned if name == lang]
+        near = [int(np.argmax([x @ c for c in centres])) for x in own]
+        for k, c in enumerate(centres):
+            assert np.allclose(c, unit(sum(x for x, i in zip(own, near, strict=True) if i == k)), atol=1e-9)
+    got = sorted(((r.doc_id, r.lang_pred, round(r.score, 9)) for r in language.predict(docs, model).collect()), key=repr)
+    want = []
+    for i, t, _ in rows:
+        cosines = [vector(t) @ c for c in model.centres]
+        lettered = bool(re.search(r"[^\W\d_]", t or ""))
+        want.append((i, model.langs[int(np.argmax(cosines))] if lettered else "und", round(min(1, max(0, max(cosines))), 9) if lettered else 0.0))
+    assert got == sorted(want, key=repr)
+
+
 def test_language(spark):
     rng = random.Random(8)
     words = {"en": "the and of with which that there", "fr": "le la les avec qui dans être où", "de": "der die und mit nicht über für"}
