@@ -24,8 +24,10 @@ from culvert.llm.exchange import bounded_batches, packed, unpacked
 #: Cells of the 3-gram hash (a power of two): the width of all vectors.
 CELLS = 4096
 #: Documents of a language that its centroids are fitted on at most (in expectation: rows are
-#: chosen by a hash of their id), and the number of its centroids.
+#: chosen by a hash of their id and text), and the number of its centroids.
 MAX_SAMPLE, CENTROIDS = 2000, 4
+#: Languages that are learned at most, those with the most documents: a table's lang may be dirty.
+MAX_LANGS = 500
 UNKNOWN = "und"
 _ROUNDS, _OUTLIERS, _SLACK = 12, 0.005, 0.1
 #: A cosine under this is rejected whatever the members of the centroid reach.
@@ -76,7 +78,7 @@ def _centroids(k: int, idf: np.ndarray):
     """A language's centroids and the cosine that all but a few of each one's members reach."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")  # the result doesn't depend on the order of arrival
+        table = table.sort_by([("id", "ascending"), ("text", "ascending")])  # the result doesn't depend on the order of arrival
         x = np.concatenate([vectors(b.column("text"), idf) for b in table.to_batches(max_chunksize=_BATCH)])
         chosen = [int(np.argmax(x @ x.mean(axis=0)))]
         for _ in range(1, min(k, len(x))):  # the next start is the text furthest from all so far
@@ -106,8 +108,9 @@ def fit(docs: DataFrame, cells: int = CELLS, centroids: int = CENTROIDS, max_sam
     """A model from documents (doc_id, text, lang). Rows with a null lang or text are left out.
 
     Document frequencies count every document; centroids are fitted on about max_sample documents
-    of each language. What comes to the driver is a number for each cell and a few centroids for
-    each language.
+    of each language, of the MAX_LANGS languages with the most documents. Of rows that repeat id and
+    text all or none are in the sample. What comes to the driver is a number for each cell and a few
+    centroids for each language.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -115,10 +118,10 @@ def fit(docs: DataFrame, cells: int = CELLS, centroids: int = CENTROIDS, max_sam
     seen = {r.cell: r.n for r in docs.select("text").mapInArrow(_seen(cells), "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
     n = seen.get(-1, 0)
     idf = np.log((1 + n) / (1 + np.array([seen.get(c, 0) for c in range(cells)]))) + 0.1
-    share = {r.lang: max_sample / max(max_sample, r["count"]) for r in docs.groupBy("lang").count().collect()}
+    share = {r.lang: max_sample / max(max_sample, r["count"]) for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
     if not share:
         return Model(idf, [], np.zeros((0, cells)), np.zeros(0))
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(1 << 30)
+    place = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / F.lit(1 << 30)
     shares = F.create_map(*[F.lit(x) for pair in sorted(share.items()) for x in pair])
     sample = docs.filter(place < shares[F.col("lang")])
     found = sample.groupBy("lang").applyInArrow(_centroids(centroids, idf), "lang string, least double, centre binary").collect()
