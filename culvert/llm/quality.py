@@ -27,6 +27,13 @@ BITS = 18
 MAX_LABELLED = 16_000
 _SHARDS, _EPOCHS, _SCALE = 4, 4, 8.0
 _ALPHA, _BETA, _L1, _L2 = 0.3, 1.0, 0.0005, 0.001
+#: Features beside the hashed n-grams: words said again at once and after one other.
+_AGAIN = 2
+
+
+def size_of(bits: int) -> int:
+    """The number of weights: n-gram cells, features beside them, and the intercept."""
+    return (1 << bits) + _AGAIN + 1
 
 
 def _features(column: pa.Array, orders: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -42,7 +49,7 @@ def _features(column: pa.Array, orders: int, bits: int) -> tuple[np.ndarray, np.
     letters = wd.ALNUM[wd.lowered(buf[starts])]
     for apart in (1, 2):
         again = np.flatnonzero((codes[apart:] == codes[:-apart]) & (row[apart:] == row[:-apart]) & letters[apart:])
-        cells.append(np.full(len(again), apart, np.int32))
+        cells.append(np.full(len(again), (1 << bits) + apart - 1, np.int32))  # cells of their own
         rows.append(row[again])
     cells, rows = np.concatenate(cells), np.concatenate(rows)
     return cells, rows, np.bincount(rows, minlength=len(column))
@@ -52,7 +59,7 @@ class Ftrl:
     """Per-coordinate FTRL-proximal logistic regression; the last weight is the intercept."""
 
     def __init__(self, size: int) -> None:
-        self.z, self.n = np.zeros(size + 1), np.zeros(size + 1)
+        self.z, self.n = np.zeros(size), np.zeros(size)
 
     def weights(self, at=slice(None)) -> np.ndarray:
         z, n = self.z[at], self.n[at]
@@ -84,8 +91,8 @@ def _fit(orders: int, bits: int):
             cells, bounds = cells[order], np.concatenate([[0], np.cumsum(n)])
             for k, y in enumerate(batch.column("y").to_numpy()):
                 at, count = np.unique(cells[bounds[k] : bounds[k + 1]], return_counts=True)
-                examples.append((np.append(at, 1 << bits), np.append(_SCALE * count / max(1, n[k]), 1.0), float(y)))
-        model = Ftrl(1 << bits)
+                examples.append((np.append(at, size_of(bits) - 1), np.append(_SCALE * count / max(1, n[k]), 1.0), float(y)))
+        model = Ftrl(size_of(bits))
         for epoch in range(_EPOCHS):
             for k in np.random.default_rng(epoch).permutation(len(examples)):
                 model.learn(*examples[k])
@@ -110,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, orders: int = 2, bits: int = BITS, m
     chosen = F.broadcast(labels.filter(place < share))  # about max_labelled rows of 12 bytes
     examples = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(chosen, "id")
     shards = examples.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(_SHARDS)))
-    total, n = np.zeros((1 << bits) + 1), 0
+    total, n = np.zeros(size_of(bits)), 0
     for row in shards.groupBy("shard").applyInArrow(_fit(orders, bits), "n bigint, weights binary").collect():  # one row a shard
         total, n = total + row.n * unpacked(row.weights, np.float64), n + row.n
     return total / max(1, n)
@@ -139,7 +146,7 @@ def score(docs: DataFrame, weights: np.ndarray, orders: int = 2) -> DataFrame:
     shared = spark.sparkContext.broadcast(weights)
     docs = docs.drop("score")
     schema = T.StructType([*docs.schema, T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(_score(orders, int(len(weights) - 1).bit_length() - 1, shared), schema)
+    return docs.mapInArrow(_score(orders, (len(weights) - _AGAIN - 1).bit_length() - 1, shared), schema)
 
 
 def held_out(doc_id: str, parts: int, part: int) -> Column:
