@@ -44,7 +44,7 @@ FLUSH_ENTRIES = 1 << 21
 #: Documents of an n-gram for each list that its entries are spread over.
 LIST_DOCUMENTS = 4096
 #: Few classes and classes of a hub that one task holds against each other.
-FEW_BLOCK, HUB_SLICE = 512, 4096
+FEW_BLOCK, HUB_SLICE = 256, 256
 _SLICE = 1 << 16
 _SET = "id bigint, n int, set_id bigint"
 _ENTRY = (np.uint64, np.int64, np.int32, np.int32, np.int32)  # code, class, its size, list, lists of the n-gram
