@@ -1,29 +1,28 @@
 """Benchmark decontamination with a distributed positional inverted index, on DataFrames alone.
 
-Counts of the test terms over all training texts tell the rarest term of each test window. The
-index keeps, for these terms, a posting for each occurrence: document, place and the words around
-it. A window's list is its rarest term's, moved by the term's offset in the window; at each moved
-place the other terms must stand at their own offsets, which the posting's words tell. Terms that
-no training text has rule their windows out at once.
-
-A posting is tried once for each (offset, length) that its term has, however many windows those
-are: candidates meet windows by a code of all their words, and the words are compared after that.
-
-Proximity is asked of the same postings: a window is near where all its words, in any order, stand
-in its length and `SLACK` words more. Such a span has the window's rarest term, so it lies around a
-posting. A posting meets, for each word around it, the windows that have this word as their second
-rarest, and not all windows of its term; all words are compared after that.
+Counts of the test terms over all training texts tell the rarest and the second rarest term of each
+test window. The index keeps, for these terms, a posting list for each document that has them: the
+sorted places. A window's rarest term finds its documents; its list, moved by the term's offset in
+the window, is intersected with the second's list, moved by that one's. What both leave are places
+where the window may begin: there the words themselves are compared, in one pass over the texts that
+also counts their words. A window with a term that no training text has is ruled out at once.
+
+Proximity is asked of the same lists: a window is near where all its words, in any order, stand in
+its length and `SLACK` words more. Such a span has both terms, so only places of the rarest with one
+of the second within that length are compared.
+
+Test terms and windows meet the texts and lists by broadcasts of bounded parts; the texts are read
+again for each part of the terms, and no term, however frequent, gathers in one task.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from culvert.llm.exchange import NO_ID, written
 
-#: Rows of test terms and of test windows that are broadcast at most; more are joined by a shuffle.
+#: Rows of test terms and of test windows that are broadcast at a time; more are joined part by part.
 BROADCAST_TERMS, BROADCAST_WINDOWS = 200_000, 50_000
 #: Words that may stand between the words of a window that is near.
 SLACK = 1
@@ -55,9 +54,17 @@ def _n_words(words: str) -> Column:
     return (F.size(words) - _blank_first(words) - last).cast("bigint")
 
 
-def _sized(df: DataFrame, most: int) -> DataFrame:
-    """The frame with a broadcast hint if it has at most `most` rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def _parts(df: DataFrame, key: str, most: int) -> list[DataFrame]:
+    """The frame in broadcast parts of about `most` rows or fewer, dealt by a key."""
+    k = max(1, -(-df.count() // most))
+    return [F.broadcast(df.filter(F.pmod(F.xxhash64(key), F.lit(k)) == i)) for i in range(k)]
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found
 
 
 def windows_of(items: DataFrame, width: int) -> DataFrame:
@@ -73,83 +80,87 @@ def term_counts(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """(term, n): occurrences in all texts of each code of a window's word; terms without any are left out."""
     terms = windows.select(F.explode("words").alias("word")).select(_code(F.col("word")).alias("term")).distinct()
     found = docs.select(F.explode(_raw(F.col("text"))).alias("word")).filter("word <> ''").select(_code(F.col("word")).alias("term"))
-    return found.join(_sized(terms, BROADCAST_TERMS), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    return _union([found.join(part, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n")) for part in _parts(terms, "term", BROADCAST_TERMS)])
 
 
 def rarest_of(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """(code, n_words, offset, term, second): the rarest term of each window, the offset it has
-    there, and the rarest of the other terms, or the same where there is none. Windows with a term
-    that no text has are left out."""
-    at = windows.select("code", F.size("words").alias("n_words"), F.posexplode("words").alias("offset", "word"))
-    at = at.select("code", "n_words", "offset", _code(F.col("word")).alias("term"))
+    """(code, words, n_words, offset, term, second_offset, second): each window with its rarest term and
+    the rarest of the others, or the same where there is none, and the offset that each has there.
+    Windows with a term that no text has are left out."""
+    at = windows.select("code", "words", F.posexplode("words").alias("offset", "word")).withColumn("term", _code(F.col("word")))
     counted = at.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    ranked = counted.groupBy("code", "n_words").agg(F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("terms"))
-    ranked = ranked.select("code", "n_words", F.col("terms")[0].alias("r"), "terms").filter("r.n > 0")
-    others = F.filter("terms", lambda x: x["term"] != F.col("r.term"))
-    second = F.when(F.size(others) > 0, F.get(others, F.lit(0))["term"]).otherwise(F.col("r.term"))
-    return ranked.select("code", "n_words", F.col("r.offset").alias("offset"), F.col("r.term").alias("term"), second.alias("second"))
+    ranked = counted.groupBy("code", "words").agg(F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("terms"))
+    ranked = ranked.select("code", "words", F.col("terms")[0].alias("r"), "terms").filter("r.n > 0")
+    other = F.coalesce(F.get(F.filter("terms", lambda x: x["term"] != F.col("r.term")), F.lit(0)), F.col("r"))
+    return ranked.select("code", "words", F.size("words").alias("n_words"), "r.offset", "r.term", other["offset"].alias("second_offset"), other["term"].alias("second"))
+
+
+def index_of(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """The index of texts (id, mark, text) for terms (term): id, mark, term, places (from 0, sorted)."""
+    split = docs.select("id", "mark", _raw(F.col("text")).alias("words"))
+    each = split.select("id", "mark", _blank_first("words").alias("first"), F.posexplode("words").alias("at", "word")).filter("word <> ''")
+    each = each.select("id", "mark", _code(F.col("word")).alias("term"), (F.col("at") - F.col("first")).alias("place"))
+    met = _union([each.join(part, "term") for part in _parts(terms, "term", BROADCAST_TERMS)])
+    return met.groupBy("id", "mark", "term").agg(F.array_sort(F.collect_set("place")).alias("places"))
+
+
+def intersections(index: DataFrame, rarest: DataFrame, near: bool = True, slack: int = SLACK) -> DataFrame:
+    """(id, mark, code, words, starts, close): where windows may begin in documents, by the lists of
+    their two terms, and (with `near`) places of the rarest term with the second close to it."""
+    first = _union([index.join(part, "term").drop("term") for part in _parts(rarest, "code", BROADCAST_WINDOWS)])
+    second = index.select("id", "mark", F.col("term").alias("second"), F.col("places").alias("others"))
+    both = first.join(second, ["id", "mark", "second"])
+    moved = lambda places, offset: F.transform(places, lambda p: p - F.col(offset))
+    starts = F.filter(F.array_intersect(moved("places", "offset"), moved("others", "second_offset")), lambda s: s >= 0)
+    most = F.col("n_words") - 1 + slack
+    close = F.filter("places", lambda p: F.exists("others", lambda q: F.abs(p - q) <= most)) if near else F.array().cast("array<int>")
+    found = both.select("id", "mark", "code", "words", starts.alias("starts"), close.alias("close"))
+    return found.filter((F.size("starts") > 0) | (F.size("close") > 0))
 
 
-def slots_of(rarest: DataFrame) -> DataFrame:
-    """(term, slots): each term of rarest_of() with the distinct (offset, length) it has in windows."""
-    return rarest.groupBy("term").agg(F.collect_set(F.struct("offset", "n_words")).alias("slots"))
+def _holds(span: Column, words: Column) -> Column:
+    """Whether a span has each of the words at least as often as they have it."""
+    times = lambda among, w: F.size(F.filter(among, lambda x: x == w))
+    return F.forall(words, lambda w: times(span, w) >= times(words, w))
 
 
-def rarest_terms(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """(term, slots): the rarest term of each window, with the distinct (offset, length) it has there."""
-    return slots_of(rarest_of(windows, counts))
+def _is_near(words: str, first: str, slack: int):
+    """Whether a candidate's words all stand in a span around one of its close places."""
 
+    def run(c: Column) -> Column:
+        most = F.size(c["words"]) + slack
 
-def postings(docs: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
-    """The index of texts (id, mark, text) for terms (term, slots): id, mark, term, place (from 0),
-    slots, around (raw words up to `reach` to each side), before (how many of them to the left)."""
-    split = docs.select("id", "mark", _raw(F.col("text")).alias("words"))
-    each = split.select("id", "mark", "words", F.posexplode("words").alias("at", "word")).filter("word <> ''")
-    each = each.withColumn("term", _code(F.col("word")))
-    first = F.greatest(F.col("at") - reach, _blank_first("words"))
-    found = each.join(terms, "term").select(
-        "id", "mark", "term", (F.col("at") - _blank_first("words")).alias("place"), "slots",
-        F.slice("words", first + 1, F.col("at") + reach + 1 - first).alias("around"), (F.col("at") - first).alias("before"),
-    )
-    return found
+        def at(place: Column) -> Column:
+            low = F.greatest(F.lit(0), place - most + 1)
+            # The words around a place once, for all spans that hold it.
+            around = F.array(_lowered(F.slice(words, low + F.col(first) + 1, place - low + most)))
+            return F.exists(around, lambda x: F.exists(F.sequence(F.lit(1), place - low + 1), lambda s: _holds(F.slice(x, s, most), c["words"])))
 
+        return F.exists(c["close"], at)
 
-def phrase_matches(index: DataFrame, windows: DataFrame) -> DataFrame:
-    """Exact occurrences of windows: id, mark, start (word from 0), n_words, code (of the window)."""
-    tried = index.select("id", "mark", "place", "around", "before", F.explode("slots").alias("slot"))
-    tried = tried.select("id", "mark", (F.col("place") - F.col("slot.offset")).alias("start"), (F.col("before") - F.col("slot.offset")).alias("skip"), F.col("slot.n_words").alias("n_words"), "around")
-    tried = tried.filter("skip >= 0").withColumn("found", _lowered(F.slice("around", F.greatest(F.col("skip"), F.lit(0)) + 1, F.col("n_words"))))
-    tried = tried.filter(F.size("found") == F.col("n_words")).select("id", "mark", "start", "n_words", "found", F.xxhash64("found").alias("code"))
-    known = windows.select("code", "words")
-    return tried.join(_sized(known, BROADCAST_WINDOWS), "code").filter("found = words").select("id", "mark", "start", "n_words", "code")
+    return run
 
 
-def _holds(span: Column, words: Column) -> Column:
-    """Whether a span has each of the words at least as often as they have it."""
-    times = lambda among, w: F.size(F.filter(among, lambda x: x == w))
-    return F.forall(words, lambda w: times(span, w) >= times(words, w))
+def matched(docs: DataFrame, candidates: DataFrame, slack: int = SLACK) -> DataFrame:
+    """(id, mark, n_words, n_hit, codes, near_codes) of each text: its words, those inside exact
+    occurrences of windows, and the windows that occur and that are near."""
+    listed = candidates.groupBy("id", "mark").agg(F.collect_list(F.struct("code", "words", "starts", "close")).alias("asked"))
+    texts = docs.select("id", "mark", "text").join(listed.hint("merge"), ["id", "mark"], "left")
+    texts = texts.withColumn("asked", F.coalesce("asked", F.array().cast(listed.schema["asked"].dataType)))
+    split = texts.select("id", "mark", _raw(F.col("text")).alias("words"), "asked").withColumn("first", _blank_first("words"))
+    stands = lambda c: F.filter(c["starts"], lambda s: _lowered(F.slice("words", s + F.col("first") + 1, F.size(c["words"]))) == c["words"])
+    exact = F.filter(F.transform("asked", lambda c: F.struct(c["code"].alias("code"), F.size(c["words"]).alias("n"), stands(c).alias("starts"))), lambda c: F.size(c["starts"]) > 0)
+    found = split.select("id", "mark", _n_words("words").alias("n_words"), exact.alias("exact"), F.transform(F.filter("asked", _is_near("words", "first", slack)), lambda c: c["code"]).alias("near_codes"))
+    spans = F.array_sort(F.flatten(F.transform("exact", lambda c: F.transform(c["starts"], lambda s: F.struct(s.alias("start"), (s + c["n"]).alias("end"))))))
+    step = lambda acc, x: F.struct(F.greatest(acc["end"], x["end"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["start"], acc["end"]))).alias("n"))
+    n_hit = F.aggregate(spans, F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), step)["n"]
+    return found.select("id", "mark", "n_words", F.coalesce(n_hit, F.lit(0)).cast("bigint").alias("n_hit"), F.transform("exact", lambda c: c["code"]).alias("codes"), "near_codes")
 
 
-def proximity_matches(index: DataFrame, windows: DataFrame, terms_of: DataFrame, slack: int = SLACK) -> DataFrame:
-    """Places where all words of a window, each as often as there, stand in any order in a span of
-    the window's length and `slack` words more: id, mark, place (of its rarest term), code. terms_of
-    is rarest_of(), or (code, term) alone. The index reaches that span less one word to each side;
-    what a shorter reach leaves out is not seen."""
-    if "second" not in terms_of.columns:
-        terms_of = terms_of.withColumn("second", F.col("term"))
-    near = index.select("id", "mark", "term", "place", "before", _lowered("around").alias("around"))
-    near = near.select("*", F.explode(F.transform("around", _code)).alias("second"))
-    asked = windows.select("code", "words").join(terms_of.select("code", "term", "second"), "code")
-    met = near.join(_sized(asked, BROADCAST_WINDOWS), ["term", "second"]).filter(F.size(F.array_except("words", "around")) == 0)
-    met = met.select("id", "mark", "place", "code", "before", "around", "words").distinct()
-    most = F.size("words") + slack
-    starts = F.sequence(F.greatest(F.lit(0), F.col("before") - most + 1), F.col("before"))
-    return met.filter(F.exists(starts, lambda s: _holds(F.slice("around", s + 1, most), F.col("words")))).select("id", "mark", "place", "code").distinct()
-
-
-def _named(matches: DataFrame, windows: DataFrame, name: str) -> DataFrame:
-    """(id, mark, `name`): the items of the windows in matches (id, mark, code), sorted."""
-    met = matches.select("id", "mark", "code").distinct().join(_sized(windows.select("code", "items"), BROADCAST_WINDOWS), "code")
+def _named(found: DataFrame, windows: DataFrame, codes: str, name: str) -> DataFrame:
+    """(id, mark, `name`): the items of the windows in a column of codes, sorted."""
+    each = found.select("id", "mark", F.explode(codes).alias("code")).distinct()
+    met = _union([each.join(part, "code") for part in _parts(windows.select("code", "items"), "code", BROADCAST_WINDOWS)])
     return met.select("id", "mark", F.explode("items").alias("item")).groupBy("id", "mark").agg(F.array_sort(F.collect_set("item")).alias(name))
 
 
@@ -166,43 +177,32 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, near: bool
     ids as sorted strings), items_sha256 (of items, comma-joined), contaminated (n_hit > 0), and
     n_near_items and near_items (the same of items with windows that are near: all words, in any
     order, in the window's length and SLACK words more; windows that occur are near too). Without
-    `near` these two are left out, and their pass over the texts.
+    `near` these two are left out.
 
     Null texts have no words; items without words have no windows; a null item_id stands as the
-    empty string. A null doc_id stays null. Repeated rows get equal rows. Empty tables give an empty
-    table, or one without hits. Other columns are ignored.
+    empty string. A null doc_id stays null. Repeated rows get equal rows. A text of any length is one
+    row. Empty tables give an empty table, or one without hits. Other columns are ignored.
     """
     text = F.col("text").cast("string")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
     keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("mark"), "text")
     windows = written(windows_of(items, width))
     rarest = written(rarest_of(windows, term_counts(docs, windows)))
-    terms = written(slots_of(rarest))
-    # A posting's context: any window that its term stands in.
-    index = postings(keyed, _sized(terms, BROADCAST_TERMS), width - 1)
-    matches = written(phrase_matches(index, windows).distinct())
-
-    earlier = W.partitionBy("id", "mark").orderBy("start", "n_words").rowsBetween(W.unboundedPreceding, -1)
-    end = F.col("start") + F.col("n_words")
-    fresh = F.greatest(F.lit(0), end - F.greatest("start", F.coalesce(F.max(end).over(earlier), F.lit(0))))
-    hits = matches.select("id", "mark", fresh.alias("fresh")).groupBy("id", "mark").agg(F.sum("fresh").alias("n_hit"))
-    found = hits.join(_named(matches, windows, "items"), ["id", "mark"])
-
-    words = keyed.select("id", "mark", _raw(F.col("text")).alias("words")).select("id", "mark", _n_words("words").alias("n_words"))
-    joined = words.join(found, ["id", "mark"], "left")
+    terms = rarest.select(F.explode(F.array("term", "second")).alias("term")).distinct()
+    index = written(index_of(keyed, terms))
+    found = written(matched(keyed, intersections(index, rarest, near)))
+    joined = found.join(_named(found, windows, "codes", "items"), ["id", "mark"], "left")
     own, more = _or_none("items"), []
     if near:
-        wider = postings(keyed, _sized(terms, BROADCAST_TERMS), width - 1 + SLACK)
-        close = written(proximity_matches(wider, windows, rarest).select("id", "mark", "code").distinct())
-        joined = joined.join(_named(close, windows, "near_items"), ["id", "mark"], "left")
+        joined = joined.join(_named(found, windows, "near_codes", "near_items"), ["id", "mark"], "left")
         more = [F.size(_or_none("near_items")).cast("bigint").alias("n_near_items"), _or_none("near_items").alias("near_items")]
     return joined.select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"),
         "n_words",
-        F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
+        "n_hit",
         F.size(own).cast("bigint").alias("n_items"),
         own.alias("items"),
         F.sha2(F.array_join(own, ","), 256).alias("items_sha256"),
-        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        (F.col("n_hit") > 0).alias("contaminated"),
         *more,
     )

@@ -44,7 +44,8 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10).drop("items", "n_near_items", "near_items")
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+    return found.withColumn("near_sha256", F.sha2(F.array_join("near_items", ","), 256)).drop("items", "near_items")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,10 +126,19 @@ ORACLE_SQL = {
               FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM t))),
         m AS (SELECT doc_id, i, g.n, item FROM g JOIN t ON g.words = t.words),
         h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id),
-        x AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+        x AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id),
+        -- Spans of one word more around each occurrence of a window's rarest word.
+        k AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+        c AS (SELECT word, count(*) AS c FROM k GROUP BY word),
+        r AS (SELECT words, n, arg_min(word, (coalesce(c, 0), word)) AS word FROM (SELECT words, n, unnest(words) AS word FROM (SELECT DISTINCT words, n FROM t)) LEFT JOIN c USING (word) GROUP BY words, n),
+        s AS (SELECT DISTINCT doc_id, words, n, unnest(range(greatest(1, p - n), p + 1)) AS s FROM r JOIN k USING (word)),
+        o AS (SELECT DISTINCT doc_id, words FROM s JOIN d USING (doc_id)
+              WHERE len(list_filter(words, lambda x: len(list_filter(w[s:s + n], lambda y: y = x)) < len(list_filter(words, lambda y: y = x)))) = 0),
+        y AS (SELECT doc_id, count(*) AS n_near_items, string_agg(item, ',' ORDER BY item) AS near_items FROM (SELECT DISTINCT doc_id, item FROM o JOIN t USING (words)) GROUP BY doc_id)
         SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-               sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN x USING (doc_id)
+               sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated,
+               coalesce(n_near_items, 0) AS n_near_items, sha256(coalesce(near_items, '')) AS near_sha256
+        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id)
     """,
     "op5_line_dedup": r"""
         WITH p AS (

@@ -6,10 +6,12 @@ import brute
 import numpy as np
 import pytest
 
+import culvert.llm.decontaminate as decontaminate_module
 from culvert.llm import language, quality
 from culvert.llm import words as wd
 from culvert.llm import queries as q
-from culvert.llm.decontaminate import decontaminate, phrase_matches, postings, proximity_matches, rarest_terms, term_counts, windows_of
+
+from culvert.llm.decontaminate import decontaminate, index_of, intersections, matched, rarest_of, term_counts, windows_of
 from culvert.llm.license_scan import BASE, MAX_GAP, MIN_RUN, MIN_SHARE, TEMPLATES, license_scan
 from culvert.llm.line_dedup import HTML_LINES, line_dedup
 from culvert.llm.packing import pack, sequences
@@ -64,14 +66,33 @@ def test_decontaminate(spark):
     assert sorted((r.doc_id or 0, r.n_hit, r.n_items) for r in twice.collect()) == [(0, 1, 1), (1, 1, 1), (1, 1, 1)]
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, 0, "x the rare of y"), (2, 0, "of the rare"), (3, 0, "rare x y z w of the")], "id bigint, mark bigint, text string")
-    windows = windows_of(spark.createDataFrame([(9, "the rare of")], "item_id bigint, text string"), 3)
-    terms = rarest_terms(windows, term_counts(docs, windows))
-    index = postings(docs, terms, 2)
-    assert [r.id for r in phrase_matches(index, windows).collect()] == [1]
-    of = windows.crossJoin(terms).select("code", "term")
-    assert sorted(r.id for r in proximity_matches(index, windows, of).collect()) == [1, 2]
+def test_positional_index(spark):
+    """Lists of the two rarest terms, moved by their offsets and intersected."""
+    docs = spark.createDataFrame([(1, 0, "x the rare of y. The rare of"), (2, 0, "of the rare"), (3, 0, "rare x y z w of the"), (4, 0, ".the the rare; of")], "id bigint, mark bigint, text string")
+    windows = windows_of(spark.createDataFrame([(9, "the rare of"), (8, "never seen the")], "item_id bigint, text string"), 3)
+    rarest = rarest_of(windows, term_counts(docs, windows))
+    assert [(r.offset, r.second_offset, r.words) for r in rarest.collect()] == [(1, 2, ["the", "rare", "of"])]
+    index = index_of(docs, rarest.select(F.explode(F.array("term", "second")).alias("term")))
+    rare = rarest.first().term
+    assert {r.id: r.places for r in index.filter(F.col("term") == rare).collect()} == {1: [2, 6], 2: [2], 3: [0], 4: [2]}
+    met = {r.id: (r.starts, r.close) for r in intersections(index, rarest).collect()}
+    assert met == {1: ([1, 5], [2, 6]), 2: ([], [2]), 4: ([1], [2])}
+    found = {r.id: (r.n_words, r.n_hit, len(r.codes), len(r.near_codes)) for r in matched(docs, intersections(index, rarest)).collect()}
+    assert found == {1: (8, 6, 1, 1), 2: (3, 0, 0, 1), 3: (7, 0, 0, 0), 4: (4, 3, 1, 1)}
+
+
+def test_decontaminate_parts(spark, monkeypatch):
+    """Terms and windows in many parts, and texts of 20,000 words: the same results."""
+    monkeypatch.setattr(decontaminate_module, "BROADCAST_TERMS", 40)
+    monkeypatch.setattr(decontaminate_module, "BROADCAST_WINDOWS", 25)
+    rng = random.Random(5)
+    rows = corpus(60, 22, vocabulary=9)
+    long = [f"{rng.choice('ab')}{rng.randrange(12)}" for _ in range(20_000)]
+    rows += [(8000, " ".join(long)), (8001, " ".join(long[:9000] + ["b2"] * 3000)), (8002, "b2 " * 20_000)]
+    items = [(k, " ".join((rng.choice(rows[:60])[1] or "").split()[5:22])) for k in range(12)] + [(50, "b2"), (51, " ".join(long[19_000:19_015])), (52, "b2 " * 10)]
+    docs = frame(spark, rows).withColumns({c: F.lit(7) for c in ("id", "mark", "items", "term", "words")})
+    got = decontaminate(docs, spark.createDataFrame(items, "item_id bigint, text string"), near=False).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got} == brute.decontaminate(rows, items)
 
 
 def test_decontaminate_near(spark):
