@@ -88,9 +88,9 @@ def rarest_of(windows: DataFrame, counts: DataFrame) -> DataFrame:
     the rarest of the others, or the same where there is none, and the offset that each has there.
     Windows with a term that no text has are left out."""
     at = windows.select("code", "words", F.posexplode("words").alias("offset", "word")).withColumn("term", _code(F.col("word")))
-    counted = at.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    ranked = counted.groupBy("code", "words").agg(F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("terms"))
-    ranked = ranked.select("code", "words", F.col("terms")[0].alias("r"), "terms").filter("r.n > 0")
+    counted = _union([at.join(part, "term") for part in _parts(counts, "term", BROADCAST_TERMS)])
+    ranked = counted.groupBy("code", "words").agg(F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("terms")).filter(F.size("terms") == F.size("words"))
+    ranked = ranked.select("code", "words", F.col("terms")[0].alias("r"), "terms")
     other = F.coalesce(F.get(F.filter("terms", lambda x: x["term"] != F.col("r.term")), F.lit(0)), F.col("r"))
     return ranked.select("code", "words", F.size("words").alias("n_words"), "r.offset", "r.term", other["offset"].alias("second_offset"), other["term"].alias("second"))
 
@@ -187,7 +187,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, near: bool
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
     keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("mark"), "text")
     windows = written(windows_of(items, width))
-    rarest = written(rarest_of(windows, term_counts(docs, windows)))
+    rarest = written(rarest_of(windows, written(term_counts(docs, windows))))
     terms = rarest.select(F.explode(F.array("term", "second")).alias("term")).distinct()
     index = written(index_of(keyed, terms))
     found = written(matched(keyed, intersections(index, rarest, near)))
