@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from culvert.functions.hydraulics import col, positive
@@ -85,3 +85,8 @@ def tick_step(span, ticks: int = 8) -> Column:
     base = F.pow(F.lit(10.0), F.floor(F.log10(rough)))
     part = rough / base
     return positive(rough > 0, F.when(part <= 1.0, base).when(part <= 2.0, 2.0 * base).when(part <= 5.0, 5.0 * base).otherwise(10.0 * base), 1.0)
+
+
+def total_areas(catchments: DataFrame) -> DataFrame:
+    """(network_id, acres, n): the area of each network's catchments; fewer than three vertices have none."""
+    return catchments.groupBy("network_id").agg(F.sum(acres(shoelace_area("vertices"))).alias("acres"), F.count("*").alias("n"))
