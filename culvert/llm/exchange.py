@@ -12,6 +12,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 from typing import NamedTuple
 
 import numpy as np
@@ -50,15 +52,41 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Where written() notes the tables of the settled() call that runs.
+_tables: ContextVar[list[str] | None] = ContextVar("tables", default=None)
+
+
 def written(df: DataFrame, **options: str) -> DataFrame:
     """The frame written as Parquet in the shared folder and read again: a cut of the lineage that
-    every executor can read, whichever are lost."""
+    every executor can read, whichever are lost. The table stays until its owner deletes it; see
+    settled()."""
     spark = df.sparkSession
     path = shared_dir(spark)
+    if (tables := _tables.get()) is not None:
+        tables.append(path)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a table that written() made, by the file system that Spark writes it with."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def settled(make: Callable[[], DataFrame]) -> tuple[DataFrame, str]:
+    """The frame of make(), written, with its path. All other tables that make() wrote on the way are
+    deleted then: the result needs them no more, whichever executors are lost."""
+    token = _tables.set(tables := [])
+    try:
+        result = written(make())
+    finally:
+        _tables.reset(token)
+    for path in tables[:-1]:
+        deleted(result.sparkSession, path)
+    return result, tables[-1]
+
+
 def groups_for(df: DataFrame, column: str, *group_bytes: int):
     """How many groups hold about group_bytes of a text column each, for each size given; odd, so
     that it shares no factor with ids that step by an even number."""

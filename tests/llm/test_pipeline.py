@@ -77,6 +77,31 @@ def test_run(spark, tables):
     assert pieces and max(p.offset + p.length for p in pieces) <= 4096
 
 
+def test_run_leaves_little(spark, tables):
+    """What stages wrote on their way is deleted; empty tables and very long texts pass through."""
+    import os
+
+    folder, _ = tables
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared))
+    pieces = corpus_pipeline.run(spark, folder)
+    assert pieces.count() > 0 and len(set(os.listdir(shared)) - before) <= 3  # the last input, tokens and offsets
+
+
+def test_empty_and_long(spark, tables):
+    folder, _ = tables
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), folder).count() == 0, name
+    rng = random.Random(8)
+    long = " ".join(f"the river moves w{rng.randrange(10**6)}" for _ in range(100_000))
+    rows = [(1, long, "en", "s", 9, "x"), (2, long + " end", "en", "s", 9, "x"), (2, long + " end", "en", "s", 9, "x"), (3, "z" * 1_000_000, "en", "s", 9, "x")]
+    found = spark.createDataFrame(rows, docs.schema)
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        found = spark.createDataFrame(stage(spark, found, folder).collect(), docs.schema)
+    assert sorted(r.doc_id for r in found.collect()) == [1, 3]
+
+
 def test_rows_without_own_id(spark, tmp_path):
     """Null and repeated ids: each row is decided by its own text, and one row of a group stays."""
     rng = random.Random(4)
