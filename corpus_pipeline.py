@@ -3,6 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; run() writes what
 each returns as Parquet in the shared folder and reads it again for the next. All stages but the
 last return the columns of documents; a document is a row, and its doc_id may be null or repeated.
+Null texts count as empty in every stage; an empty table gives an empty table of the same columns.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from culvert.llm import quality
 from culvert.llm.decontaminate import decontaminate
 from culvert.llm.exact_dedup import exact_dedup
-from culvert.llm.exchange import written
+from culvert.llm.exchange import deleted, settled, written
 from culvert.llm.ngram_join import ngram_jaccard_components
 from culvert.llm.packing import pack
 from culvert.llm.queries import table, word_bpe
@@ -96,7 +97,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after the other. What a stage wrote on its way is deleted once its result is
+    written, and that one when the next is; the tables of the last stage stay, as its rows are lazy."""
+    docs, path = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        docs, new = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        if path:
+            deleted(spark, path)
+        path = new
     return STAGES[-1][1](spark, docs, sf_dir)
