@@ -7,7 +7,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from culvert.operators.design import review, size_network
+from culvert.operators.design import review_analysis, size_network
 from culvert.operators.network import analyze
 from culvert.sinks import report
 from culvert.sources.ssn import Networks, parse_ssn, read_ssn
@@ -22,7 +22,7 @@ def reports(networks: Networks, size: bool = False, check: bool = False) -> list
     if size:
         made.append(report.sizing_tables(size_network(pipes, analysis.pipes)))
     if check:
-        made.append(report.review_texts(review(nodes, pipes, analysis.pipes, analysis.nodes)))
+        made.append(report.review_texts(review_analysis(nodes, pipes, analysis)))
     return made
 
 

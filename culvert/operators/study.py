@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from culvert.functions import units as un
 from culvert.functions.inlets import node_inlets
-from culvert.operators.design import pipe_costs, review, size_network
+from culvert.operators.design import pipe_costs, review_analysis, size_network
 from culvert.operators.editing import merge_catchments
 from culvert.operators.network import Analysis, analyze
 from culvert.operators.validation import diagnose, validate
@@ -59,7 +59,7 @@ def run_study(project: Project, params: Params = Params()) -> Study:
         diagnose(networks, project.nodes, project.pipes, project.catchments),
         design,
         periods,
-        review(plain.nodes, plain.pipes, design.pipes, design.nodes, params.review),
+        review_analysis(plain.nodes, plain.pipes, design, params.review),
         size_network(one.pipes, design.pipes, params.design),
         pipe_costs(plain.pipes),
         node_inlets(one.nodes, one.pipes, design.pipes, params.inlet),
