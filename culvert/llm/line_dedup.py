@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from culvert.llm.exchange import written
+
 #: Rows of (host, line code) that are broadcast at most: 16 bytes each and the host's name. Longer
 #: lists are joined by a shuffle.
 BROADCAST_ROWS = 50_000
@@ -55,7 +57,7 @@ def line_dedup(pages: DataFrame, host: Column, text: str, separator: str = TEXT_
     # Working columns have names of their own, whatever the columns of pages are.
     pages = pages.withColumns({"__host": F.coalesce(host, F.lit("")), "__lines": lines_of(text, separator)}).drop(text, *results)
     found = boilerplate(pages.select(F.col("__host").alias("host"), F.col("__lines").alias("lines")), ratio, min_pages)
-    found = found.groupBy(F.col("host").alias("__host")).agg(F.collect_list("line").alias("__drop"))
+    found = written(found.groupBy(F.col("host").alias("__host")).agg(F.collect_list("line").alias("__drop")))
     few = found.select(F.explode("__drop")).limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     joined = pages.join(F.broadcast(found) if few else found, "__host", "left")
     drop = F.coalesce("__drop", F.array().cast("array<bigint>"))

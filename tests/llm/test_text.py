@@ -137,6 +137,20 @@ def test_line_dedup(spark):
     assert line_dedup(pages.limit(0), F.col("h"), "html").count() == 0
 
 
+def test_line_dedup_shuffled(spark, monkeypatch):
+    """A list too long to broadcast, repeated rows, a very long page, and columns named as results are."""
+    import culvert.llm.line_dedup as module
+
+    monkeypatch.setattr(module, "BROADCAST_ROWS", 3)
+    rows = [(k, "a", "\n".join(["top", f"own {k}", f"part {k % 3}", "end"])) for k in range(9)] + [(3, "a", "top\nown 3\npart 0\nend"), (50, "a", "\n".join(f"line {k}" for k in range(50_000))), (None, None, "top")]
+    pages = spark.createDataFrame(rows, "page_id bigint, h string, html string").withColumns({c: F.lit("x") for c in ("host", "n_lines", "kept_text", "line")})
+    found = line_dedup(pages, F.col("h"), "html").collect()
+    assert len(found) == len(rows) and {r.line for r in found} == {"x"}
+    got = sorted((r.page_id if r.page_id is not None else -1, r.n_lines, r.n_dropped) for r in found)
+    # Of 11 pages more than 0.3 have a line if 4 do: top and end, and the part that the repeated row is of.
+    assert got == sorted([(-1, 1, 0), (50, 50_000, 0), (3, 4, 3), *[(k, 4, 3 if k % 3 == 0 else 2) for k in range(9)]])
+
+
 def test_license_scan(spark):
     rng = random.Random(6)
     fill = ["the", "of", "license", "MIT", "mit", "apache", "general", "public", "under", "wörter", "any", "software"]
