@@ -40,7 +40,7 @@ COUNT_BITS = 22
 #: Bytes of text for each fragment.
 FRAGMENT_BYTES = 16 << 20
 #: Entries that a task gathers before it sends them to the fragments.
-FLUSH_ENTRIES = 1 << 21
+FLUSH_ENTRIES = 1 << 19
 #: Documents of an n-gram for each list that its entries are spread over.
 LIST_DOCUMENTS = 4096
 #: Few classes and classes of a hub that one task holds against each other.
