@@ -127,6 +127,30 @@ def section_area_full(shape, rise, span) -> Column:
     )
 
 
+def ellipse_perimeter(rise, span) -> Column:
+    """Perimeter of an ellipse by its series in ((span - rise) / (span + rise))^2, 40 terms."""
+    rise, span = col(rise), col(span)
+    factors = [1.0]
+    for k in range(1, 40):
+        factors.append(factors[-1] * ((2 * k - 3) / (2 * k)) ** 2)
+    h = F.pow((span - rise) / (span + rise), F.lit(2.0))
+    series = F.lit(factors[-1])
+    for c in reversed(factors[:-1]):
+        series = series * h + c
+    return positive(span + rise > 0, F.lit(math.pi) * (span + rise) / 2.0 * series)
+
+
+def section_perimeter_full(shape, rise, span) -> Column:
+    shape, rise, span = col(shape), col(rise), col(span)
+    wall = F.greatest(rise - span / 2.0, F.lit(0.0))
+    return (
+        F.when(shape == "rectangular", 2.0 * (rise + span))
+        .when(shape == "elliptical", ellipse_perimeter(rise, span))
+        .when(shape == "arch", span + 2.0 * wall + F.lit(math.pi) * span / 2.0)
+        .otherwise(F.lit(math.pi) * rise)
+    )
+
+
 def equal_area_diameter(shape, rise, span) -> Column:
     """Diameter of the circle with the section's full area."""
     return F.sqrt(4.0 * section_area_full(shape, rise, span) / F.lit(math.pi))
@@ -149,11 +173,6 @@ def _critical(q: pd.Series, shape: pd.Series, rise: pd.Series, span: pd.Series)
     return pd.Series(solvers.critical_depth(q.to_numpy(float), solvers.Sections.of(shape, rise, span)))
 
 
-@_udf
-def _full_capacity(n: pd.Series, s: pd.Series, shape: pd.Series, rise: pd.Series, span: pd.Series) -> pd.Series:
-    return pd.Series(solvers.full_capacity(n.to_numpy(float), s.to_numpy(float), solvers.Sections.of(shape, rise, span)))
-
-
 @_udf
 def _max_capacity(n: pd.Series, s: pd.Series, shape: pd.Series, rise: pd.Series, span: pd.Series) -> pd.Series:
     return pd.Series(solvers.max_capacity(n.to_numpy(float), s.to_numpy(float), solvers.Sections.of(shape, rise, span))[0])
@@ -190,7 +209,11 @@ def section_geometry(y, shape, rise, span) -> Column:
 
 
 def section_full_capacity(n, s, shape, rise, span) -> Column:
-    return _full_capacity(col(n), col(s), *_section(shape, rise, span))
+    shape, rise, span = _section(shape, rise, span)
+    area, perimeter = section_area_full(shape, rise, span), section_perimeter_full(shape, rise, span)
+    n = col(n)
+    radius = positive(perimeter > 0, area / perimeter)
+    return positive(n > 0, K_US / n * area * F.pow(radius, F.lit(2.0 / 3.0)) * F.sqrt(F.greatest(col(s), F.lit(0.0))))
 
 
 def section_max_capacity(n, s, shape, rise, span) -> Column:

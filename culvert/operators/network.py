@@ -22,6 +22,8 @@ from culvert.schema import G_US, Options
 
 #: Rows that are solved together at least; whole networks are never cut.
 CHUNK_ROWS = 150_000
+#: Pipes of a task, beyond the number of tasks that the session asks for.
+TASK_PIPES = 500_000
 _KINDS = {"inlet": 0, "junction": 1, "outfall": 2}
 OUTFALL = 2
 _NUMBERS = 11
@@ -91,7 +93,7 @@ def analyze(nodes: DataFrame, pipes: DataFrame, idf: DataFrame | None = None, op
     # By a code of the id: Spark drops a repartition by the id itself where it holds all parts of the
     # union to be dealt by it, which adaptive coalescing of their shuffles can make untrue.
     # The number is given, as adaptive coalescing counts bytes and not the work of a solve.
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pipes.select("network_id").count() // TASK_PIPES))
     dealt = rows.repartition(parts, F.xxhash64("network_id")).sortWithinPartitions("network_id", "tag", "ord")
     solved = dealt.mapInArrow(_solve_all, _SOLVED)
     pipe_cols = ["network_id", "rp_years", "ord", "id", "from", "to", *_PIPE_OUT, "surcharged"]
