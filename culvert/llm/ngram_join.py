@@ -15,8 +15,8 @@ shares most with. That leaves few classes under a hub outside its largest compon
 against the hub's classes in blocks: a task has a block of the few and a slice of the hub's classes
 that stand in enough such n-grams to link, counts whole overlaps, and gives one link for each
 component met. So no component is lost, no pair is written that doesn't link, and a large group of
-near copies costs about one pair a member. Pairs that already share a component are not verified:
-links inside a component are not returned.
+near copies costs about one pair a member. Pairs that already share a component are not verified: links
+inside a component are not part of the result; ngram_jaccard_links() gives all of them.
 
 The hashed counts also tell which n-grams very many documents hold. The entries of such an n-gram
 are spread over several lists by their class, so that no fragment gathers them all.
@@ -25,6 +25,7 @@ are spread over several lists by their class, so that no fragment gathers them a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -301,9 +302,25 @@ def _across(under: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -
     if hubs.isEmpty():
         return None
     placed = written(join_hot(placed, hubs, "hub", "all").join(sets, "set_id"))
+    return _in_cells(placed.filter("component <> main"), placed, percent)
+
+
+def _all_under(under: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """All links of classes under one hub; None without hubs."""
+    placed = written(under.filter(F.col("degree") >= F.greatest(F.lit(1), F.floor(F.col("n") / F.lit(20)))).select("hub", "set_id", F.col("set_id").alias("component")))
+    hubs = placed.groupBy("hub").agg(F.count("*").alias("all"))
+    hubs = written(hubs.select("hub", "all", F.ceil(F.col("all") / F.lit(FEW_BLOCK)).cast("int").alias("blocks"), F.ceil(F.col("all") / F.lit(HUB_SLICE)).cast("int").alias("slices")))
+    if hubs.isEmpty():
+        return None
+    placed = written(join_hot(placed, hubs, "hub", "all").join(sets, "set_id"))
+    return _in_cells(placed, placed, percent)
+
+
+def _in_cells(few: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """_grid() of each block of few classes with each slice of their hub's."""
     some = lambda of, seed: F.pmod(F.xxhash64("set_id", F.lit(seed)), of).cast("int")
     each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    few = placed.filter("component <> main").withColumn("block", some(F.col("blocks"), 1)).withColumn("slice", each("slices"))
+    few = few.withColumn("block", some(F.col("blocks"), 1)).withColumn("slice", each("slices"))
     rest = placed.withColumn("slice", some(F.col("slices"), 2)).withColumn("block", each("blocks"))
     few, rest = (x.select("hub", "block", "slice", "set_id", "component", "codes") for x in (few, rest))
     cell = ["hub", "block", "slice"]
@@ -323,17 +340,18 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return own.join(left, "a").join(right.drop("salts"), ["b", "salt"]).select("a", "b", "x", "y").mapInArrow(_verified(percent), "a bigint, b bigint")
 
 
-def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, crowd: int = 10, count_bits: int = COUNT_BITS) -> DataFrame:
-    """Components of documents (doc_id, text) whose n-gram sets have a Jaccard similarity of at
-    least percent / 100. One row for each row of docs: doc_id, n_shingles, component_id (smallest
-    doc_id reachable by links, itself included).
+class _Prepared(NamedTuple):
+    """What both entries start from: members (id, n, set_id), classes (set_id, least, copies), under
+    (classes under hubs), pairs (a, b, shared) that may link outside crowds, sets (set_id, codes)."""
 
-    Words are `[^\\x20\\x09-\\x0D]+` after A-Z become a-z. A text of fewer than `width` words is one
-    n-gram; null and blank texts have an empty set and link with nothing. A null doc_id is passed
-    over as component_id, unless its component has no other. Repeated rows are linked as equal
-    texts are. An empty table gives an empty table; other columns of docs are ignored. N-grams are
-    64-bit codes of their words, and sets 64-bit codes of their n-grams.
-    """
+    members: DataFrame
+    classes: DataFrame
+    under: DataFrame
+    pairs: DataFrame
+    sets: DataFrame
+
+
+def _prepared(docs: DataFrame, width: int, percent: int, crowd: int, count_bits: int) -> _Prepared:
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string"))
@@ -368,6 +386,21 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75,
     chosen = classes.join(ends, "set_id", "left_semi").select(F.col("least").alias("id")).distinct()
     sets = docs.join(chosen, "id", "left_semi").select("text").mapInArrow(_whole_sets(width), "set_id bigint, codes binary")
     sets = written(sets.groupBy("set_id").agg(F.first("codes").alias("codes")))
+    return _Prepared(members, classes, under, pairs, sets)
+
+
+def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, crowd: int = 10, count_bits: int = COUNT_BITS) -> DataFrame:
+    """Components of documents (doc_id, text) whose n-gram sets have a Jaccard similarity of at
+    least percent / 100. One row for each row of docs: doc_id, n_shingles, component_id (smallest
+    doc_id reachable by links, itself included).
+
+    Words are `[^\\x20\\x09-\\x0D]+` after A-Z become a-z. A text of fewer than `width` words is one
+    n-gram; null and blank texts have an empty set and link with nothing. A null doc_id is passed
+    over as component_id, unless its component has no other. Repeated rows are linked as equal
+    texts are. An empty table gives an empty table; other columns of docs are ignored. N-grams are
+    64-bit codes of their words, and sets 64-bit codes of their n-grams.
+    """
+    members, classes, under, pairs, sets = _prepared(docs, width, percent, crowd, count_bits)
 
     # First each class with the partner and the hub that it shares most with: (class, partner).
     top = lambda end, other: pairs.groupBy(end).agg(F.max_by(other, "shared").alias("partner")).select(F.col(end).alias("a"), F.col("partner").alias("b"))
@@ -396,3 +429,36 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75,
     alone = members.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return linked.unionByName(alone).select(real("id").alias("doc_id"), F.col("n").cast("bigint").alias("n_shingles"), real("component_id").alias("component_id"))
+
+
+class Links(NamedTuple):
+    """pairs (a, b): ids of the representatives of two classes that link, a < b in the order of their
+    codes. members (doc_id, class_id, n_links): each document with its class's representative, the
+    smallest doc_id of the class, and the number of classes that it links with."""
+
+    pairs: DataFrame
+    members: DataFrame
+
+
+def ngram_jaccard_links(docs: DataFrame, width: int = 5, percent: int = 75, crowd: int = 10, count_bits: int = COUNT_BITS) -> Links:
+    """All links between different sets of n-grams, once for each two classes of documents with equal
+    sets: what ngram_jaccard_components() leaves out. Links are verified on whole sets. Under a hub
+    classes are held against each other in blocks, which give links alone; a family whose members all
+    link has as many links as pairs.
+
+    Nulls, empty texts, ties and repeated rows are as there: an empty set is a class of its own
+    without links. Null doc_ids stay null, as class_id only where the class has no other.
+    """
+    members, classes, under, pairs, sets = _prepared(docs, width, percent, crowd, count_bits)
+    found = _verify(written(pairs.select("a", "b")), sets, percent)
+    if (crowded := _all_under(under, sets, percent)) is not None:
+        found = found.unionByName(crowded)
+    links = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    counts = links.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count("*").alias("n_links"))
+    known = written(classes.join(counts, "set_id", "left").select("set_id", "least", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    linked = join_hot(members.filter("n > 0"), known, "set_id", "copies").select(real("id").alias("doc_id"), real("least").alias("class_id"), "n_links")
+    alone = members.filter("n = 0").select(real("id").alias("doc_id"), real("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
+    end = lambda e, name: known.select(F.col("set_id").alias(e), real("least").alias(name))
+    named = links.join(end("a", "_a"), "a").join(end("b", "_b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    return Links(named, linked.unionByName(alone))

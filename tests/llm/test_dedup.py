@@ -8,7 +8,7 @@ import culvert.llm.substring_dedup as substring_dedup_module
 import culvert.llm.suffix_dedup as suffix_dedup_module
 from culvert.llm import exchange
 from culvert.llm.exact_dedup import exact_dedup
-from culvert.llm.ngram_join import ngram_jaccard_components
+from culvert.llm.ngram_join import ngram_jaccard_components, ngram_jaccard_links
 from culvert.llm.substring_dedup import substring_dedup
 from culvert.llm.suffix_dedup import suffix_dedup
 
@@ -176,3 +176,36 @@ def test_jaccard_spread(spark, monkeypatch):
     for crowd in (2, 6):
         found = ngram_jaccard_components(frame(spark, rows), crowd=crowd, count_bits=10).collect()
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute.jaccard_components(rows)
+
+
+def test_jaccard_links(spark):
+    """All links between different sets, and their number by document, against brute force."""
+    rows = corpus(120, 10)
+    rng = random.Random(11)
+    base = [f"f{k}" for k in range(60)]
+    for k in range(40):
+        own = list(base)
+        for _ in range(rng.randrange(0, 2)):
+            own[rng.randrange(60)] = f"e{rng.randrange(10**6)}"
+        rows.append((20_000 + k, " ".join(own)))
+    rows += [(None, rows[5][1]), (None, None), (30_000, rows[-1][1].upper())]
+    found = ngram_jaccard_links(frame(spark, rows), crowd=4, count_bits=10)
+
+    def grams(t):
+        w = brute.SPACED.findall(brute.lower(t))
+        return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+    first = {}
+    for i, t in rows:
+        g = grams(t)
+        if g:
+            first[g] = i if first.get(g) is None else min(first[g], i if i is not None else first[g])
+    sets = list(first)
+    want = {frozenset((first[a], first[b])) for k, a in enumerate(sets) for b in sets[:k] if 100 * len(a & b) >= 75 * len(a | b)}
+    got = [frozenset((r.a, r.b)) for r in found.pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 30
+    degree = {c: sum(c in p for p in want) for c in first.values()}
+    shown = sorted(((r.doc_id, r.class_id, r.n_links) for r in found.members.collect()), key=repr)
+    assert shown == sorted([(i, first[grams(t)], degree[first[grams(t)]]) if grams(t) else (i, i, 0) for i, t in rows], key=repr)
+    empty = ngram_jaccard_links(frame(spark, []), count_bits=10)
+    assert empty.pairs.count() == 0 and empty.members.count() == 0
