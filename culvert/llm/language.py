@@ -158,7 +158,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     lang_pred is the language of the nearest centroid, of the first language in order on ties, and
     `und` for a null text or one without a letter; score is the cosine (0 for `und`); rejected
     tells whether the text is unlike the language's learning documents. A model without languages
-    answers `und`. Repeated rows are answered each; an empty table gives an empty table; other
+    answers `und`. Texts of any length count whole. Repeated rows are answered each; an empty table gives an empty table; other
     columns are ignored.
     """
     spark = docs.sparkSession

@@ -285,7 +285,7 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None,
     without any. spans holds the chains that cover enough of a template, of one label apart. score
     is 1 with a base phrase, else the largest covered share of a template.
 
-    A null text counts as empty: no words, score 0. Repeated rows are scanned each; a null doc_id
+    A null text counts as empty: no words, score 0. A text of any length is one row, scanned whole. Repeated rows are scanned each; a null doc_id
     stays null; an empty table gives an empty table; other columns of docs are ignored.
     """
     bounded_batches(docs.sparkSession)

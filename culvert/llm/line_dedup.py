@@ -49,7 +49,7 @@ def line_dedup(pages: DataFrame, host: Column, text: str, separator: str = TEXT_
     line goes from all pages of a host where more than `ratio` of the host's rows have it, and at
     least min_pages of them: pages of small sites keep their lines. Repeated rows are pages each.
 
-    A null text has no lines; a null host is a host of its own, the empty one. An empty table gives
+    A page of any length is one row. A null text has no lines; a null host is a host of its own, the empty one. An empty table gives
     an empty table. Columns of pages with the names of results are replaced. Lines of one host are
     told apart by 64-bit codes.
     """

@@ -397,7 +397,7 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75,
     Words are `[^\\x20\\x09-\\x0D]+` after A-Z become a-z. A text of fewer than `width` words is one
     n-gram; null and blank texts have an empty set and link with nothing. A null doc_id is passed
     over as component_id, unless its component has no other. Repeated rows are linked as equal
-    texts are. An empty table gives an empty table; other columns of docs are ignored. N-grams are
+    texts are. A text of any length is one set. An empty table gives an empty table; other columns of docs are ignored. N-grams are
     64-bit codes of their words, and sets 64-bit codes of their n-grams.
     """
     members, classes, under, pairs, sets = _prepared(docs, width, percent, crowd, count_bits)

@@ -179,7 +179,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end: int = 2, with
     sequence_id, offset (in the sequence, gapless from 0) and ids (those numbers; null unless
     with_ids). Each id lies in exactly one piece; every sequence but the last is full.
 
-    A null or empty text is the end id alone. Repeated rows are packed each; a null doc_id stays
+    A null or empty text is the end id alone. A text of any length is tokenised whole. Repeated rows are packed each; a null doc_id stays
     null. An empty table gives no pieces. Other columns of docs are ignored.
     `tokenizer` is the path of a tokenizer file of the kind that WordTokenizer describes.
     """

@@ -138,7 +138,7 @@ def _score(orders: int, bits: int, weights):
 def score(docs: DataFrame, weights: np.ndarray, orders: int = 2) -> DataFrame:
     """All columns of docs (text, ...) with `score`: how likely quality 1 is, from 0 to 1.
 
-    Null and empty texts get the intercept's score. A column of docs with the name score is
+    Texts of any length count whole. Null and empty texts get the intercept's score. A column of docs with the name score is
     replaced; an empty table gives an empty table.
     """
     spark = docs.sparkSession

@@ -61,6 +61,15 @@ def test_substring_dedup_edges(spark):
     assert substring_dedup(frame(spark, [])).count() == 0
 
 
+def test_substring_dedup_long(spark):
+    """Texts of 200,000 words, and one whose words are all the same."""
+    rng = random.Random(21)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(200_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[150_000:] + ["own"] * 5)), (3, "same " * 20_000), (4, "same " * 13), (5, "same " * 12)]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup(frame(spark, rows)).collect()}
+    assert got == {1: (200_000, 0), 2: (50_005, 50_000), 3: (20_000, 0), 4: (13, 13), 5: (12, 0)}
+
+
 def test_substring_dedup_dealt_twice(spark, monkeypatch):
     """Small chunks and buckets, more of them than bands: entries are dealt in two steps, and a sender makes no more rows than bands."""
     for module in (substring_dedup_module, suffix_dedup_module):
