@@ -9,6 +9,7 @@ step where there are more groups than that: rows stay large, at one more shuffle
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -74,6 +75,13 @@ def deleted(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets go of frames that are done with, so that Spark removes their shuffle files now: it does so
+    when the driver's memory is collected, which a large driver may put off for long."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def settled(make: Callable[[], DataFrame]) -> tuple[DataFrame, str]:
     """The frame of make(), written, with its path. All other tables that make() wrote on the way are
     deleted then: the result needs them no more, whichever executors are lost."""
@@ -84,6 +92,7 @@ def settled(make: Callable[[], DataFrame]) -> tuple[DataFrame, str]:
         _tables.reset(token)
     for path in tables[:-1]:
         deleted(result.sparkSession, path)
+    released(result.sparkSession)
     return result, tables[-1]
 
 

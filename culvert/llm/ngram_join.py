@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from culvert.llm import words as wd
 from culvert.llm.components import components
-from culvert.llm.exchange import NO_ID, Groups, bounded_batches, bucket_of, dealt, entries_of, entry_rows, entry_schema, groups, groups_for, hot_limit, join_hot, packed, run_starts, unpacked, written
+from culvert.llm.exchange import NO_ID, Groups, bounded_batches, bucket_of, dealt, entries_of, entry_rows, entry_schema, groups, groups_for, hot_limit, join_hot, packed, released, run_starts, unpacked, written
 
 #: Bits of the table of hashed counts: 4 bytes a cell, 16 MB in all, whatever the input.
 COUNT_BITS = 22
@@ -369,6 +369,7 @@ def _prepared(docs: DataFrame, width: int, percent: int, crowd: int, count_bits:
 
     lists = docs.mapInArrow(_first_parts(width, percent, fragments, shared_counts), entry_schema(5))
     found = written(dealt(lists, fragments, *_ENTRY).groupBy("band").applyInArrow(_overlaps(percent, crowd), _FOUND))
+    released(spark)  # the entries
     crowds = written(
         found.filter("members is not null").select("crowd", "list", "lists", "members", "sizes").mapInArrow(_unlist, "crowd bigint, list int, lists int, set_id bigint, n int")
     )
