@@ -14,8 +14,10 @@ from culvert.llm.license_scan import license_scan
 from culvert.llm.line_dedup import HTML_LINES, host_of, line_dedup
 from culvert.llm.ngram_join import ngram_jaccard_components
 from culvert.llm.packing import pack
+from culvert.llm.simhash import simhash_components
 from culvert.llm.substring_dedup import substring_dedup
 from culvert.llm.suffix_dedup import suffix_dedup
+from culvert.llm.vector_codes import ENTRIES, PARTS, ROUNDS, SCALE, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +84,14 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(table(spark, sf_dir, "documents"), width=5, percent=75)
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings")).drop("label")
+
+
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_substring_dedup": op2_substring_dedup,
@@ -93,10 +103,11 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality": op9_quality,
     "op10_ngram_join": op10_ngram_join,
+    "op11_simhash": op11_simhash,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 
-
 def _without_windows(width: int) -> str:
     return rf"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -113,6 +124,37 @@ def _without_windows(width: int) -> str:
     """
 
 
+def _product_codes() -> str:
+    """The rounds of op13 written out. Inner products of whole numbers below 2^53 are exact in doubles."""
+    product = "list_inner_product({}::DOUBLE[], {}::DOUBLE[])"
+    apart = f"{product.format('v', 'v')} - 2 * {product.format('v', 'c')} + {product.format('c', 'c')}"
+    steps = [
+        f"""kept AS MATERIALIZED (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST) AS r,
+              list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+              WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+            part AS MATERIALIZED (SELECT r, p, x[p * len(x) // {PARTS} + 1:(p + 1) * len(x) // {PARTS}] AS v FROM kept, (SELECT unnest(range({PARTS})) AS p)),
+            b0 AS MATERIALIZED (SELECT p, r - 1 AS e, v AS c FROM part WHERE r <= {ENTRIES})"""
+    ]
+    for k in range(ROUNDS + 1):
+        steps.append(
+            f"""a{k} AS MATERIALIZED (SELECT r, p, any_value(v) AS v, min({{'d': CAST({apart} AS BIGINT), 'e': e}}) AS m FROM part JOIN b{k} USING (p) GROUP BY r, p)"""
+        )
+        if k < ROUNDS:
+            steps.append(
+                f"""m{k} AS (SELECT p, e, list(x ORDER BY i) AS c
+                  FROM (SELECT p, e, i, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS x
+                        FROM (SELECT p, m.e AS e, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{k}) GROUP BY p, e, i) GROUP BY p, e),
+                b{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m{k}.c, b{k}.c) AS c FROM b{k} LEFT JOIN m{k} USING (p, e))"""
+            )
+    return f"""
+        WITH {", ".join(steps)},
+        coded AS (SELECT r, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a{ROUNDS} GROUP BY r),
+        books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{ROUNDS})
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+        FROM kept JOIN coded USING (r), books
+    """
+
+
 _ASCII_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{}')"
 
 ORACLE_SQL = {
@@ -164,6 +206,7 @@ ORACLE_SQL = {
         SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, least(d.doc_id, coalesce(min(other), d.doc_id)) AS component_id
         FROM d LEFT JOIN n USING (doc_id) LEFT JOIN reach USING (doc_id) GROUP BY d.doc_id
     """,
+    "op13_vector_codes": _product_codes(),
     "op8_exact_dedup": r"""
         WITH d AS (
           SELECT doc_id, length(coalesce(text, '')) AS points,

@@ -137,3 +137,54 @@ def license_scan(text, templates, base, min_run, max_gap, min_share):
         if max(covered, default=0) >= min_share * len(s):
             labels.add(label)
     return ",".join(sorted(labels)), score
+
+
+def simhash(text, width=3, seed=42):
+    """The fingerprint as a number, from its definition."""
+    import xxhash
+
+    w = SPACED.findall(lower(text))
+    shingles = [" ".join(w[k : k + width]) for k in range(max(1, len(w) - width + 1))] if w else []
+    hashes = [xxhash.xxh64(s.encode(), seed).intdigest() for s in shingles]
+    return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+
+
+def near_components(codes, distance=2):
+    """{code: smallest code reachable} by all pairs."""
+    codes = sorted(set(codes))
+    root = {c: c for c in codes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, a in enumerate(codes):
+        for b in codes[k + 1 :]:
+            if (a ^ b).bit_count() <= distance:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {c: find(c) for c in codes}
+
+
+def vector_codes(rows, entries=256, rounds=4, parts=4):
+    """{vec_id: (code, error)}, sha256 of the codebooks: rows of (vec_id, whole vector), ids distinct, Python integers throughout."""
+    import math
+
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
+    width = len(next(iter(whole.values()))) // parts
+    cut = {i: [v[p * width : (p + 1) * width] for p in range(parts)] for i, v in whole.items()}
+    books = [[cut[i][p] for i in sorted(cut)[:entries]] for p in range(parts)]
+    near = lambda p, x: min((sum((a - b) ** 2 for a, b in zip(x, c, strict=True)), e) for e, c in enumerate(books[p]))
+    for _ in range(rounds):
+        groups = defaultdict(list)
+        for v in cut.values():
+            for p in range(parts):
+                groups[p, near(p, v[p])[1]].append(v[p])
+        for (p, e), members in groups.items():
+            books[p][e] = [sum(c) // len(members) for c in zip(*members, strict=True)]
+    out = {}
+    for i, v in cut.items():
+        best = [near(p, v[p]) for p in range(parts)]
+        out[i] = ("".join(f"{e:02x}" for _, e in best), sum(d for d, _ in best))
+    return out, sha(",".join(str(x) for book in books for c in book for x in c))
