@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from culvert.llm import language, quality
+from culvert.llm.alignment import align_tokens
 from culvert.llm.decontaminate import decontaminate
 from culvert.llm.exact_dedup import exact_dedup
 from culvert.llm.license_scan import license_scan
@@ -88,6 +89,12 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(table(spark, sf_dir, "embeddings")).drop("label")
 
@@ -104,6 +111,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_ngram_join": op10_ngram_join,
     "op11_simhash": op11_simhash,
+    "op12_alignment": op12_alignment,
     "op13_vector_codes": op13_vector_codes,
 }
 
