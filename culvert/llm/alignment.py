@@ -14,10 +14,12 @@ of its pairs once, so what travels is pairs by task and not links.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
 from functools import cache
+from pathlib import Path
 from typing import Any
 
 import numpy as np
@@ -36,18 +38,21 @@ PIECE = 1 << 16
 LOT, MAX_PAIRS, MAX_CELLS = 400_000, 1 << 20, 64 << 20
 #: Pairs in a row.
 PAIR_ROWS = 1 << 16
+#: Characters of texts, and unseen words, that are encoded at a time.
+LOT_CHARS, TOGETHER = 2 << 20, 20_000
+#: Fixed value: the pattern of pre-tokens of GPT-2's byte-level BPE.
+PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_LONG_RUN = re.compile(r"\S{1000}|\s{1000}|[\x1c-\x1f\x85\xa0]")
 #: About how many bytes of known words a worker holds, in each of two generations; longest known word.
-MEMORY_BYTES, MEMORY_WORD, _ENTRY = 48 << 20, 48, 260
+MEMORY_BYTES, MEMORY_WORD, _ENTRY = 64 << 20, 48, 260
 #: B ids up to which their largest counts are broadcast (16 bytes each).
 BROADCAST_IDS = 1_000_000
 _NONE = 2
 #: Blanks and marks before a space between which and the space a text is not cut.
-_BLANK = "\t-\r\x1c-\x1f\x85\xa0" + "".join(
-    f"{chr(a)}-{chr(b)}" for a, b in ((0x1680, 0x1680), (0x180E, 0x180E), (0x2000, 0x200F), (0x2028, 0x202F), (0x205F, 0x206F), (0x3000, 0x3000), (0xFEFF, 0xFEFF))
-)
+_BLANKS = frozenset(chr(c) for a, b in ((0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x180E, 0x180E), (0x2000, 0x200F), (0x2028, 0x202F), (0x205F, 0x206F), (0x3000, 0x3000), (0xFEFF, 0xFEFF)) for c in range(a, b + 1))
+_BLANK = "".join(sorted(_BLANKS - {" "}))
 _UNSAFE = re.compile(f"[{_BLANK}] ")
 _CUT = re.compile(f"(?<=[^ {_BLANK}]) ")
-_MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
 
 
 class ByteBpe:
@@ -60,35 +65,32 @@ class ByteBpe:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.letters = _byte_letters()
-        own = {letter: byte for byte, letter in self.letters.items()}
+        own = {letter: byte for byte, letter in _byte_letters().items()}
         vocabulary = self.tokenizer.get_vocab()
         self.bytes = [b""] * (max(vocabulary.values(), default=-1) + 1)
         for token, i in vocabulary.items():
             self.bytes[i] = bytes(own[c] for c in token) if all(c in own for c in token) else token.encode()
-        self.parts: dict[str, list[int]] = {}
-
-    def _part(self, text: str) -> list[int]:
-        """Ids of one pre-token."""
-        if (ids := self.parts.get(text)) is None:
-            spelt = "".join(self.letters[b] for b in text.encode())
-            ids = [t.id for t in self.tokenizer.model.tokenize(spelt)]
-            if len(self.parts) > 200_000:
-                self.parts.clear()
-            self.parts[text] = ids
-        return ids
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of texts that begin with their space. A word of Latin letters with ASCII marks after
-        it is one or two pre-tokens, which go to the model alone."""
-        out: list[list[int]] = []
-        for text in texts:
-            core = text.rstrip(_MARKS)
-            if len(text) <= MEMORY_WORD and core[:1] == " " and core[1:].isalpha() and max(core) < "\u0250":
-                out.append(self._part(core) + self._part(text[len(core) :]) if len(core) < len(text) else self._part(core))
-            else:
-                out.append(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return out
+
+        self.fast = self._ranked(path)
+
+    def _ranked(self, path: str):
+        """The same vocabulary for tiktoken, which is faster, if ids are in the order of merges."""
+        model = json.loads(Path(path).read_text())["model"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        place = {token: i for i, token in enumerate("".join(p) for p in pairs)}
+        if any(model["vocab"][t] != 256 + i for t, i in place.items()):
+            return None
+        import tiktoken
+
+        ranks = {self.bytes[i]: i for i in range(256 + len(place))}
+        return tiktoken.Encoding("ranked", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens={}) if len(ranks) == 256 + len(place) else None
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of a text that begins with its space. tiktoken is for texts of letters whose kind is the
+        same in every Unicode version, without runs that it may not get through."""
+        if self.fast and max(text) < "\u0250" and not _LONG_RUN.search(text):
+            return self.fast.encode_ordinary(text)
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 class PieceBpe:
@@ -107,10 +109,9 @@ class PieceBpe:
             return bytes([int(piece[3:5], 16)])
         return piece.replace("\u2581", " ").encode()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of texts that begin with a space, which stands for the one that the model puts there."""
-        found = self.model.encode([t[1:] for t in texts], num_threads=1)
-        return [ids if len(t) > 1 else [self.space] for ids, t in zip(found, texts, strict=True)]
+    def encode(self, text: str) -> list[int]:
+        """Ids of a text that begins with a space, which stands for the one that the model puts there."""
+        return self.model.encode(text[1:]) if len(text) > 1 else [self.space]
 
 
 @cache
@@ -137,65 +138,108 @@ def pieces(text: str) -> Iterator[str]:
 
 
 def segments(piece: str) -> list[str]:
-    """Words with the spaces before them; the whole piece where a blank stands before a space."""
+    """Words of a piece, each without the space before it; of more spaces the others stay with the word.
+    The whole piece where a blank stands before a space."""
     if _UNSAFE.search(piece):
-        return [piece]
+        return [piece[1:]]
     words = piece.split(" ")[1:]
     if "" not in words:
-        return [" " + w for w in words]
+        return words
     out, spaces = [], ""
     for w in words:
-        spaces += " "
         if w:
             out.append(spaces + w)
             spaces = ""
-    return [*out, spaces] if spaces else out
+        else:
+            spaces += " "
+    return [*out, spaces[1:]] if spaces else out
 
 
 class PairEncoder:
-    """Ids of both sides, word by word; words are remembered in two generations."""
+    """Ids of both sides, word by word; words are remembered in two generations. New words of many
+    pieces are encoded in one text, as no token crosses the space before a word."""
 
     def __init__(self, path_a: str, path_b: str) -> None:
-        self.a, self.b = encoder(path_a), encoder(path_b)
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.old: dict[str, tuple[bytes, bytes]] = {}
-        self.lossy: set[str] = set()  # words whose tokens' bytes differ from theirs
+        self.sides = tuple((encoder(p), encoder(p).bytes, lengths(p)) for p in (path_a, path_b))
+        self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.lossy: set[str] = set()
         self.held = 0
 
-    def _learn(self, words: list[str]) -> dict[str, tuple[bytes, bytes]]:
-        out, new = {}, []
-        for w in words:
-            if w in self.old:
-                out[w] = self.old[w]
+    def _alone(self, word: str) -> tuple[bytes, bytes] | None:
+        """Ids of a word; None if a side's tokens have other bytes."""
+        raw, found = (" " + word).encode(), []
+        for side, table, _ in self.sides:
+            ids = side.encode(" " + word)
+            if b"".join(map(table.__getitem__, ids)) != raw:
+                return None
+            found.append(np.array(ids, "<u4").tobytes())
+        return found[0], found[1]
+
+    def _together(self, words: list[str]) -> list[tuple[bytes, bytes]] | None:
+        """Ids of words, encoded as one text; None if its bytes or places do not come out."""
+        text = " " + " ".join(words)
+        raw, ends, found = text.encode(), np.cumsum([len(w.encode()) + 1 for w in words]), []
+        for side, table, sizes in self.sides:
+            ids = side.encode(text)
+            if b"".join(map(table.__getitem__, ids)) != raw:
+                return None
+            array = np.array(ids, "<u4")
+            token_ends = np.cumsum(sizes[array])
+            last = np.searchsorted(token_ends, ends)
+            if (token_ends[last] != ends).any():
+                return None
+            blob, cuts = array.tobytes(), (4 * (last + 1)).tolist()
+            found.append([blob[i:j] for i, j in zip([0, *cuts[:-1]], cuts, strict=True)])
+        return list(zip(*found, strict=True))
+
+    def learn(self, lists: list[list[str]]) -> dict[str, tuple[bytes, bytes] | None]:
+        """Ids of all words of the lists: the long ones, and in `known` the others."""
+        long: dict[str, tuple[bytes, bytes] | None] = {}
+        new: dict[str, None] = {}
+        known, old = self.known[0], self.old[0]
+        for words in lists:
+            for w in set(words).difference(known):
+                if len(w) > MEMORY_WORD:
+                    long[w] = self._alone(w)
+                elif w in old:
+                    self._keep(w, (old[w], self.old[1][w]))
+                else:
+                    new[w] = None
+        plain = [w for w in new if w and w[-1] not in _BLANKS and " " not in w and "\u2581" not in w]
+        for lo in range(0, len(plain), TOGETHER):
+            some = plain[lo : lo + TOGETHER]
+            for w, ids in zip(some, self._together(some) or map(self._alone, some), strict=True):
+                self._keep(w, ids)
+        for w in set(new).difference(plain):
+            self._keep(w, self._alone(w))
+        return long
+
+    def _keep(self, word: str, ids: tuple[bytes, bytes] | None) -> None:
+        if ids is None:
+            self.lossy.add(word)
+            ids = b"", b""
+        self.known[0][word], self.known[1][word] = ids
+        self.held += _ENTRY + 2 * len(word) + len(ids[0]) + len(ids[1])
+
+    def encode(self, lists: list[list[str]]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+        """A and B ids of each list of segments; None if either side's bytes are not the text's."""
+        long = self.learn(lists)
+        a, b = (side.__getitem__ for side in self.known)
+        for words in lists:
+            if long and not long.keys().isdisjoint(words):
+                found = [long[w] if w in long else None if w in self.lossy else (a(w), b(w)) for w in words]
+                yield None if None in found else tuple(np.frombuffer(b"".join(x), "<u4") for x in zip(*found, strict=True))
+            elif self.lossy and not self.lossy.isdisjoint(words):
+                yield None
             else:
-                new.append(w)
-        for w, a, b in zip(new, self.a.encode(new), self.b.encode(new), strict=True):
-            raw = w.encode()
-            if b"".join(self.a.bytes[i] for i in a) != raw or b"".join(self.b.bytes[i] for i in b) != raw:
-                self.lossy.add(w)
-            out[w] = (np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes())
-        return out
-
-    def encode(self, piece: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """A and B ids of a piece; None if either side's bytes are not the piece's."""
-        words = segments(piece)
-        known, long = self.known, {}
-        made = self._learn([w for w in dict.fromkeys(words) if w not in known])
-        for w, ids in made.items():
-            if len(w) > MEMORY_WORD:
-                long[w] = ids
-            else:
-                known[w] = ids
-                self.held += 4 * len(w) + len(ids[0]) + len(ids[1]) + _ENTRY
-        found = [long[w] if w in long else known[w] for w in words] if long else list(map(known.__getitem__, words))
-        whole = not self.lossy or self.lossy.isdisjoint(words)
-        self.lossy.difference_update(long)
+                yield np.frombuffer(b"".join(map(a, words)), "<u4"), np.frombuffer(b"".join(map(b, words)), "<u4")
+
+    def forget(self) -> None:
+        """Begins a new generation of words once this one is large."""
         if self.held > MEMORY_BYTES:
-            self.known, self.old, self.held = {}, known, 0
-            self.lossy = {w for w in self.lossy if w in known}
-        if not whole:
-            return None
-        return np.frombuffer(b"".join([a for a, _ in found]), "<u4"), np.frombuffer(b"".join([b for _, b in found]), "<u4")
+            self.known, self.old, self.held = ({}, {}), self.known, 0
+            self.lossy.intersection_update(self.old[0])
 
 
 @cache
@@ -213,27 +257,40 @@ def _unpack_ids(blob: bytes) -> np.ndarray:
 
 
 EVENTS = "key bigint, doc_id bigint, at bigint, side int, ids binary"
+_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+
+
+def _lots(batch: pa.RecordBatch) -> Iterator[list[tuple]]:
+    """(key, doc_id, pieces) of the rows of a batch, in lots of about LOT_CHARS."""
+    lot, held = [], 0
+    for key, doc, text in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "text")), strict=True):
+        lot.append((key, doc, list(pieces(text or ""))))
+        held += len(text or "")
+        if held > LOT_CHARS:
+            yield lot
+            lot, held = [], 0
+    if lot:
+        yield lot
 
 
 def _events(path_a: str, path_b: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, press = _pair_encoder(path_a, path_b), zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            rows: list[tuple] = []
-            for key, doc, text in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "text")), strict=True):
-                own: list[tuple] = []
-                at = 0
-                for piece in pieces(text or ""):
-                    if (found := both.encode(piece)) is None:
-                        own = []
-                        break
-                    own += [(key, doc, at, side, _pack_ids(ids, press)) for side, ids in enumerate(found)]
-                    at += len(piece.encode())
-                rows += own or [(key, doc, 0, _NONE, None)]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            for lo in range(0, len(rows), 2000):
-                some = rows[lo : lo + 2000]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in some], kind) for k, kind in enumerate(kinds)], names=["key", "doc_id", "at", "side", "ids"])
+            for lot in _lots(batch):
+                found = both.encode([segments(p) for _, _, cut in lot for p in cut])
+                rows: list[tuple] = []
+                for key, doc, cut in lot:
+                    each = [next(found) for _ in cut]
+                    if not each or None in each:
+                        rows.append((key, doc, 0, _NONE, None))
+                        continue
+                    at = 0
+                    for piece, sides in zip(cut, each, strict=True):
+                        rows += [(key, doc, at, side, _pack_ids(ids, press)) for side, ids in enumerate(sides)]
+                        at += len(piece.encode())
+                both.forget()
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(_KINDS)], names=["key", "doc_id", "at", "side", "ids"])
 
     return run
 
@@ -266,8 +323,9 @@ class Machine:
         self.lengths, self.chunk = (lengths_a, lengths_b), chunk
         most = max(len(lengths_a), len(lengths_b))
         # Ids with what stands before them: nothing, another of the side, the other side, a group.
-        self.words = [mark + str(i) for i in range(most) for mark in ("", ",", "|", ";")]
-        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        words = [mark + str(i) for i in range(most) for mark in ("", ",", "|", ";")]
+        self.sizes = np.array([len(w) for w in words], np.int64)
+        self.letters = np.array(words, "S").view(np.uint8).reshape(len(words), -1)
         self.docs: list[_Document] = []
         self.ends: list[int] = []  # where each of docs ends, over all that has been read
         none = np.empty(0, np.int64)
@@ -306,13 +364,16 @@ class Machine:
             ids.append(np.concatenate([p[0] for p in parts]))
             ends.append(np.concatenate([p[1] for p in parts]))
         self.runs, self.waiting = ([], []), 0
-        common = np.intersect1d(*ends, assume_unique=True)
-        if len(common):
-            cut = [int(np.searchsorted(e, common[-1], side="right")) for e in ends]
-            self.rest = [(i[k:], e[k:]) for i, e, k in zip(ids, ends, cut, strict=True)]
-            yield "links", self._groups(common, [i[:k] for i, k in zip(ids, cut, strict=True)], [e[:k] for e, k in zip(ends, cut, strict=True)])
-        else:
-            self.rest = list(zip(ids, ends, strict=True))
+        every = np.concatenate(ends)
+        order = np.argsort(every, kind="stable")  # of two sorted runs; A stands before B
+        every = every[order]
+        again = np.concatenate([every[1:] == every[:-1], [False]]) if len(every) else np.empty(0, bool)
+        closed = int(np.flatnonzero(again)[-1]) + 2 if again.any() else 0  # events up to the last common end
+        cut = [int((order[:closed] < len(ends[0])).sum())]
+        cut.append(closed - cut[0])
+        self.rest = [(i[k:], e[k:]) for i, e, k in zip(ids, ends, cut, strict=True)]
+        if closed:
+            yield "links", self._groups(every[:closed], order[:closed] < len(ends[0]), again[:closed], [i[:k] for i, k in zip(ids, cut, strict=True)])
         over = len(self.docs) if last else len(self.docs) - 1
         for doc in self.docs[:over]:
             yield "doc", doc.row()
@@ -324,33 +385,45 @@ class Machine:
             self.chunk += 1
             self._new_chunk()
 
-    def _groups(self, common: np.ndarray, ids: list[np.ndarray], ends: list[np.ndarray]) -> tuple:
-        doc_ends, n = np.array(self.ends, np.int64), len(self.docs)
-        segment = np.union1d(*ends)
-        of = [np.searchsorted(doc_ends, x) for x in (*ends, common, segment)]
-        counts = np.stack([np.bincount(o, minlength=n) for o in of], axis=1)
-        self._digests(common, ids, ends, of[2], counts)
-        for doc, more in zip(self.docs, counts, strict=True):
-            doc.counts += more
-        a, b = (i[np.searchsorted(e, segment)] for i, e in zip(ids, ends, strict=True))
-        return self._cells(of[3], a << 32 | b)
-
-    def _digests(self, common: np.ndarray, ids: list[np.ndarray], ends: list[np.ndarray], doc_of_group: np.ndarray, counts: np.ndarray) -> None:
-        """Adds the groups to their documents' digests."""
-        place = np.concatenate([2 * np.searchsorted(common, ends[0]), 2 * np.searchsorted(common, ends[1]) + 1])
-        order = np.argsort(place, kind="stable")
-        place, every = place[order], np.concatenate(ids)[order]
-        begins = np.concatenate([[True], place[1:] != place[:-1]])
-        mark = np.where(begins, np.where(place % 2 == 0, 3, 2), 1)
+    def _groups(self, every: np.ndarray, of_a: np.ndarray, both: np.ndarray, ids: list[np.ndarray]) -> tuple:
+        """Takes whole groups: the ends of their tokens in order, which of them are of A, and which are
+        at the same place as the next (an A end and a B end)."""
+        first = np.concatenate([[True], ~both[:-1]])  # one event for each distinct end
+        segment, common = every[first], both[first]
+        ends_a = of_a[first]
+        ends_b = ~ends_a | common
+        # Tokens that end before a segment's end are over; the next one of its side covers it.
+        a, b = np.cumsum(ends_a) - ends_a, np.cumsum(ends_b) - ends_b
+        group = np.cumsum(common) - common
+        n = len(self.docs)
+        upto = np.searchsorted(segment, np.array(self.ends, np.int64), side="right")
+        links = np.diff(upto, prepend=0)
+        doc = np.repeat(np.arange(n), links)
+        counts = np.stack([np.bincount(doc[x], minlength=n) for x in (ends_a, ends_b, common)] + [links], axis=1)
+        self._digests(ids, group[ends_a], group[ends_b], doc[common], counts)
+        for own, more in zip(self.docs, counts, strict=True):
+            own.counts += more
+        return self._cells(doc, ids[0][a] << 32 | ids[1][b])
+
+    def _digests(self, ids: list[np.ndarray], group_a: np.ndarray, group_b: np.ndarray, doc_of_group: np.ndarray, counts: np.ndarray) -> None:
+        """Adds the groups, each with its A tokens and then its B tokens, to their documents' digests."""
+        groups = len(doc_of_group)
+        n_a, n_b = np.bincount(group_a, minlength=groups), np.bincount(group_b, minlength=groups)
+        place_a = np.arange(len(group_a)) + (np.cumsum(n_b) - n_b)[group_a]
+        place_b = np.arange(len(group_b)) + np.cumsum(n_a)[group_b]
+        first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
         opens = np.concatenate([[True], doc_of_group[1:] != doc_of_group[:-1]])
         if self.docs[doc_of_group[0]].counts[2]:
             opens[0] = False  # the open document has groups already
-        mark[begins & (place % 2 == 0) & opens[place // 2]] = 0
-        index = 4 * every + mark
-        text = "".join(map(self.words.__getitem__, index.tolist())).encode()
-        upto = np.concatenate([[0], np.cumsum(self.sizes[index])])
-        tokens = np.cumsum(counts[:, 0] + counts[:, 1])
-        for doc, hi, k in zip(self.docs, tokens.tolist(), (counts[:, 0] + counts[:, 1]).tolist(), strict=True):
+        index = np.empty(len(group_a) + len(group_b), np.int64)
+        index[place_a], index[place_b] = 4 * ids[0] + 1, 4 * ids[1] + 1
+        index[place_a[first_a]] += np.where(opens, -1, 2)
+        index[place_b[first_b]] += 1
+        sizes = self.sizes[index]
+        text = self.letters[index][np.arange(self.letters.shape[1]) < sizes[:, None]].tobytes()
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        tokens = counts[:, 0] + counts[:, 1]
+        for doc, hi, k in zip(self.docs, np.cumsum(tokens).tolist(), tokens.tolist(), strict=True):
             if k:
                 doc.digest = doc.digest or hashlib.sha256()
                 doc.digest.update(text[upto[hi - k] : upto[hi]])

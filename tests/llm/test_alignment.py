@@ -9,7 +9,7 @@ from test_dedup import corpus, frame
 
 import culvert.llm.alignment as alignment
 from culvert.llm import queries
-from culvert.llm.alignment import ByteBpe, PairEncoder, PieceBpe, align_tokens, pieces
+from culvert.llm.alignment import ByteBpe, PairEncoder, PieceBpe, align_tokens, pieces, segments
 
 PATHS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ODD = [
@@ -90,12 +90,21 @@ def test_words_give_whole_texts(sides, monkeypatch):
         monkeypatch.setattr(alignment, "PIECE", piece)
         both = PairEncoder(*PATHS)
         for text in [*ODD, *mixed, *(t for _, t in corpus(60, 3) if t)]:
-            found = [both.encode(p) for p in pieces(text)]
+            found = list(both.encode([segments(p) for p in pieces(text)]))
+            both.forget()
             joined = None if None in found else tuple([int(x) for f in found for x in f[side]] for side in (0, 1))
             expected = whole(sides, text)
             assert joined == (expected and (list(expected[0]), list(expected[1]))), repr(text)
 
 
+def test_faster_vocabulary(sides):
+    """Where it is used, the faster encoder gives the ids of the file's own tokenizer: every Latin character in its places."""
+    assert sides[0].fast
+    for c in map(chr, range(0x250)):
+        text = f" a{c}1 {c}b{c}{c} 2{c}  {c}'s{c}"
+        assert sides[0].encode(text) == sides[0].tokenizer.encode(text, add_special_tokens=False).ids, repr(c)
+
+
 def test_align_tokens(spark, sides, monkeypatch):
     rows = corpus(120, 4) + [(10_000 + k, t) for k, t in enumerate(ODD)]
     rows += [(None, "no id"), (None, "no id"), (rows[0][0], "the same id"), (20_000, None), (20_001, "")]
