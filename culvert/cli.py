@@ -8,16 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from culvert.operators.design import review_analysis, size_network
-from culvert.operators.network import analyze
+from culvert.operators.network import Analysis, analyze
 from culvert.sinks import report
 from culvert.sources.ssn import Networks, parse_ssn, read_ssn
 
 
-def reports(networks: Networks, size: bool = False, check: bool = False) -> list[DataFrame]:
-    """Report texts (network_id, rp_years, text) of parsed networks; files with errors have none."""
+def _analysis(networks: Networks) -> tuple[DataFrame, DataFrame, Analysis]:
+    """Nodes and pipes of the files without errors, and their analysis."""
     good = lambda df: df.join(networks.errors.select("network_id").distinct(), "network_id", "left_anti")
     nodes, pipes = good(networks.nodes), good(networks.pipes)
-    analysis = analyze(nodes, pipes, good(networks.idf), scenarios=networks.scenarios)
+    return nodes, pipes, analyze(nodes, pipes, good(networks.idf), scenarios=networks.scenarios)
+
+
+def reports(networks: Networks, size: bool = False, check: bool = False) -> list[DataFrame]:
+    """Report texts (network_id, rp_years, text) of parsed networks; files with errors have none."""
+    nodes, pipes, analysis = _analysis(networks)
     made = [report.text_reports(analysis.pipes, analysis.nodes)]
     if size:
         made.append(report.sizing_tables(size_network(pipes, analysis.pipes)))
@@ -31,8 +36,10 @@ def analyze_ssn(found: DataFrame) -> DataFrame:
     its first error."""
     networks = parse_ssn(found)
     first = networks.errors.groupBy("network_id").agg(F.min_by("error", "line_no").alias("error"))
-    failed = first.select("network_id", F.lit(None).cast("int").alias("rp_years"), F.concat(F.lit("error: "), "error").alias("text"))
-    return reports(networks)[0].unionByName(failed)
+    analysis = _analysis(networks)[2]
+    failed = first.unionByName(analysis.errors.groupBy("network_id").agg(F.min("error").alias("error")))
+    failed = failed.select("network_id", F.lit(None).cast("int").alias("rp_years"), F.concat(F.lit("error: "), "error").alias("text"))
+    return report.text_reports(analysis.pipes, analysis.nodes).unionByName(failed)
 
 
 def main(argv: list[str]) -> int:
@@ -44,8 +51,11 @@ def main(argv: list[str]) -> int:
     spark = SparkSession.builder.appName("culvert").getOrCreate()
     try:
         networks = read_ssn(spark, paths[0])
-        if problems := networks.errors.orderBy("network_id", "line_no").limit(100).collect():
-            print("\n".join(f"error: {r.error}" for r in problems), file=sys.stderr)
+        failed = False
+        for row in networks.errors.orderBy("network_id", "line_no").toLocalIterator():
+            print(f"error: {row.error}", file=sys.stderr)
+            failed = True
+        if failed:
             return 1
         for texts in reports(networks, "--size" in flags, "--review" in flags):
             for row in texts.orderBy("network_id").toLocalIterator():

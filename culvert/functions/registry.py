@@ -23,7 +23,7 @@ def register(spark: SparkSession) -> list[str]:
     """Adds the functions as temporary SQL functions; returns their names.
 
     Closed forms are SQL functions, so Catalyst sees through them; depths are vectorised UDFs.
-    analyze_ssn is a table function over files: see cli.report.
+    analyze_ssn is a table function over a table of texts: see functions.tables.
     """
     for name, (parameters, body) in EXPRESSIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS DOUBLE RETURN {body}")
@@ -39,4 +39,7 @@ def register(spark: SparkSession) -> list[str]:
 
     spark.udf.register("normal_depth_circular", F.pandas_udf(normal, T.DoubleType()))
     spark.udf.register("critical_depth_circular", F.pandas_udf(critical, T.DoubleType()))
-    return [*EXPRESSIONS, "normal_depth_circular", "critical_depth_circular"]
+    from culvert.functions.tables import register_tables
+
+    register_tables(spark)
+    return [*EXPRESSIONS, "analyze_ssn", "normal_depth_circular", "critical_depth_circular"]

@@ -26,8 +26,8 @@ CHUNK_ROWS = 150_000
 TASK_PIPES = 500_000
 _KINDS = {"inlet": 0, "junction": 1, "outfall": 2}
 OUTFALL = 2
-_NUMBERS = 11
-_TAGGED = "network_id bigint, tag int, ord int, id string, s1 string, s2 string, " + ", ".join(f"v{k} double" for k in range(_NUMBERS))
+NUMBERS = 11
+_TAGGED = "network_id bigint, tag int, ord int, id string, s1 string, s2 string, " + ", ".join(f"v{k} double" for k in range(NUMBERS))
 _PIPE_OUT = (
     "slope", "manning_slope", "total_ca", "intensity", "tc", "travel_time", "design_q", "capacity", "max_capacity", "normal_depth",
     "critical_depth", "velocity", "velocity_full", "pct_full", "hgl_up", "hgl_dn",
@@ -37,7 +37,7 @@ _SOLVED = (
     + ", ".join(f"{c} double" for c in _PIPE_OUT)
     + ", hgl double, rim double, surcharge_to_surface boolean"
 )
-_SCENARIO = ("a", "b", "c", "min_tc", "tailwater", "junction_k", "intensity_override", "min_slope", "bend_loss_coeff", "hec22", "access_hole_diam_ft", "bench_factor", "cf")
+SCENARIO = ("a", "b", "c", "min_tc", "tailwater", "junction_k", "intensity_override", "min_slope", "bend_loss_coeff", "hec22", "access_hole_diam_ft", "bench_factor", "cf")
 
 
 class Analysis(NamedTuple):
@@ -60,7 +60,7 @@ class CyclicNetwork(ValueError):
 def _tagged(tag: int, df: DataFrame, s1, s2, numbers: list, order="ord", id_="id") -> DataFrame:
     cols = [F.lit(None).cast("string") if s is None else F.col(s) for s in (s1, s2)]
     numbers = [F.col(x) if isinstance(x, str) else x for x in numbers]
-    numbers += [F.lit(None)] * (_NUMBERS - len(numbers))
+    numbers += [F.lit(None)] * (NUMBERS - len(numbers))
     return df.select(
         F.col("network_id").cast("bigint").alias("network_id"), F.lit(tag).alias("tag"), F.col(order).cast("int").alias("ord"), F.col(id_).cast("string").alias("id"),
         cols[0].alias("s1"), cols[1].alias("s2"), *[x.cast("double").alias(f"v{k}") for k, x in enumerate(numbers)],
@@ -85,7 +85,7 @@ def analyze(nodes: DataFrame, pipes: DataFrame, idf: DataFrame | None = None, op
     pipes = with_sections(pipes)
     shape = F.coalesce(*[F.when(F.col("shape") == k, F.lit(float(v))) for k, v in solvers.SHAPES.items()], F.lit(0.0))
     rows = (
-        _tagged(0, given.withColumn("sid", F.lit(None)), None, None, ["a", "b", "c", *_SCENARIO[3:11]], "rp_years", "sid")
+        _tagged(0, given.withColumn("sid", F.lit(None)), None, None, ["a", "b", "c", *SCENARIO[3:11]], "rp_years", "sid")
         .unionByName(_tagged(1, given.withColumn("sid", F.lit(None)), None, None, ["bench_factor", "cf"], "rp_years", "sid"))
         .unionByName(_tagged(2, nodes, "kind", None, ["invert", "rim", "area_ac", "c", "tc_inlet", "x", "y"]))
         .unionByName(_tagged(3, pipes, "from", "to", ["length", "n", "rise", "span", shape]))
@@ -143,7 +143,7 @@ class _Chunk:
         self.tag = batch.column("tag").to_numpy()
         self.ord = batch.column("ord").fill_null(-1).to_numpy()
         self.id, self.s1, self.s2 = (batch.column(c) for c in ("id", "s1", "s2"))
-        self.v = np.stack([batch.column(f"v{k}").to_numpy(zero_copy_only=False) for k in range(_NUMBERS)])
+        self.v = np.stack([batch.column(f"v{k}").to_numpy(zero_copy_only=False) for k in range(NUMBERS)])
 
 
 def _solve_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,14 +159,15 @@ def _solve_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = table.column("network_id").to_numpy()
             cut = int(np.searchsorted(ids, ids[-1]))  # the last network may go on
             if cut:
-                yield from _solve(table.slice(0, cut))
+                yield from solve_tables(table.slice(0, cut))
             rest = table.slice(cut)
             held, rows = rest.to_batches(), rest.num_rows
     if held:
-        yield from _solve(pa.Table.from_batches(held))
+        yield from solve_tables(pa.Table.from_batches(held))
 
 
-def _solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
+def solve_tables(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Results of whole networks, sorted by network, tag and ord (tags 0 and 1: scenarios, 2: nodes, 3: pipes)."""
     chunk = _Chunk(table.combine_chunks())
     at = [np.flatnonzero(chunk.tag == k) for k in range(4)]
     scen, more, node, pipe = at
@@ -208,7 +209,7 @@ def _solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
     take_node = np.arange(n_nodes.sum()) - np.repeat(start - first_node, n_nodes)
     take_pipe = np.arange(n_pipes.sum()) - np.repeat(np.cumsum(n_pipes) - n_pipes - first_pipe, n_pipes)
     moved = (start - first_node)[of_pipe]
-    opts = {name: chunk.v[k][scen] for k, name in enumerate(_SCENARIO[:11])} | {name: chunk.v[k][more] for k, name in enumerate(_SCENARIO[11:])}
+    opts = {name: chunk.v[k][scen] for k, name in enumerate(SCENARIO[:11])} | {name: chunk.v[k][more] for k, name in enumerate(SCENARIO[11:])}
     kinds = np.array([_KINDS.get(k, 1) for k in chunk.s1.take(pa.array(node)).to_pylist()])
     nv, pv = chunk.v[:, node[take_node]], chunk.v[:, pipe[take_pipe]]
     solved = solve_levels(kinds[take_node], nv, level[take_node], of_node, u[take_pipe] + moved, v[take_pipe] + moved, pv, of_pipe, opts)

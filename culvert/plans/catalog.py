@@ -408,6 +408,46 @@ def tree_main_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.main_stem(*views.tree(spark, sf_dir)).select("pos", "id")
 
 
+#: One network of all orders in a row: as deep as there are orders.
+_TRUNK = "SELECT row_number() OVER (ORDER BY o_orderkey) AS k, count(*) OVER () AS n, floor(CAST(o_totalprice AS DOUBLE) / 1000.0::DOUBLE) / 100.0::DOUBLE AS area FROM orders"
+
+
+@query(f"SELECT CAST(k AS VARCHAR) AS id, CAST(k - 1 AS INTEGER) AS level, round(0.5::DOUBLE * sum(area) OVER (ORDER BY k), 6) AS total_ca, true AS reaches, CAST(k - 1 AS BIGINT) AS pos FROM ({_TRUNK}) UNION ALL SELECT 'OUT', CAST(any_value(n) AS INTEGER), round(0.5::DOUBLE * sum(area), 6), true, any_value(n) FROM ({_TRUNK})")
+def trunk_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels, areas, outfall and main stem of one network that is as deep as there are orders."""
+    nodes, pipes = views.trunk(spark, sf_dir)
+    keys = ["network_id", "id"]
+    total = graph.accumulate_ca(nodes, pipes)
+    found = graph.levels(nodes, pipes).join(total, keys).join(graph.main_stem(nodes, pipes, total), keys, "left")
+    reached = graph.reaches_outfall(nodes, pipes).withColumn("reaches", F.lit(True))
+    return found.join(reached, keys, "left").select("id", "level", r6("total_ca", "total_ca"), F.coalesce("reaches", F.lit(False)).alias("reaches"), F.col("pos").cast("bigint").alias("pos"))
+
+
+def _shallow(nodes: DataFrame, pipes: DataFrame, recursive, doubling) -> DataFrame:
+    return (recursive if graph.is_shallow(nodes, pipes) else doubling)(nodes, pipes)
+
+
+@query()
+def tree_areas_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tree_areas by one recursive statement, as the tree is measured to be shallow."""
+    return _shallow(*views.tree(spark, sf_dir), graph.accumulate_ca_recursive, graph.accumulate_ca).select("id", r6("total_ca", "total_ca"))
+
+
+@query()
+def tree_levels_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shallow(*views.tree(spark, sf_dir), graph.levels_recursive, graph.levels).select("id", "level")
+
+
+@query()
+def tree_main_stem_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shallow(*views.tree(spark, sf_dir), graph.main_stem_recursive, graph.main_stem).select("pos", "id")
+
+
+for _name in ("tree_areas", "tree_levels", "tree_main_stem"):
+    SQL[f"{_name}_recursive"] = SQL[_name]
+
+
+
 # --- Geometry and units -----------------------------------------------------------------------
 
 _PX, _PY = "(CAST(c_acctbal AS DOUBLE) / 100.0::DOUBLE)", "CAST(c_custkey % 97 AS DOUBLE)"

@@ -17,8 +17,9 @@ from culvert.sources import dxf, landxml, noaa, project, ssn, stm
 
 _NONE = "CAST(NULL AS DOUBLE)"
 #: Chains with the places of their nodes: invert and x of a reach's upper end, and its lower end's.
-_CHAIN = f"""SELECT *, 100.0::DOUBLE + sum(slope * length) OVER (PARTITION BY network_id ORDER BY ord DESC ROWS UNBOUNDED PRECEDING) AS inv,
-    coalesce(sum(length) OVER (PARTITION BY network_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS x, max(ord) OVER (PARTITION BY network_id) AS last FROM ({views.REACH})"""
+_PLACED = """SELECT *, 100.0::DOUBLE + sum(slope * length) OVER (PARTITION BY network_id ORDER BY ord DESC ROWS UNBOUNDED PRECEDING) AS inv,
+    coalesce(sum(length) OVER (PARTITION BY network_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS x, max(ord) OVER (PARTITION BY network_id) AS last FROM ({})"""
+_CHAIN = _PLACED.format(views.REACH)
 
 
 def _part(df: DataFrame, part: str, id_, a=None, b=None, numbers=()) -> DataFrame:
@@ -150,24 +151,8 @@ def project_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_PERIOD_ROW = ", ".join(f"({rp}, {60.0 + k}::DOUBLE, {10.0 + k}::DOUBLE, {0.7 + 0.01 * k:.2f}::DOUBLE)" for k, rp in stm.PERIODS.items())
-
-
-@query(
-    f"WITH c AS MATERIALIZED ({_CHAIN}) "
-    + " UNION ALL ".join(
-        [
-            _sql_part("node", "c WHERE ord = 1", "'IN_1'", "'inlet'", "NULL", ("x", "inv", "inv + 8.0::DOUBLE", "area_ac")),
-            _sql_part("node", "c", "'N' || (ord + 1)", "CASE WHEN ord = last THEN 'outfall' ELSE 'junction' END", "NULL", ("x + length", "inv - slope * length", "inv - slope * length + 8.0::DOUBLE", "0")),
-            _sql_part("pipe", "c", "'P' || ord", "CASE WHEN ord = 1 THEN 'IN_1' ELSE 'N' || ord END", "'N' || (ord + 1)", ("length", "CASE WHEN ord % 2 = 0 THEN 2 * diameter ELSE diameter END", "n", "CASE WHEN ord % 2 = 0 THEN 2 * diameter ELSE 0 END")),
-            _sql_part("curve", f"c, (VALUES {_PERIOD_ROW}) t(rp, ia, ib, ic) WHERE ord = 1", "rp", "NULL", "NULL", ("ia", "ib", "ic")),
-            _sql_part("settings", "c WHERE ord = 1", "'Job ' || network_id", "'us_customary'", "NULL", ("25", "6", "0.002", "65")),
-        ]
-    )
-)
-def stm_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`.stm` texts of all chains: header, line blocks, curves."""
-    nodes, pipes = views.chain(spark, sf_dir)
+def _stm_texts(nodes: DataFrame, pipes: DataFrame) -> DataFrame:
+    """`.stm` texts of chains: every second reach is a box, the first one begins at an inlet."""
     up = nodes.select("network_id", F.col("id").alias("from"), "x", "invert", "rim", "area_ac", "c", "tc_inlet")
     dn = nodes.select("network_id", F.col("id").alias("to"), F.col("kind").alias("dn_kind"), F.col("x").alias("x2"), F.col("invert").alias("invert2"), F.col("rim").alias("rim2"))
     line = pipes.join(up, ["network_id", "from"]).join(dn, ["network_id", "to"])
@@ -189,7 +174,28 @@ def stm_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts += [_line(ends, 1, 0, '"Project Name = ","Job ', F.col("network_id"), '"'), _line(ends, 2, 0, '"LINE DATA"')]
     parts += [line.select("network_id", F.lit(3).alias("k"), F.col("ord").cast("int").alias("ord"), block.alias("line")), _line(ends, 4, 0, '"IDF Curves"')]
     parts += [_line(ends, 5, k, text) for k, text in enumerate(rows)]
-    p = stm.parse_stm(_texts(parts))
+    return _texts(parts)
+
+
+_PERIOD_ROW = ", ".join(f"({rp}, {60.0 + k}::DOUBLE, {10.0 + k}::DOUBLE, {0.7 + 0.01 * k:.2f}::DOUBLE)" for k, rp in stm.PERIODS.items())
+
+
+@query(
+    f"WITH c AS MATERIALIZED ({_CHAIN}) "
+    + " UNION ALL ".join(
+        [
+            _sql_part("node", "c WHERE ord = 1", "'IN_1'", "'inlet'", "NULL", ("x", "inv", "inv + 8.0::DOUBLE", "area_ac")),
+            _sql_part("node", "c", "'N' || (ord + 1)", "CASE WHEN ord = last THEN 'outfall' ELSE 'junction' END", "NULL", ("x + length", "inv - slope * length", "inv - slope * length + 8.0::DOUBLE", "0")),
+            _sql_part("pipe", "c", "'P' || ord", "CASE WHEN ord = 1 THEN 'IN_1' ELSE 'N' || ord END", "'N' || (ord + 1)", ("length", "CASE WHEN ord % 2 = 0 THEN 2 * diameter ELSE diameter END", "n", "CASE WHEN ord % 2 = 0 THEN 2 * diameter ELSE 0 END")),
+            _sql_part("curve", f"c, (VALUES {_PERIOD_ROW}) t(rp, ia, ib, ic) WHERE ord = 1", "rp", "NULL", "NULL", ("ia", "ib", "ic")),
+            _sql_part("settings", "c WHERE ord = 1", "'Job ' || network_id", "'us_customary'", "NULL", ("25", "6", "0.002", "65")),
+        ]
+    )
+)
+def stm_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`.stm` texts of all chains: header, line blocks, curves."""
+    nodes, pipes = views.chain(spark, sf_dir)
+    p = stm.parse_stm(_stm_texts(nodes, pipes))
     return _all(
         [
             _part(p.nodes, "node", "id", "kind", None, ("x", "invert", "rim", "area_ac")),

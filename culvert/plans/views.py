@@ -59,7 +59,29 @@ REACH = """
 
 def chain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, pipes): node k flows to k + 1, the last one to OUT at invert 100."""
-    r = reach(spark, sf_dir)
+    return _chained(reach(spark, sf_dir))
+
+
+def street(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """chain() of customers: a customer's orders are the reaches of a network."""
+    o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    sizes = F.array(*[F.lit(float(d)) for d in CATALOG_IN])
+    cols = {
+        "network_id": F.col("o_custkey").cast("bigint"), "ord": F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")), "area_ac": F.floor(F.col("o_totalprice").cast("double") / 1000.0) / 100.0,
+        "c": 0.30 + 0.05 * (key % 8), "slope": 0.002 + 0.001 * (key % 10), "length": 100.0 + 20.0 * (key % 20), "diameter": F.get(sizes, (key % 17).cast("int")) / 12.0, "n": F.lit(0.013), "tc_inlet": 5.0 + key % 7,
+    }
+    return _chained(o.select(*[v.alias(k) for k, v in cols.items()]))
+
+
+STREET = """
+    SELECT CAST(o_custkey AS BIGINT) AS network_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS ord, floor(CAST(o_totalprice AS DOUBLE) / 1000.0::DOUBLE) / 100.0::DOUBLE AS area_ac,
+           0.30::DOUBLE + 0.05::DOUBLE * (o_orderkey % 8) AS c, 0.002::DOUBLE + 0.001::DOUBLE * (o_orderkey % 10) AS slope, 100.0::DOUBLE + 20.0::DOUBLE * (o_orderkey % 20) AS length,
+           [8, 10, 12, 15, 18, 21, 24, 27, 30, 33, 36, 42, 48, 54, 60, 66, 72][1 + o_orderkey % 17] / 12.0::DOUBLE AS diameter, 0.013::DOUBLE AS n, 5.0::DOUBLE + o_orderkey % 7 AS tc_inlet
+    FROM orders
+"""
+
+
+def _chained(r: DataFrame) -> tuple[DataFrame, DataFrame]:
     below = W.partitionBy("network_id").orderBy(F.desc("ord")).rowsBetween(W.unboundedPreceding, 0)
     along = W.partitionBy("network_id").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
     last = F.max("ord").over(W.partitionBy("network_id"))
@@ -99,6 +121,26 @@ def tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return nodes, pipes
 
 
+def trunk(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, pipes) of one network: all orders in a row, by their keys, down to OUT."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.floor(F.col("o_totalprice").cast("double") / 1000.0) / 100.0).alias("area_ac"))
+    # Numbers by prefix sums over ranges of keys: a window without a partition would be one task.
+    parts = o.repartitionByRange("o_orderkey").withColumn("part", F.spark_partition_id())
+    from culvert.operators.graph import kept
+
+    parts = kept(parts)
+    own = F.row_number().over(W.partitionBy("part").orderBy("o_orderkey"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = parts.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", before)  # a row a partition
+    k = parts.withColumn("own", own).join(counts, "part").select((F.col("own") + F.col("before")).alias("k"), "area_ac")
+    n = k.count()
+    one, kind, text = F.lit(1).cast("bigint").alias("network_id"), F.lit("inlet").alias("kind"), F.col("k").cast("string")
+    nodes = k.select(one, F.col("k").cast("bigint").alias("ord"), text.alias("id"), kind, "area_ac", F.lit(0.5).alias("c"))
+    end = o.sparkSession.range(1).select(one, F.lit(n + 1).cast("bigint").alias("ord"), F.lit("OUT").alias("id"), F.lit("outfall").alias("kind"), F.lit(0.0).alias("area_ac"), F.lit(0.0).alias("c"))
+    to = F.when(F.col("k") == n, "OUT").otherwise((F.col("k") + 1).cast("string"))
+    return nodes.unionByName(end), k.select(one, F.concat(F.lit("P"), text).alias("id"), text.alias("from"), to.alias("to"))
+
+
 def loose(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, pipes) of orders whose reaches go by line number: repeated ids, gaps and no outfall."""
     r = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("network_id"), F.row_number().over(_ordered()).alias("ord"), "l_linenumber", (F.col("l_quantity").cast("double") - 1.0).alias("area_ac"))
