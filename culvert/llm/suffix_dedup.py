@@ -10,8 +10,9 @@ would tell nothing more.
 The matched suffixes are sent again, with all words that a match may reach to their left and right.
 Sorted by the words to the right, neighbours tell how far each two suffixes agree to the right;
 sorted by the words to the left, how far they agree to the left. Suffixes that agree on k words to
-the left and on `width - k` to the right hold the same run of words there, and the smallest document
-that holds it keeps it.
+the left and on `width - k` to the right hold the same run of codes there. Codes of 16 bits order the
+suffixes and tell how far they agree; two runs are the same only if a code of all their words, which
+is made of 64 bits for each, is the same too. The smallest document that holds a run keeps it.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ from culvert.llm.passages import BATCH, CLEANED, Known, Texts, batches_of, clean
 
 #: Bytes of text for each chunk of documents and each bucket of suffixes.
 CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
+#: Bytes of a run's code that travel. A word in another's place is taken for it with a chance of one in
+#: 2^(16 + 8 RUN_BYTES): its own code must be equal, and its run's.
+RUN_BYTES = 5
 _MANY = np.random.default_rng(20240912).integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -72,6 +76,39 @@ def _around(letters: np.ndarray, bounds: np.ndarray, places: np.ndarray, left: i
     return np.where(inside, letters[np.clip(at, 0, max(0, len(letters) - 1))], np.uint16(0))
 
 
+def _runs(texts: Texts, places: np.ndarray, width: int, left: int) -> np.ndarray:
+    """RUN_BYTES of a code of the run of `width` words that begins k words to the left of each place, for each
+    k up to `left`; 0 where it would leave the document."""
+    row = np.searchsorted(texts.bounds, places, side="right") - 1
+    start = places[:, None] - np.arange(left + 1)
+    whole = (start >= texts.bounds[row][:, None]) & (start + width <= texts.bounds[row + 1][:, None])
+    codes = wd.window_codes(texts.codes, width)
+    if not len(codes):
+        return np.zeros(start.shape, np.uint64)
+    found = codes[np.clip(start, 0, len(codes) - 1)] >> np.uint64(64 - 8 * RUN_BYTES)
+    return np.where(whole, found, np.uint64(0))
+
+
+def _run_cells(runs: np.ndarray) -> np.ndarray:
+    cells = np.ascontiguousarray(runs.astype("<u8").view(np.uint8).reshape(*runs.shape, 8)[:, :, :RUN_BYTES])
+    return cells.reshape(len(runs), RUN_BYTES * runs.shape[1]).view(f"V{RUN_BYTES * runs.shape[1]}").ravel()
+
+
+def _as_runs(cells: np.ndarray) -> np.ndarray:
+    n = cells.dtype.itemsize // RUN_BYTES
+    out = np.zeros((len(cells), n, 8), np.uint8)
+    out[:, :, :RUN_BYTES] = cells.view(np.uint8).reshape(len(cells), n, RUN_BYTES)
+    return out.view("<u8").reshape(len(cells), n)
+
+
+def _context_code(words: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """A 64-bit code of the words around a suffix, by their own codes and by those of their runs."""
+    total = _code(words)
+    for k in range(runs.shape[1]):
+        total = wd.mix(total * _MANY[0] + runs[:, k])
+    return total
+
+
 def _code(words: np.ndarray) -> np.ndarray:
     """A 64-bit code for each row of word codes."""
     total = np.zeros(len(words), np.uint64)
@@ -157,23 +194,23 @@ def _contexts(width: int, buckets: Groups):
 
     def run(key: tuple, docs: pa.Table, back: pa.Table) -> pa.Table:
         matched = Known(entries_of(back, np.uint64)[0])
-        found = [(np.empty((0, left + width), np.uint16), np.empty(0, np.int64))]
+        found = [(np.empty((0, left + width), np.uint16), np.empty((0, left + 1), np.uint64), np.empty(0, np.int64))]
         for texts in batches_of(docs) if len(matched.codes) else ():
             places, letters = kept_suffixes(texts, width), _letters(texts)
             places = places[matched.where(_code(_around(letters, texts.bounds, places, 0, prefix)))]
-            found.append((_around(letters, texts.bounds, places, left, width), texts.ids[wd.owner(texts.bounds)[places]]))
-        words, ids = (np.concatenate(x) for x in zip(*found, strict=True))
-        at, least, several = _distinct(_code(words), ids)
-        words = words[at]
+            found.append((_around(letters, texts.bounds, places, left, width), _runs(texts, places, width, left), texts.ids[wd.owner(texts.bounds)[places]]))
+        words, runs, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        at, least, several = _distinct(_context_code(words, runs), ids)
+        words, runs = words[at], runs[at]
         group = bucket_of(_code(words[:, left : left + prefix]), buckets.n)
-        return entry_rows(group, buckets, _as_cells(words), least, several.view(np.uint8), np.full(len(at), key[0].as_py(), np.int64))
+        return entry_rows(group, buckets, _as_cells(words), _run_cells(runs), least, several.view(np.uint8), np.full(len(at), key[0].as_py(), np.int64))
 
     return run
 
 
-def late_runs(words: np.ndarray, ids: np.ndarray, width: int) -> np.ndarray:
-    """For each suffix (words to its left and right, smallest document) and each k, whether a smaller
-    document has the run of `width` words that begins k words to the left of it."""
+def late_runs(words: np.ndarray, runs: np.ndarray, ids: np.ndarray, width: int) -> np.ndarray:
+    """For each suffix (words to its left and right, codes of the runs around it, smallest document) and
+    each k, whether a smaller document has the run of `width` words that begins k words to the left of it."""
     left = words.shape[1] - width
     out = np.zeros((len(words), left + 1), bool)
     if len(words) < 2:
@@ -189,8 +226,9 @@ def late_runs(words: np.ndarray, ids: np.ndarray, width: int) -> np.ndarray:
         classes[0, right_order] = np.cumsum(right_shared < width - k)
         classes[1, left_order] = np.cumsum(left_shared < k)
         same = classes[0, whole] * (len(words) + 1) + classes[1, whole]
-        order = np.lexsort((ids[whole], same))
-        at = run_starts(same[order])
+        own = runs[whole, k]
+        order = np.lexsort((ids[whole], own, same))
+        at = np.flatnonzero(np.concatenate([[True], (same[order][1:] != same[order][:-1]) | (own[order][1:] != own[order][:-1])]))
         least = np.repeat(ids[whole][order][at], np.diff([*at, len(order)]))
         out[whole[order], k] = least < ids[whole][order]
     return out
@@ -202,12 +240,12 @@ def _extended(width: int, chunks: Groups):
     left = width - prefix_for(width)
 
     def run(table: pa.Table) -> pa.Table:
-        cells, ids, several, chunk = entries_of(table, f"V{2 * (left + width)}", np.int64, np.uint8, np.int64)
-        words = _as_words(cells)
-        late = late_runs(words, ids, width)
+        cells, run_cells, ids, several, chunk = entries_of(table, f"V{2 * (left + width)}", f"V{RUN_BYTES * (left + 1)}", np.int64, np.uint8, np.int64)
+        words, runs = _as_words(cells), _as_runs(run_cells)
+        late = late_runs(words, runs, ids, width)
         told = late.any(axis=1) | (several > 0)
         masks = np.packbits(late[told], axis=1)
-        return entry_rows(chunk[told], chunks, _code(words[told]), masks.view(f"V{masks.shape[1]}").ravel())
+        return entry_rows(chunk[told], chunks, _context_code(words[told], runs[told]), masks.view(f"V{masks.shape[1]}").ravel())
 
     return run
 
@@ -225,7 +263,7 @@ def _cleaned(width: int, keep_text: bool):
         for texts in parts:
             places = kept_suffixes(texts, width) if len(codes) else np.empty(0, np.int64)
             words = _around(_letters(texts), texts.bounds, places, left, width)
-            own = _code(words)
+            own = _context_code(words, _runs(texts, places, width, left))
             at = known.where(own)
             lengths = np.stack([(words[at, :left] > 0).sum(axis=1), (words[at, left:] > 0).sum(axis=1)], axis=1)
             hits.append((places[at], np.searchsorted(codes, own[at]), texts.ids[wd.owner(texts.bounds)[places[at]]], lengths))
@@ -258,7 +296,8 @@ def suffix_dedup(docs: DataFrame, width: int = 50, keep_text: bool = True) -> Da
     Null and empty texts have no words. A null doc_id ranks after every number. Rows with the same
     doc_id, repeated ones too, take nothing from each other. A text of any length is one row of its
     chunk; one beyond CHUNK_BYTES makes the chunk as large. An empty table gives an empty table;
-    other columns of docs are ignored. Runs are compared by `width` 16-bit codes of their words.
+    other columns of docs are ignored. Runs are compared by `width` 16-bit codes of their words and a
+    40-bit code of the run.
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
@@ -268,8 +307,8 @@ def suffix_dedup(docs: DataFrame, width: int = 50, keep_text: bool = True) -> Da
     suffixes = by_chunk.groupBy("chunk").applyInArrow(_suffixes(width, buckets), entry_schema(3))
     suffixes = dealt(suffixes, buckets, f"V{2 * prefix}", np.uint8, np.int64)
     matched = dealt(suffixes.groupBy("band").applyInArrow(_neighbours(prefix, chunks), entry_schema(1)), chunks, np.uint64)
-    contexts = by_chunk.groupBy("chunk").cogroup(matched.groupBy("band")).applyInArrow(_contexts(width, buckets), entry_schema(4))
-    contexts = dealt(contexts, buckets, f"V{2 * (2 * width - prefix)}", np.int64, np.uint8, np.int64)
+    contexts = by_chunk.groupBy("chunk").cogroup(matched.groupBy("band")).applyInArrow(_contexts(width, buckets), entry_schema(5))
+    contexts = dealt(contexts, buckets, f"V{2 * (2 * width - prefix)}", f"V{RUN_BYTES * (width - prefix + 1)}", np.int64, np.uint8, np.int64)
     late = contexts.groupBy("band").applyInArrow(_extended(width, chunks), entry_schema(2))
     late = dealt(late, chunks, np.uint64, f"V{-(-(width - prefix + 1) // 8)}")
     return by_chunk.groupBy("chunk").cogroup(late.groupBy("band")).applyInArrow(_cleaned(width, keep_text), CLEANED)

@@ -2,6 +2,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 
 import culvert.llm.ngram_join as ngram_join_module
 import culvert.llm.substring_dedup as substring_dedup_module
@@ -9,6 +10,7 @@ import culvert.llm.suffix_dedup as suffix_dedup_module
 from culvert.llm import exchange
 from culvert.llm.exact_dedup import exact_dedup
 from culvert.llm.ngram_join import ngram_jaccard_components, ngram_jaccard_links
+from culvert.llm.passages import Texts
 from culvert.llm.substring_dedup import substring_dedup
 from culvert.llm.suffix_dedup import suffix_dedup
 
@@ -70,6 +72,66 @@ def test_substring_dedup_long(spark):
     assert got == {1: (200_000, 0), 2: (50_005, 50_000), 3: (20_000, 0), 4: (13, 13), 5: (12, 0)}
 
 
+def test_suffix_dedup_tells_words_of_one_code(spark):
+    """Two documents that differ in three words, of which the codes for the order are the same: no run of 50
+    words is common to them."""
+    base = [f"w{k}" for k in range(1000, 1120)]
+    other = list(base)
+    for at in (20, 60, 100):
+        base[at], other[at] = "w220", "w280"
+    rows = [(1, " ".join(base)), (2, " ".join(other))]
+    got = {r.doc_id: r.n_removed for r in suffix_dedup(frame(spark, rows), 50).collect()}
+    assert got == {1: 0, 2: 0} == {i: n for i, (_, n, _) in brute.substring_dedup(rows, 50).items()}
+
+
+def test_late_runs_of_equal_letters():
+    """Edits of one word in 10,000 passages whose letters are all the same: the runs' codes tell them apart."""
+    rng = random.Random(31)
+    width, left = 12, 12 - suffix_dedup_module.prefix_for(12)
+    passage = [f"p{k}" for k in range(24)]
+    texts = []
+    for _ in range(10_000):
+        own = list(passage)
+        own[rng.randrange(len(own))] = f"e{rng.randrange(3000)}"
+        texts.append(own)
+    batch = Texts(pa.array(range(len(texts))), pa.array([" ".join(t) for t in texts]))
+    letters = np.full(len(batch.codes), 7, np.uint16)
+    places = batch.bounds[:-1] + left  # a suffix in the same place of each
+    words = suffix_dedup_module._around(letters, batch.bounds, places, left, width)
+    runs = suffix_dedup_module._runs(batch, places, width, left)
+    assert (suffix_dedup_module._as_runs(suffix_dedup_module._run_cells(runs)) == runs).all()
+    late = suffix_dedup_module.late_runs(words, runs, batch.ids, width)
+    for k in range(left + 1):
+        seen, expected = {}, []
+        for own in texts:
+            run = tuple(own[left - k : left - k + width])
+            expected.append(run in seen)
+            seen[run] = True
+        assert late[:, k].tolist() == expected, k
+
+
+def test_suffix_dedup_with_colliding_letters(spark):
+    """Copies whose edits put words in each other's place that share the code for the order."""
+    names = [f"w{k}" for k in range(60_000)]
+    codes = Texts(pa.array([1]), pa.array([" ".join(names)])).codes >> np.uint64(48)
+    order = np.argsort(codes, kind="stable")
+    same = [order[i : i + 2] for i in range(len(order) - 1) if codes[order[i]] == codes[order[i + 1]]][:40]
+    pairs = [(names[a], names[b]) for a, b in same]
+    assert len(pairs) == 40
+    rng = random.Random(8)
+    passage = [rng.choice(pairs)[0] for _ in range(70)]
+    swap = dict(pairs) | {b: a for a, b in pairs}
+    rows = []
+    for i in range(120):
+        own = list(passage)
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(own))
+            own[at] = swap[own[at]]
+        rows.append((i, " ".join(own)))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in suffix_dedup(frame(spark, rows), 30).collect()}
+    assert got == brute.substring_dedup(rows, 30)
+
+
 def test_substring_dedup_dealt_twice(spark, monkeypatch):
     """Small chunks and buckets, more of them than bands: entries are dealt in two steps, and a sender makes no more rows than bands."""
     for module in (substring_dedup_module, suffix_dedup_module):
