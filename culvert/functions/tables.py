@@ -2,8 +2,9 @@
 
     SELECT * FROM analyze_ssn(TABLE(files) PARTITION BY network_id)
 
-files has a column text, and may have others; those of PARTITION BY make each network a partition of its
-own, which Spark deals to the tasks. The analysis is that of operators.network on one network's rows.
+files has a column text with a whole network, and may have others. The texts of a partition are analysed
+together, by operators.network on all of their rows, so larger partitions (PARTITION BY network_id % 64, or
+none) take less time a network than one partition for each.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ from culvert.sources import ssn
 from culvert.sources.formats import Piece, SsnReader
 
 
+#: Texts of a partition that are solved at a time.
+TOGETHER = 1000
+
+
 def _number(words: list[str], k: int) -> float | None:
     try:
         return None if "_" in words[k] else float(words[k])
@@ -73,10 +78,11 @@ def _rows(lines: list[tuple]) -> list[tuple]:
 
 
 def _table(rows: list[tuple]) -> pa.Table:
+    """Rows (network, tag, ord, id, s1, s2, numbers), in order of network, tag and ord."""
     count = network.NUMBERS
-    numbers = [[(r[5] + [None] * count)[k] for r in rows] for k in range(count)]
+    numbers = [[r[6][k] if k < len(r[6]) else None for r in rows] for k in range(count)]
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), *[pa.float64()] * count]
-    columns = [[1] * len(rows), *([r[k] for r in rows] for k in range(5)), *numbers]
+    columns = [*([r[k] for r in rows] for k in range(6)), *numbers]
     names = ["network_id", "tag", "ord", "id", "s1", "s2", *(f"v{k}" for k in range(count))]
     return pa.table([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=names)
 
@@ -110,18 +116,27 @@ def report_text(pipes: list[dict], nodes: list[dict]) -> str:
     return "".join(out) + "\n" + (found or CLEAR + "\n")
 
 
-def analyze_text(text: str | None) -> tuple[int | None, str]:
-    """(rp_years, report) of one `.ssn` text; (None, its first error) if it has one."""
-    data = (text or "").encode()
-    lines = [x for x in SsnReader({"path": ""}).lex(io.BytesIO(data), Piece("", 0, len(data))) if x[0]]
-    for number, key, words in lines:
-        if problem := _problem(key, words):
-            return None, f"error: line {number}: {problem}"
-    found = [row for batch in network.solve_tables(_table(_rows(lines))) for row in batch.to_pylist()]
-    of = {kind: [r for r in found if r["kind"] == kind] for kind in ("pipe", "node", "error")}
-    if of["error"]:
-        return None, f"error: {of['error'][0]['id']}"
-    return 10, report_text(of["pipe"], of["node"])
+def analyze_texts(texts: list[str | None]) -> Iterator[tuple[int | None, str]]:
+    """(rp_years, report) of each `.ssn` text; (None, its first error) of one that has any."""
+    errors: dict[int, str] = {}
+    rows: list[tuple] = []
+    for i, text in enumerate(texts):
+        data = (text or "").encode()
+        lines = [x for x in SsnReader({"path": ""}).lex(io.BytesIO(data), Piece("", 0, len(data))) if x[0]]
+        wrong = ((number, _problem(key, words)) for number, key, words in lines)
+        if first := next((x for x in wrong if x[1]), None):
+            errors[i] = f"line {first[0]}: {first[1]}"
+        else:
+            rows += [(i, *row) for row in _rows(lines)]
+    found: dict[str, dict[int, list[dict]]] = {"pipe": {}, "node": {}}
+    for batch in network.solve_tables(_table(rows)) if rows else ():
+        for row in batch.to_pylist():
+            if row["kind"] == "error":
+                errors[row["network_id"]] = row["id"]
+            else:
+                found[row["kind"]].setdefault(row["network_id"], []).append(row)
+    for i in range(len(texts)):
+        yield (None, f"error: {errors[i]}") if i in errors else (10, report_text(*(found[kind].get(i, []) for kind in ("pipe", "node"))))
 
 
 @udtf
@@ -141,10 +156,22 @@ class AnalyzeSsn:
                 schema = schema.add(name, kind)
         return AnalyzeResult(schema.add("rp_years", IntegerType()).add("text", StringType()))
 
+    def __init__(self) -> None:
+        self.leads: list[tuple] = []
+        self.texts: list[str | None] = []
+
     def eval(self, row) -> Iterator[tuple]:
         known = row.asDict()
-        lead = (known["network_id"],) if "network_id" in known else ()
-        yield (*lead, *analyze_text(known["text"]))
+        self.leads.append((known["network_id"],) if "network_id" in known else ())
+        self.texts.append(known["text"])
+        if len(self.texts) >= TOGETHER:
+            yield from self.terminate()
+
+    def terminate(self) -> Iterator[tuple]:
+        leads, texts = self.leads, self.texts
+        self.leads, self.texts = [], []
+        for lead, found in zip(leads, analyze_texts(texts), strict=True):
+            yield (*lead, *found)
 
 
 def register_tables(spark: SparkSession) -> None:

@@ -3,7 +3,7 @@ from test_files import SSN, given
 
 from culvert import cli
 from culvert.functions.registry import register
-from culvert.functions.tables import analyze_text
+from culvert.functions.tables import analyze_texts
 
 BAD = [
     "WHAT 1", "NODE A inlet 0 0 x 1 1 1", "NODE A inlet 0 0 1 1 1 1 late", "NODE A", "node A lake 1 2 3 4", "PIPE P A", "PIPE P A B 1 2", "IDF 1 2", "JUNCTIONK ten", "IDF 1 2 3\n\nMINTC",
@@ -22,6 +22,8 @@ def test_table_function_as_the_reports(spark):
     assert got.columns == ["network_id", "rp_years", "text"]
     rows = {r.network_id: (r.rp_years, r.text) for r in got.collect()}
     assert rows == expected and sum(t.startswith("error: line") for _, t in rows.values()) == 10
+    for dealt in ("", "PARTITION BY network_id % 3"):
+        assert {r.network_id: (r.rp_years, r.text) for r in spark.sql(f"SELECT * FROM analyze_ssn(TABLE(ssn_texts) {dealt})").collect()} == expected
     assert spark.sql("SELECT text FROM analyze_ssn(TABLE(SELECT text FROM ssn_texts WHERE network_id = 1))").first().text == expected[1][1]
 
 
@@ -31,5 +33,5 @@ def test_table_function_arguments(spark):
         spark.sql("SELECT * FROM analyze_ssn(TABLE(SELECT 1 AS network_id))").collect()
     with pytest.raises(Exception, match="takes TABLE|TABLE"):
         spark.sql("SELECT * FROM analyze_ssn(1)").collect()
-    assert analyze_text(None)[0] == 10 and analyze_text("")[1].startswith("===")
+    assert [(rp, text[:3]) for rp, text in analyze_texts([None, "", "WHAT"])] == [(10, "==="), (10, "==="), (None, "err")] and list(analyze_texts([])) == []
     assert spark.sql("SELECT * FROM analyze_ssn(TABLE(SELECT 1L AS network_id, '' AS text WHERE false) PARTITION BY network_id)").count() == 0
