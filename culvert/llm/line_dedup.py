@@ -54,13 +54,14 @@ def line_dedup(pages: DataFrame, host: Column, text: str, separator: str = TEXT_
     told apart by 64-bit codes.
     """
     results = ("host", "n_lines", "n_dropped", "kept_text")
-    # Working columns have names of their own, whatever the columns of pages are.
-    pages = pages.withColumns({"__host": F.coalesce(host, F.lit("")), "__lines": lines_of(text, separator)}).drop(text, *results)
-    found = boilerplate(pages.select(F.col("__host").alias("host"), F.col("__lines").alias("lines")), ratio, min_pages)
-    found = written(found.groupBy(F.col("host").alias("__host")).agg(F.collect_list("line").alias("__drop")))
-    few = found.select(F.explode("__drop")).limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    joined = pages.join(F.broadcast(found) if few else found, "__host", "left")
-    drop = F.coalesce("__drop", F.array().cast("array<bigint>"))
-    joined = joined.withColumn("__kept", F.filter("__lines", lambda x: ~F.array_contains(drop, F.xxhash64(x))))
-    joined = joined.withColumns({"n_lines": F.size("__lines").cast("bigint"), "n_dropped": (F.size("__lines") - F.size("__kept")).cast("bigint"), "kept_text": F.array_join("__kept", "\n")})
-    return joined.withColumnRenamed("__host", "host").drop("__lines", "__drop", "__kept")
+    # The columns of pages travel as one, so that none can clash with a working column.
+    others = [c for c in pages.columns if c.lower() not in (text.lower(), *results)]
+    page = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in others]) if others else F.lit(None)
+    pages = pages.select(page.alias("page"), F.coalesce(host, F.lit("")).alias("host"), lines_of(text, separator).alias("lines"))
+    found = written(boilerplate(pages, ratio, min_pages).groupBy("host").agg(F.collect_list("line").alias("drop")))
+    few = found.select(F.explode("drop")).limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    joined = pages.join(F.broadcast(found) if few else found, "host", "left")
+    drop = F.coalesce("drop", F.array().cast("array<bigint>"))
+    joined = joined.withColumn("kept", F.filter("lines", lambda x: ~F.array_contains(drop, F.xxhash64(x))))
+    counts = [F.size("lines").cast("bigint").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("bigint").alias("n_dropped"), F.array_join("kept", "\n").alias("kept_text")]
+    return joined.select(*["page.*"][: len(others)], "host", *counts)

@@ -151,6 +151,18 @@ def test_line_dedup_shuffled(spark, monkeypatch):
     assert got == sorted([(-1, 1, 0), (50, 50_000, 0), (3, 4, 3), *[(k, 4, 3 if k % 3 == 0 else 2) for k in range(9)]])
 
 
+def test_line_dedup_keeps_all_columns(spark):
+    """Columns with the names of working columns, of other columns' results in other cases, and with odd names."""
+    names = ["page", "lines", "drop", "kept", "line", "__host", "__drop", "__lines", "__kept", "pages", "n", "a.b", "c`d"]
+    rows = [(k, "h", f"top\nown {k}") for k in range(5)]
+    pages = spark.createDataFrame(rows, "page_id bigint, h string, html string").withColumns({c: F.lit(f"<{c}>") for c in names}).withColumn("HOST", F.lit("old"))
+    found = line_dedup(pages, F.col("h"), "html")
+    assert found.columns == ["page_id", "h", *names, "host", "n_lines", "n_dropped", "kept_text"]
+    assert {tuple(r)[2:15] for r in found.collect()} == {tuple(f"<{c}>" for c in names)}
+    assert sorted((r.page_id, r.host, r.n_lines, r.n_dropped, r.kept_text) for r in found.collect()) == [(k, "h", 2, 1, f"own {k}") for k in range(5)]
+    assert line_dedup(pages.select("html"), F.lit("x"), "html").columns == ["host", "n_lines", "n_dropped", "kept_text"]
+
+
 def test_license_scan(spark):
     rng = random.Random(6)
     fill = ["the", "of", "license", "MIT", "mit", "apache", "general", "public", "under", "wörter", "any", "software"]
