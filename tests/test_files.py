@@ -8,6 +8,7 @@ from culvert import cli
 from culvert.functions.hydrology import atlas_to_idf
 from culvert.operators.design import pipe_costs, review, size_network
 from culvert.operators.network import analyze
+from culvert.operators.validation import validate
 from culvert.schema import IDF, Options, Params
 from culvert.sinks import drawing, report
 from culvert.sources import dxf, landxml, noaa, project, ssn, stm
@@ -54,7 +55,12 @@ def test_projects(spark):
     assert p.errors.count() == 0 and engine_flows(p)["P3"] == pytest.approx(8.4768, abs=1e-4)
     assert p.settings.first().p2_rainfall_in == 3.0 and p.settings.first().units == "us_customary"
     again = project.parse_projects(drawing.project_texts(p))
-    assert engine_flows(again) == engine_flows(p) and again.catchments.count() == 0
+    assert engine_flows(again) == engine_flows(p) and again.catchments.count() == 1
+    area = p.catchments.first()
+    assert (area.id, area.inlet, area.c, [tuple(v) for v in area.vertices]) == ("C1", "N1", 0.7, [(-40.0, 80.0), (40.0, 80.0), (0.0, 140.0)])
+    blank = project.empty(spark, "New")
+    assert validate(blank.settings, blank.nodes, blank.pipes).count() == 0 and blank.settings.first().name == "New"
+    assert [(r.id, r.kind, r.x, r.y) for r in blank.nodes.collect()] == [("OUT", "outfall", 0.0, 0.0)]
     every = project.engine_tables(p, all_periods=True)
     assert {r.rp_years for r in every.idf.collect()} == {2, 5, 10, 25, 50, 100}
     assert project.parse_projects(given(spark, '{"name": "x"}')).errors.first().error.startswith("missing: idf_a")
