@@ -145,6 +145,6 @@ def test_geometry_and_units(spark):
 
 def test_sql_functions(spark):
     names = registry.register(spark)
-    assert len(names) == 6
+    assert len(names) == 7
     row = spark.sql("SELECT manning_full_flow_circular(0.013D, 0.005D, 2D) q, normal_depth_circular(0.525D, 0.013D, 0.0033D, 8D/12D) y, critical_depth_circular(10D, 2D) c, kirpich_tc(500D, 0.01D) k, rational_peak(0.85D, 5.1D, 2D) r, tr55_sheet_flow(200D, 0.01D, 0.011D, 2.5D) t").first()
     assert row.q == pytest.approx(16.04, abs=0.02) and row.y == pytest.approx(0.433, abs=0.002) and row.k == pytest.approx(5.5, abs=0.02) and row.t == pytest.approx(3.15, abs=0.03)
