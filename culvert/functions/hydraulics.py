@@ -1,4 +1,4 @@
-"""Manning and section geometry as Column expressions; all stay in whole-stage code generation.
+"""Manning and section geometry as Column expressions; closed forms stay in whole-stage code generation.
 
 Arguments are Columns or column names. Sections are (shape, rise, span); any other shape than
 rectangular, elliptical and arch is circular with diameter `rise`.
@@ -156,7 +156,7 @@ def equal_area_diameter(shape, rise, span) -> Column:
     return F.sqrt(4.0 * section_area_full(shape, rise, span) / F.lit(math.pi))
 
 
-# The kernels below iterate; they run on Arrow batches with NumPy.
+# The kernels below iterate over sections of mixed shapes; they run on Arrow batches with NumPy.
 
 
 def _udf(f):
@@ -188,19 +188,75 @@ def _section(shape, rise, span):
     return (F.coalesce(col(shape), F.lit("circular")), col(rise), F.coalesce(col(span), col(rise)))
 
 
+def _halved(lo: Column, hi: Column, given: dict[str, Column], goes_up) -> Column:
+    """The middle of [lo, hi] halved until narrower than the tolerance. `goes_up(mid, given)` keeps the
+    upper half; what is given is computed once a row. Evaluated in the JVM, about 25 steps a row."""
+    steps = F.least(F.lit(200), F.greatest(F.lit(1), (F.floor(F.log2((hi - lo) / solvers.TOLERANCE)) + 1).cast("int")))
+    bracket = lambda lo, hi, given: F.struct(lo.alias("lo"), hi.alias("hi"), given.alias("given"))
+
+    def halve(acc, _):
+        mid = 0.5 * (acc["lo"] + acc["hi"])
+        return F.when(goes_up(mid, acc["given"]), bracket(mid, acc["hi"], acc["given"])).otherwise(bracket(acc["lo"], mid, acc["given"]))
+
+    start = bracket(lo, hi, F.struct(*[c.cast("double").alias(k) for k, c in given.items()]))
+    return F.aggregate(F.sequence(F.lit(1), steps), start, halve, lambda acc: 0.5 * (acc["lo"] + acc["hi"]))
+
+
+def _wetted(shape: str, y: Column, rise: Column, span: Column) -> tuple[Column, Column, Column]:
+    """Area, perimeter and top width of a circle or box at a depth inside of it."""
+    if shape == "rectangular":
+        return span * y, span + 2.0 * y, span
+    t = circular_angle(y, rise)
+    return rise * rise / 8.0 * (t - F.sin(t)), rise * t / 2.0, rise * F.sin(t / 2.0)
+
+
+#: Shapes whose depths Catalyst expressions find; the others' need Simpson's rule or two cases, in NumPy.
+_CLOSED = ("circular", "rectangular")
+
+
 def normal_depth(q, n, s, rise, shape="circular", span=None) -> Column:
-    """Depth of uniform flow; NULL where the flow exceeds the largest open-channel flow.
+    """Depth of uniform flow; 0 without flow, NULL where the flow exceeds the largest open-channel flow
+    or anything is missing.
 
-    `shape` is a Column, or the name of a shape for all rows.
+    `shape` is a Column, or the name of a shape for all rows. Named circles and boxes need no Python
+    worker; shapes by row run in NumPy.
     """
-    shape = F.lit(shape) if isinstance(shape, str) else shape
-    found = _normal(col(q), col(n), col(s), *_section(shape, rise, rise if span is None else span))
-    return F.when(~F.isnan(found), found)
+    if not (isinstance(shape, str) and shape in _CLOSED):
+        shape = F.lit(shape) if isinstance(shape, str) else shape
+        found = _normal(col(q), col(n), col(s), *_section(shape, rise, rise if span is None else span))
+        return F.when(~F.isnan(found), found)
+    q, n, s, rise = (col(c).cast("double") for c in (q, n, s, rise))
+    span = rise if span is None else col(span).cast("double")
+    deepest = rise if shape == "rectangular" else rise * solvers.CIRCLE_PEAK / solvers.GRID
+    area, perimeter, _ = _wetted(shape, deepest, rise, span)
+    q_max = manning_q(n, s, area, positive(perimeter > 0, area / perimeter))
+    # K/n A^(5/3) P^(-2/3) S^(1/2) > Q, cubed: no fractional power in the loop.
+    unit = K_US * F.sqrt(s)
+    given = {"cube": F.pow(positive(unit > 0, q * n / unit), F.lit(3.0)), "rise": rise, "span": span}
+
+    def goes_up(mid, g):
+        area, perimeter, _ = _wetted(shape, mid, g["rise"], g["span"])
+        return F.pow(area, F.lit(5.0)) <= g["cube"] * F.pow(perimeter, F.lit(2.0))
+
+    whole = q.isNotNull() & n.isNotNull() & s.isNotNull() & rise.isNotNull() & span.isNotNull()
+    return F.when(whole & (q <= 0), F.lit(0.0)).when(whole & (q <= q_max), _halved(F.lit(0.0), deepest, given, goes_up))
 
 
 def critical_depth(q, rise, shape="circular", span=None, g: float = G_US) -> Column:
-    shape = F.lit(shape) if isinstance(shape, str) else shape
-    return _critical(col(q) * F.lit(math.sqrt(G_US / g)), *_section(shape, rise, rise if span is None else span))
+    """Depth at which Q^2 T = g A^3; 0 without flow. Named circles and boxes need no Python worker."""
+    if not (isinstance(shape, str) and shape in _CLOSED):
+        shape = F.lit(shape) if isinstance(shape, str) else shape
+        return _critical(col(q) * F.lit(math.sqrt(G_US / g)), *_section(shape, rise, rise if span is None else span))
+    q, rise = col(q).cast("double"), col(rise).cast("double")
+    span = rise if span is None else col(span).cast("double")
+    given = {"share": q * q / g, "rise": rise, "span": span}
+
+    def goes_up(mid, v):
+        area, _, top = _wetted(shape, mid, v["rise"], v["span"])
+        return v["share"] * top > F.pow(area, F.lit(3.0))
+
+    whole = q.isNotNull() & rise.isNotNull() & span.isNotNull()
+    return F.when(whole & (q <= 0), F.lit(0.0)).when(whole, _halved(1e-6 * rise, 0.999 * rise, given, goes_up))
 
 
 def section_geometry(y, shape, rise, span) -> Column:

@@ -12,7 +12,7 @@ from culvert.schema import G_US, K_US
 GRID, CIRCLE_PEAK = 2000, 1876
 CIRCULAR, RECTANGULAR, ELLIPTICAL, ARCH = range(4)
 SHAPES = {"circular": CIRCULAR, "rectangular": RECTANGULAR, "elliptical": ELLIPTICAL, "arch": ARCH}
-_TOLERANCE, _SIMPSON = 1e-7, 256
+TOLERANCE, _SIMPSON = 1e-7, 256
 _REACH_STEPS, _ROOT_STEPS = 12, 60
 _peaks: dict[tuple[int, float], int] = {}
 
@@ -136,7 +136,7 @@ def _bisect(lo, hi, goes_up):
         mid = 0.5 * (lo + hi)
         up = goes_up(mid)
         lo, hi = np.where(open_ & up, mid, lo), np.where(open_ & ~up, mid, hi)
-        open_ &= hi - lo >= _TOLERANCE
+        open_ &= hi - lo >= TOLERANCE
         if not open_.any():
             break
     return 0.5 * (lo + hi)
