@@ -188,10 +188,56 @@ def _section(shape, rise, span):
     return (F.coalesce(col(shape), F.lit("circular")), col(rise), F.coalesce(col(span), col(rise)))
 
 
+def _steps(width: Column) -> Column:
+    """How often a bracket is halved until it is narrower than the tolerance."""
+    return F.least(F.lit(200), F.greatest(F.lit(1), (F.floor(F.log2(width / solvers.TOLERANCE)) + 1).cast("int")))
+
+
+def _above(value: Column) -> Column:
+    """A divisor: ANSI mode fails on 0."""
+    return F.greatest(value, F.lit(1e-300))
+
+
+def _tabled(x: Column, table: solvers.DepthTable) -> Column:
+    """The table's polynomial at x (0 to 1 of its range): lookups and products, compiled with the rest."""
+    count = len(table.pieces)
+    place = F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)) * float(count)
+    piece = F.least(F.floor(place).cast("int"), F.lit(count - 1))
+    z = 2.0 * (place - piece) - 1.0
+    total = F.lit(0.0)
+    for power in reversed(table.pieces.T):
+        total = total * z + F.get(F.array(*[F.lit(float(c)) for c in power]), piece)
+    return total
+
+
+def _latticed(y: Column, lo: Column, hi: Column) -> Column:
+    """The middle of the cell of y, of the cells that halving [lo, hi] ends in."""
+    cells = F.pow(F.lit(2.0), _steps(hi - lo))
+    width = (hi - lo) / cells
+    cell = F.least(F.greatest(F.floor((y - lo) / _above(width)).cast("double"), F.lit(0.0)), cells - 1.0)
+    return lo + (cell + 0.5) * width
+
+
+def _normal_circle(q: Column, n: Column, s: Column, d: Column) -> Column:
+    table = solvers.normal_table()
+    share = q * n / _above(K_US * table.unit * F.sqrt(F.greatest(s, F.lit(0.0))) * F.pow(d, F.lit(8.0 / 3.0)))
+    x = F.sqrt(F.greatest(F.lit(0.0), 1.0 - F.pow(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)), F.lit(3.0 / 13.0))))
+    depth = _latticed(d * _tabled(x, table), F.lit(0.0), d * solvers.CIRCLE_PEAK / solvers.GRID)
+    # A factor, not a branch around the depth: only what every row needs is computed once.
+    return depth * F.when(q <= 0, 0.0).when(q <= max_capacity(n, s, d), 1.0)
+
+
+def _critical_circle(q: Column, d: Column, g: float) -> Column:
+    table = solvers.critical_table()
+    v = F.pow(q * q / _above(g * F.pow(d, F.lit(5.0))), F.lit(0.125))
+    depth = _latticed(d * _tabled(v / (1.0 + v) / table.top, table), 1e-6 * d, 0.999 * d)
+    return depth * F.when(q <= 0, 0.0).when(q.isNotNull(), 1.0)
+
+
 def _halved(lo: Column, hi: Column, given: dict[str, Column], goes_up) -> Column:
-    """The middle of [lo, hi] halved until narrower than the tolerance. `goes_up(mid, given)` keeps the
-    upper half; what is given is computed once a row. Evaluated in the JVM, about 25 steps a row."""
-    steps = F.least(F.lit(200), F.greatest(F.lit(1), (F.floor(F.log2((hi - lo) / solvers.TOLERANCE)) + 1).cast("int")))
+    """The middle of [lo, hi] halved until narrower than the tolerance, about 25 steps in the JVM.
+    `goes_up(mid, given)` keeps the upper half; what is given is computed once a row."""
+    steps = _steps(hi - lo)
     bracket = lambda lo, hi, given: F.struct(lo.alias("lo"), hi.alias("hi"), given.alias("given"))
 
     def halve(acc, _):
@@ -202,15 +248,12 @@ def _halved(lo: Column, hi: Column, given: dict[str, Column], goes_up) -> Column
     return F.aggregate(F.sequence(F.lit(1), steps), start, halve, lambda acc: 0.5 * (acc["lo"] + acc["hi"]))
 
 
-def _wetted(shape: str, y: Column, rise: Column, span: Column) -> tuple[Column, Column, Column]:
-    """Area, perimeter and top width of a circle or box at a depth inside of it."""
-    if shape == "rectangular":
-        return span * y, span + 2.0 * y, span
-    t = circular_angle(y, rise)
-    return rise * rise / 8.0 * (t - F.sin(t)), rise * t / 2.0, rise * F.sin(t / 2.0)
+def _box(y: Column, span: Column) -> tuple[Column, Column, Column]:
+    """Area, perimeter and top width of a box at a depth inside of it."""
+    return span * y, span + 2.0 * y, span
 
 
-#: Shapes whose depths Catalyst expressions find; the others' need Simpson's rule or two cases, in NumPy.
+#: Shapes whose depths Catalyst expressions find; the others' run in NumPy.
 _CLOSED = ("circular", "rectangular")
 
 
@@ -218,28 +261,29 @@ def normal_depth(q, n, s, rise, shape="circular", span=None) -> Column:
     """Depth of uniform flow; 0 without flow, NULL where the flow exceeds the largest open-channel flow
     or anything is missing.
 
-    `shape` is a Column, or the name of a shape for all rows. Named circles and boxes need no Python
-    worker; shapes by row run in NumPy.
+    `shape` is a Column, or the name of a shape for all rows. Named circles (a table of polynomials in
+    one dimensionless flow) and boxes (halving) need no Python worker; shapes by row run in NumPy.
     """
     if not (isinstance(shape, str) and shape in _CLOSED):
         shape = F.lit(shape) if isinstance(shape, str) else shape
         found = _normal(col(q), col(n), col(s), *_section(shape, rise, rise if span is None else span))
         return F.when(~F.isnan(found), found)
     q, n, s, rise = (col(c).cast("double") for c in (q, n, s, rise))
+    if shape == "circular":
+        return _normal_circle(q, n, s, rise)
     span = rise if span is None else col(span).cast("double")
-    deepest = rise if shape == "rectangular" else rise * solvers.CIRCLE_PEAK / solvers.GRID
-    area, perimeter, _ = _wetted(shape, deepest, rise, span)
+    area, perimeter, _ = _box(rise, span)
     q_max = manning_q(n, s, area, positive(perimeter > 0, area / perimeter))
     # K/n A^(5/3) P^(-2/3) S^(1/2) > Q, cubed: no fractional power in the loop.
     unit = K_US * F.sqrt(s)
-    given = {"cube": F.pow(positive(unit > 0, q * n / unit), F.lit(3.0)), "rise": rise, "span": span}
+    given = {"cube": F.pow(positive(unit > 0, q * n / unit), F.lit(3.0)), "span": span}
 
     def goes_up(mid, g):
-        area, perimeter, _ = _wetted(shape, mid, g["rise"], g["span"])
+        area, perimeter, _ = _box(mid, g["span"])
         return F.pow(area, F.lit(5.0)) <= g["cube"] * F.pow(perimeter, F.lit(2.0))
 
     whole = q.isNotNull() & n.isNotNull() & s.isNotNull() & rise.isNotNull() & span.isNotNull()
-    return F.when(whole & (q <= 0), F.lit(0.0)).when(whole & (q <= q_max), _halved(F.lit(0.0), deepest, given, goes_up))
+    return F.when(whole & (q <= 0), F.lit(0.0)).when(whole & (q <= q_max), _halved(F.lit(0.0), rise, given, goes_up))
 
 
 def critical_depth(q, rise, shape="circular", span=None, g: float = G_US) -> Column:
@@ -248,11 +292,13 @@ def critical_depth(q, rise, shape="circular", span=None, g: float = G_US) -> Col
         shape = F.lit(shape) if isinstance(shape, str) else shape
         return _critical(col(q) * F.lit(math.sqrt(G_US / g)), *_section(shape, rise, rise if span is None else span))
     q, rise = col(q).cast("double"), col(rise).cast("double")
+    if shape == "circular":
+        return _critical_circle(q, rise, g)
     span = rise if span is None else col(span).cast("double")
-    given = {"share": q * q / g, "rise": rise, "span": span}
+    given = {"share": q * q / g, "span": span}
 
     def goes_up(mid, v):
-        area, _, top = _wetted(shape, mid, v["rise"], v["span"])
+        area, _, top = _box(mid, v["span"])
         return v["share"] * top > F.pow(area, F.lit(3.0))
 
     whole = q.isNotNull() & rise.isNotNull() & span.isNotNull()
