@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from culvert.functions.hydraulics import col, positive
-from culvert.functions.solvers import fit_idf
 from culvert.schema import K_US, SYNTHETIC_FACTORS
 
 
@@ -100,18 +99,63 @@ def synthetic_set(curves: DataFrame) -> DataFrame:
     return made.unionByName(curves.filter(~F.col("rp_years").isin(*SYNTHETIC_FACTORS)).select("network_id", "rp_years", "a", "b", "c"))
 
 
-def fit_idf_curves(intensities: DataFrame, keys: list[str]) -> DataFrame:
-    """IDF curves (keys, a, b, c) fitted to (keys, duration_min, intensity); groups of fewer than
-    three points are left out. A group is one table column: a few dozen points."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in intensities.select(*keys).schema)
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _line(points: Column, b: Column) -> Column:
+    """struct(error, cut, slope) of ln i = cut + slope ln(t + b) by weighted least squares over points
+    (w, t, y); an endless error where all t are one."""
+    total = lambda of, f: F.aggregate(of, F.lit(0.0), lambda acc, p: acc + f(p))
+    logs = F.transform(points, lambda p: F.struct(p["w"].alias("w"), F.ln(p["t"] + b).alias("x"), p["y"].alias("y")))
+
+    def means(of):
+        w = total(of, lambda p: p["w"])
+        spread = F.array_max(F.transform(of, lambda p: p["x"])) - F.array_min(F.transform(of, lambda p: p["x"]))
+        m = F.struct((total(of, lambda p: p["w"] * p["x"]) / w).alias("x"), (total(of, lambda p: p["w"] * p["y"]) / w).alias("y"), spread.alias("spread"))
+        return _let(m, lambda m: F.when(m["spread"] >= 1e-9, sloped(of, m)).otherwise(F.struct(F.lit(float("inf")).alias("error"), F.lit(None).cast("double").alias("cut"), F.lit(0.0).alias("slope"))))
+
+    def sloped(of, m):
+        around = lambda p, c: p[c] - m[c]
+        slope = total(of, lambda p: p["w"] * around(p, "x") * around(p, "y")) / total(of, lambda p: p["w"] * around(p, "x") * around(p, "x"))
+        return _let(slope, lambda k: F.struct(total(of, lambda p: p["w"] * F.pow(around(p, "y") - k * around(p, "x"), F.lit(2.0))).alias("error"), (m["y"] - k * m["x"]).alias("cut"), k.alias("slope")))
 
-    def fitted(key, points):
-        import pandas as pd
+    return _let(logs, means)
 
-        found = [] if len(points) < 3 else [(*key, *fit_idf(points["duration_min"], points["intensity"]))]
-        return pd.DataFrame(found, columns=[*keys, "a", "b", "c"])
 
-    return intensities.groupBy(*keys).applyInPandas(fitted, f"{schema}, a double, b double, c double")
+def _best_shift(points: Column) -> Column:
+    """b of the least error: on a grid of quarter minutes to 40, then by 40 steps that keep the better
+    half around it."""
+    error = lambda b: _line(points, b)["error"]
+    first = F.when(F.array_min(F.transform(points, lambda p: p["t"])) > 0, 0).otherwise(1)
+    tried = F.transform(F.sequence(first, F.lit(160)), lambda k: _let(k * 0.25, lambda b: F.struct(error(b).alias("error"), b.alias("b"))))
+    bracket = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+
+    def halve(acc, _):
+        return _let(0.5 * (acc["lo"] + acc["hi"]), lambda m: F.when(error(0.5 * (acc["lo"] + m)) < error(0.5 * (m + acc["hi"])), bracket(acc["lo"], m)).otherwise(bracket(m, acc["hi"])))
+
+    start = _let(F.array_min(tried)["b"], lambda b: bracket(F.greatest(F.lit(0.0), b - 0.25), b + 0.25))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, halve, lambda acc: 0.5 * (acc["lo"] + acc["hi"]))
+
+
+def fit_idf_curves(intensities: DataFrame, keys: list[str]) -> DataFrame:
+    """IDF curves i = a / (t + b)^c (keys, a, b, c) fitted to (keys, duration_min, intensity) by least
+    squares on logarithms; groups of fewer than three points are left out.
+
+    Points without a duration of 0 or more or without an intensity don't count; an intensity below 1e-9
+    counts as that; points of one duration alone give a = c = 0. Points of one duration are summed
+    first, which leaves the fit as it is, so a group holds its durations, not its rows: one shuffle by
+    keys and duration, one by keys, and expressions.
+    """
+    t, i = F.col("duration_min").cast("double"), F.col("intensity").cast("double")
+    given = intensities.select(*keys, t.alias("_t"), F.ln(F.greatest(i, F.lit(1e-9))).alias("_y")).filter((t >= 0) & i.isNotNull() & ~F.isnan(i) & ~F.isnan(t))
+    summed = given.groupBy(*keys, "_t").agg(F.count("*").alias("_n"), F.avg("_y").alias("_y"))
+    point = F.struct(F.col("_t").alias("t"), F.col("_n").cast("double").alias("w"), F.col("_y").alias("y"))
+    # In order of t: sums of doubles come out the same in every run.
+    grouped = summed.groupBy(*keys).agg(F.sum("_n").alias("_n"), F.sort_array(F.collect_list(point)).alias("_points")).filter("_n >= 3")
+    fitted = grouped.withColumn("_b", _best_shift(F.col("_points"))).withColumn("_f", _line(F.col("_points"), F.col("_b")))
+    return fitted.select(*keys, F.coalesce(F.exp("_f.cut"), F.lit(0.0)).alias("a"), F.col("_b").alias("b"), (0.0 - F.col("_f.slope")).alias("c"))
 
 
 def atlas_to_idf(depths: DataFrame, max_duration_min: float = 180.0, keys: tuple[str, ...] = ("network_id",)) -> DataFrame:

@@ -282,31 +282,6 @@ def access_hole_loss(v_out, d_out, access_diam, cos, depth, d_in, bench, plunge=
     return k * v_out * v_out / (2.0 * g)
 
 
-def fit_idf(duration_min, intensity) -> tuple[float, float, float]:
-    """(a, b, c) of i = a / (t + b)^c by least squares on logarithms: b from a grid of quarter
-    minutes to 40, then by 40 steps that keep the better half around it."""
-    t, ln_i = np.asarray(duration_min, float), np.log(np.maximum(np.asarray(intensity, float), 1e-9))
-
-    def fitted(b):
-        x = np.log(t + b)
-        if np.ptp(x) < 1e-9:
-            return math.inf, 0.0, 0.0
-        slope, cut = np.polyfit(x, ln_i, 1)
-        return float(((ln_i - np.polyval((slope, cut), x)) ** 2).sum()), math.exp(cut), -slope
-
-    best = min((k * 0.25 for k in range(0 if t.min() > 0 else 1, 161)), key=lambda b: fitted(b)[0])
-    lo, hi = max(0.0, best - 0.25), best + 0.25
-    for _ in range(40):
-        mid = 0.5 * (lo + hi)
-        if fitted(0.5 * (lo + mid))[0] < fitted(0.5 * (mid + hi))[0]:
-            hi = mid
-        else:
-            lo = mid
-    b = 0.5 * (lo + hi)
-    _, a, c = fitted(b)
-    return a, b, c
-
-
 def pipe_state(q, s, n, d):
     """Velocity, share of the full capacity and whether the flow exceeds the largest open-channel
     flow, of circular pipes."""
