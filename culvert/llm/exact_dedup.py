@@ -172,10 +172,10 @@ def exact_dedup(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """All columns of docs (doc_id, text, ...) and keep_id, group_size, kept, text_sha256.
 
     Texts are equal when equal without blanks; null counts as empty. Of equal texts the row with
-    the most code points stays, then the smallest doc_id; a null doc_id ranks last. A row that
-    repeats both id and text of another counts in group_size and is kept or dropped with it. Contents
-    of any length are compared whole. An
-    empty table gives an empty table. Columns of docs with the names of results are replaced.
+    the most code points stays, then the smallest doc_id; a null doc_id ranks last. Rows of one
+    doc_id with equal texts (repeated, or different in blanks alone) each count in group_size and are
+    kept or dropped together. Contents of any length are compared whole. An empty table gives an
+    empty table. Columns of docs with the names of results are replaced.
     """
     results = ("keep_id", "group_size", "kept", "text_sha256")
     keyed = docs.drop(*results).withColumn("text_sha256", text_key())
