@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from culvert.llm.exchange import bounded_batches, packed, unpacked, written
@@ -45,8 +45,6 @@ PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _LONG_RUN = re.compile(r"\S{1000}|\s{1000}|[\x1c-\x1f\x85\xa0]")
 #: About how many bytes of known words a worker holds, in each of two generations; longest known word.
 MEMORY_BYTES, MEMORY_WORD, _ENTRY = 64 << 20, 48, 260
-#: B ids up to which their largest counts are broadcast (16 bytes each).
-BROADCAST_IDS = 1_000_000
 _NONE = 2
 #: Blanks and marks before a space between which and the space a text is not cut.
 _BLANKS = frozenset(chr(c) for a, b in ((0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x180E, 0x180E), (0x2000, 0x200F), (0x2028, 0x202F), (0x205F, 0x206F), (0x3000, 0x3000), (0xFEFF, 0xFEFF)) for c in range(a, b + 1))
@@ -498,30 +496,40 @@ def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["chunk", "number", "code", "n"])
 
 
-def _scores(links: pa.Table, told: pa.Table) -> pa.Table:
-    """(key, n_best, count_sum) of the documents of a chunk's links."""
-    number = np.asarray(told.column("number"))
-    counts, best = np.zeros(number.max(initial=-1) + 1, np.int64), np.zeros(number.max(initial=-1) + 1, np.int64)
-    counts[number], best[number] = np.asarray(told.column("total")), np.asarray(told.column("best")).astype(np.int64)
-    out: list[list[np.ndarray]] = [[], [], []]
-    for row in zip(*(links.column(c) for c in ("c0", "c1", "c2", "c3")), strict=True):
-        keys, sizes, step, times = (unpacked(zstandard.decompress(x.as_buffer()), kind).astype(np.int64) for x, kind in zip(row, (np.int64, "<u4", "<u4", "<u4"), strict=True))
-        heads = np.cumsum(sizes) - sizes
-        run = np.cumsum(step)
-        at = run - np.repeat(run[heads] - step[heads], sizes)
-        for k, values in enumerate((keys, np.add.reduceat(best[at] * times, heads), np.add.reduceat(counts[at] * times, heads))):
-            out[k].append(values)
-    return pa.Table.from_arrays([pa.array(np.concatenate(c) if c else np.empty(0, np.int64)) for c in out], names=["key", "n_best", "count_sum"])
+def _scores(most: np.ndarray):
+    """most: the largest count of each B id."""
+
+    def run(links: pa.Table, told: pa.Table) -> pa.Table:
+        """(key, n_best, count_sum) of the documents of a chunk's links."""
+        number, total = np.asarray(told.column("number")), np.asarray(told.column("total"))
+        counts, best = np.zeros(number.max(initial=-1) + 1, np.int64), np.zeros(number.max(initial=-1) + 1, np.int64)
+        counts[number], best[number] = total, total == most[np.asarray(told.column("b"))]
+        out: list[list[np.ndarray]] = [[], [], []]
+        for row in zip(*(links.column(c) for c in ("c0", "c1", "c2", "c3")), strict=True):
+            keys, sizes, step, times = (unpacked(zstandard.decompress(x.as_buffer()), kind).astype(np.int64) for x, kind in zip(row, (np.int64, "<u4", "<u4", "<u4"), strict=True))
+            heads = np.cumsum(sizes) - sizes
+            upto = np.cumsum(step)
+            at = upto - np.repeat(upto[heads] - step[heads], sizes)
+            for k, values in enumerate((keys, np.add.reduceat(best[at] * times, heads), np.add.reduceat(counts[at] * times, heads))):
+                out[k].append(values)
+        return pa.Table.from_arrays([pa.array(np.concatenate(c) if c else np.empty(0, np.int64)) for c in out], names=["key", "n_best", "count_sum"])
+
+    return run
+
+
+def pair_counts(pairs: DataFrame) -> DataFrame:
+    """(chunk, number, b, total) of numbered pairs (chunk, number, code, n), a row each: the B id, and
+    the links of the id pair over the corpus. A pair has at most a row a chunk."""
+    total = F.sum("n").over(Window.partitionBy("code")).alias("total")
+    return written(pairs.select("chunk", "number", F.col("code").bitwiseAND(0xFFFFFFFF).alias("b"), total))
 
 
-def pair_counts(pairs: DataFrame, b_ids: int) -> DataFrame:
-    """(code, total, best) of numbered pairs: links of an id pair over the corpus, and whether no
-    pair of its B id has more."""
-    counts = written(pairs.groupBy("code").agg(F.sum("n").alias("total")).withColumn("b", F.col("code").bitwiseAND(0xFFFFFFFF)))
-    most = counts.groupBy("b").agg(F.max("total").alias("most"))
-    if b_ids <= BROADCAST_IDS:
-        most = F.broadcast(most)
-    return counts.join(most, "b").select("code", "total", (F.col("total") == F.col("most")).alias("best"))
+def largest_counts(told: DataFrame, b_ids: int) -> np.ndarray:
+    """The largest total of each B id, an array of the vocabulary's length."""
+    most = np.zeros(b_ids, np.int64)
+    for b, n in told.groupBy("b").agg(F.max("total")).collect():
+        most[b] = n
+    return most
 
 
 def align_tokens(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -543,10 +551,9 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     found = written(swept(token_events(docs, path_a, path_b), bytes_a, bytes_b))
     numbered = found.filter("lo IS NOT NULL").select("chunk", "lo", "c0", "c1")
     pairs = numbered.mapInArrow(_pair_rows, "chunk bigint, number bigint, code bigint, n bigint")
-    counts = pair_counts(pairs.select("code", "n"), len(bytes_b))
-    told = pairs.select("chunk", "number", "code").join(counts, "code").select("chunk", "number", "total", "best")
+    told = pair_counts(pairs)
     links = found.filter("c3 IS NOT NULL").select("chunk", "c0", "c1", "c2", "c3")
-    scores = links.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_scores, "key bigint, n_best bigint, count_sum bigint")
+    scores = links.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_scores(largest_counts(told, len(bytes_b))), "key bigint, n_best bigint, count_sum bigint")
     rows = found.filter("key IS NOT NULL").select("key", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
     both = rows.unionByName(scores, allowMissingColumns=True)
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")]

@@ -151,3 +151,44 @@ def test_a_table(spark, sides):
     found = queries.op12_alignment(spark, "/root/testdata/sf0.001")
     assert found.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     assert got(found) == brute(sides, rows)
+
+
+def ran(plan):
+    """Names and output rows of the nodes of a plan that ran."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return ran(plan.executedPlan())
+    if name.endswith("QueryStage"):
+        return ran(plan.plan())
+    metrics, children = plan.metrics(), plan.children().iterator()
+    found = [(name, metrics.apply("numOutputRows").value() if metrics.contains("numOutputRows") else 0)]
+    while children.hasNext():
+        found += ran(children.next())
+    return found
+
+
+def test_joins_do_not_grow_with_tasks(spark, sides):
+    """Every one of many tasks asks for the same pairs: no join multiplies pairs of ids by tasks."""
+    rows = [(k, f"the same few words, {t}") for k, t in enumerate(["again and again", "once more"] * 60)]
+    pairs = {x for _, text in rows[:2] for x in _links(sides, text)}
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(old, ("24", "false"), strict=True):
+            spark.conf.set(k, v)
+        found = align_tokens(frame(spark, rows), *PATHS)
+        assert got(found) == brute(sides, rows)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    made = ran(found._jdf.queryExecution().executedPlan())
+    assert any("CoGroups" in name for name, _ in made)
+    assert all(n <= len(pairs) for name, n in made if "Join" in name or name == "Generate"), (made, len(pairs))
+
+
+def _links(sides, text):
+    """Pairs of ids whose tokens overlap."""
+    spans = []
+    for ids, side in zip(whole(sides, text), sides, strict=True):
+        ends = np.cumsum([len(side.bytes[i]) for i in ids]).tolist()
+        spans.append(list(zip([0, *ends[:-1]], ends, ids, strict=True)))
+    return {(x, y) for s, e, x in spans[0] for t, f, y in spans[1] if s < f and t < e}
