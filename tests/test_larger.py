@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from culvert.functions import solvers
+from culvert.operators import graph
 
 
 def test_backwater_takes_the_root_that_halving_finds():
@@ -12,3 +13,17 @@ def test_backwater_takes_the_root_that_halving_finds():
     pipe = solvers.Sections(np.zeros(1, int), one(2.0), one(2.0))
     up = solvers.backwater(pipe, one(0.013), one(17.992586661611), one(112.24), one(115.04), one(400.0), one(114.47693701123038), one(1.527863350569457), one(1.5531433210968972))
     assert up[0] - 115.04 == pytest.approx(1.897853086568, abs=1e-9)
+
+
+@pytest.fixture
+def limited(spark):
+    """(nodes, pipes) of a tree of 40 nodes, in a session that allows a recursion 50 rows."""
+    nodes = spark.range(40).selectExpr("1L AS network_id", "id AS ord", "CAST(id AS STRING) AS id", "IF(id = 0, 'outfall', 'inlet') AS kind", "2.0D AS area_ac", "0.5D AS c")
+    pipes = spark.range(1, 40).selectExpr("1L AS network_id", "concat('P', id) AS id", "CAST(id AS STRING) AS `from`", "CAST(id DIV 2 AS STRING) AS `to`")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "50")
+    yield nodes, pipes
+    spark.conf.unset("spark.sql.cteRecursionRowLimit")
+
+
+def test_recursive_areas_pass_the_row_limit(limited):
+    assert {r.id: r.total_ca for r in graph.accumulate_ca_recursive(*limited).collect()}["0"] == 40.0
