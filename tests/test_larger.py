@@ -27,3 +27,7 @@ def limited(spark):
 
 def test_recursive_areas_pass_the_row_limit(limited):
     assert {r.id: r.total_ca for r in graph.accumulate_ca_recursive(*limited).collect()}["0"] == 40.0
+
+
+def test_recursive_main_stem_passes_the_row_limit(limited):
+    assert sorted(graph.main_stem_recursive(*limited).collect()) == sorted(graph.main_stem(*limited).collect())
