@@ -31,3 +31,7 @@ def test_recursive_areas_pass_the_row_limit(limited):
 
 def test_recursive_main_stem_passes_the_row_limit(limited):
     assert sorted(graph.main_stem_recursive(*limited).collect()) == sorted(graph.main_stem(*limited).collect())
+
+
+def test_recursive_levels_pass_the_row_limit(limited):
+    assert {r.id: r.level for r in graph.levels_recursive(*limited).collect()}["0"] == 6
