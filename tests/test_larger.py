@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from culvert.functions import solvers
-from culvert.operators import graph, network
+from culvert.operators import editing, graph, network
 
 
 def test_backwater_takes_the_root_that_halving_finds():
@@ -45,3 +45,11 @@ def test_all_periods_join_nothing(spark, capsys):
     found.explain()
     assert "Join" not in capsys.readouterr().out
     assert {r.rp_years: r.total_ca for r in found.collect()} == {10: 0.9, 100: 1.0}
+
+
+def test_a_point_on_a_side_lies_in_no_catchment_without_sides(spark):
+    points = spark.createDataFrame([(1, 1, 82.354, 2.0), (1, 2, 82.36, 2.0), (1, 3, 86.854, 0.0)], "network_id bigint, point int, x double, y double")
+    corners = [(83.854 - 3.0, 0.0), (83.854, 4.0), (83.854 + 6.0, 0.0), (83.854, -4.0)]
+    kite = spark.createDataFrame([(1, 1, "K", corners)], "network_id bigint, ord int, id string, vertices array<struct<x:double,y:double>>")
+    assert {r.point for r in editing.containing_catchment(points, kite).collect()} == {1, 2, 3}
+    assert {r.point for r in editing.containing_catchment(points, kite, sides=False).collect()} == {2, 3}
