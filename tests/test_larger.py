@@ -5,6 +5,8 @@ import pytest
 
 from culvert.functions import solvers
 from culvert.operators import editing, graph, network
+from culvert.sources import stm
+from test_files import given, stm_text
 
 
 def test_backwater_takes_the_root_that_halving_finds():
@@ -53,3 +55,14 @@ def test_a_point_on_a_side_lies_in_no_catchment_without_sides(spark):
     kite = spark.createDataFrame([(1, 1, "K", corners)], "network_id bigint, ord int, id string, vertices array<struct<x:double,y:double>>")
     assert {r.point for r in editing.containing_catchment(points, kite).collect()} == {1, 2, 3}
     assert {r.point for r in editing.containing_catchment(points, kite, sides=False).collect()} == {2, 3}
+
+
+def test_pipes_of_stm_files_join_nothing_and_lines_are_parsed_once(spark, capsys):
+    found, parsed = given(spark, stm_text()), []
+    plain = stm.parse_stm(found)
+    plain.pipes.explain()
+    assert "Join" not in capsys.readouterr().out
+    again = stm.parse_stm(found, lambda df: parsed.append(df) or df.cache())
+    assert len(parsed) == 2
+    for name in ("nodes", "pipes", "settings"):
+        assert sorted(map(str, getattr(again, name).collect())) == sorted(map(str, getattr(plain, name).collect()))
