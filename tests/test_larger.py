@@ -3,8 +3,11 @@
 import numpy as np
 import pytest
 
+import __spark_entry__  # noqa: F401 (fills QUERIES)
+
 from culvert.functions import solvers
 from culvert.operators import editing, graph, network
+from culvert.plans.catalog import QUERIES
 from culvert.sources import stm
 from test_files import given, stm_text
 
@@ -66,3 +69,9 @@ def test_pipes_of_stm_files_join_nothing_and_lines_are_parsed_once(spark, capsys
     assert len(parsed) == 2
     for name in ("nodes", "pipes", "settings"):
         assert sorted(map(str, getattr(again, name).collect())) == sorted(map(str, getattr(plain, name).collect()))
+
+
+def test_texts_that_are_read_back_are_made_once(spark, capsys):
+    QUERIES["ssn_read_back"](spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out
+    assert "FileScan" in plan and "l_orderkey" not in plan
